@@ -245,3 +245,15 @@ def _components(classes: DataFrame, links: DataFrame, tables: Tables, name: str)
     found = connected_components(links, tables, name)
     joined = classes.select("node", "grp").join(found, "node", "left").select("node", "grp", F.coalesce("component", "node").alias("component"))
     return tables.save(joined, f"{name}-all")
+
+
+def representatives(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """The documents (doc_id, text, any others) with one of each component: that with the smallest id. Rows without id stay."""
+    found = components(docs, percent)
+    gone = found.where("component_id is not null and doc_id <> component_id").select("doc_id").distinct()
+    out = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    # rows that share an id are rare: only then are equal ones looked for
+    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return out
+    named = out.where("doc_id is not null").dropDuplicates(["doc_id", "text"])
+    return named.unionByName(out.where("doc_id is null"))

@@ -20,6 +20,8 @@ WIDTH, FILTERS, CHUNK, STRIDE = 6, 16, 256, 192
 #: Bounds of the training sample: texts a class, and characters a text.
 PER_CLASS, MAX_CHARS = 1200, 12_000
 EPOCHS, BATCH, RATE = 6, 32, 0.01
+#: The weight of all good training texts together, so that texts too short to tell count as good.
+GOOD_SHARE = 0.75
 MODULUS, HELD_OUT, THRESHOLD = 3, 1, 0.5
 
 
@@ -85,7 +87,7 @@ def tables(kernel):
 
 
 def fit(sample: list[tuple[str, int]]) -> dict:
-    """Weights of the network, by Adam on a bounded sample; its classes count alike. A sample without both gives a constant score."""
+    """Weights of the network, by Adam on a bounded sample. A sample without both gives a constant score."""
     import numpy as np
 
     y = np.array([s[1] for s in sample], np.float32)
@@ -95,7 +97,7 @@ def fit(sample: list[tuple[str, int]]) -> dict:
     if len(y) == 0 or y.min() == y.max():
         return {"kernel": kernel, "w": w * 0, "b": b + (4 if len(y) == 0 or y[0] else -4)}
     raw = [np.frombuffer(t.encode(), np.uint8) for t, _ in sample]
-    weight = np.where(y == 1, len(y) / 2 / y.sum(), len(y) / 2 / (1 - y).sum())
+    weight = len(y) * np.where(y == 1, GOOD_SHARE / y.sum(), (1 - GOOD_SHARE) / (1 - y).sum())
     params = [kernel, w, b]
     m1, m2, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
     for epoch in range(EPOCHS):
@@ -150,8 +152,8 @@ def pooled_rows(kernel, offsets, data):
     return np.maximum(p, 0), owner, place
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of ``docs``; the network is fitted on ``labels.quality`` of training rows."""
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, keep: list[str] = ()) -> DataFrame:
+    """doc_id, kept columns, held_out, score, predicted for every row; the network is fitted on ``labels.quality`` of training rows."""
     plain = text_of(docs, id_col, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(fit(training_sample(plain, labels, "quality", MODULUS, HELD_OUT, PER_CLASS, MAX_CHARS)))
 
@@ -167,8 +169,10 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
                 p, owner = pooled(lookup, offsets, data)
                 got.append(sigmoid(summary(p, owner, len(offsets) - 1) @ net["w"] + net["b"]).astype(np.float64))
             if got:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(got))], ["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), *[batch.column(i) for i in range(2, batch.num_columns)], pa.array(np.concatenate(got))], ["doc_id", *keep, "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = plain.mapInArrow(run, f"doc_id {kind}, score double")
-    return out.select("doc_id", (crc_fold("doc_id", MODULUS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    wide = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *[F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)])
+    types = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    out = wide.mapInArrow(run, f"doc_id {kind}{types}, score double")
+    return out.select("doc_id", *[F.col(f"`{c}`") for c in keep], (crc_fold("doc_id", MODULUS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,17 +54,42 @@ def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove(table(spark, sf_dir, "documents"), digest=True)
 
 
+def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embeddings import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import classify
 
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest other vectors, by Hamming distance of sign codes, of every vector whose id is divisible by 20."""
+    from .embeddings import sign_code, top_k
+
+    codes = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), sign_code("embedding").alias("code"))
+    asked = codes.where("id % 20 = 0").select(F.col("id").alias("query_id"), "code")
+    return top_k(codes, asked, 10)
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import encode
 
     return encode(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), digest=True)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_quality, op3_jaccard, op4_secrets, op5_language, op6_substrings, op8_toxicity, op10_bpe)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_quality, op3_jaccard, op4_secrets, op5_language, op6_substrings, op7_embeddings, op8_toxicity, op9_topk, op10_bpe)}
+ORACLE_SQL: dict[str, str] = {
+    "op9_topk": """
+        with bits as (
+            select vec_id, array_to_string(list_transform(embedding[1:64], lambda x: case when x > 0 then '1' else '0' end), '')::bit as code
+            from embeddings where vec_id is not null and len(embedding) >= 64),
+        pairs as (
+            select q.vec_id query_id, r.vec_id id, bit_count(xor(q.code, r.code))::int distance
+            from bits q join bits r on q.vec_id % 20 = 0 and q.vec_id <> r.vec_id)
+        select query_id, id, distance, row_number() over (partition by query_id order by distance, id)::int as rank
+        from pairs qualify row_number() over (partition by query_id order by distance, id) <= 10""",
+}

@@ -223,7 +223,10 @@ def repeats(plain: DataFrame, tables: Tables, batches: int = BATCHES) -> DataFra
 
 
 def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES, keep: list[str] = (), digest: bool = False) -> DataFrame:
-    """doc_id, kept columns, n_bytes, n_removed, n_spans (maximal removed runs), and the remaining text as bytes or, with ``digest``, its sha256."""
+    """doc_id, kept columns, n_bytes, n_removed, n_spans (maximal removed runs), and the remaining text (``kept``) or, with ``digest``, the sha256 of its bytes.
+
+    As a text, ``kept`` leaves out the rest of a character that a removal has cut.
+    """
     tables = Tables(docs.sparkSession, "substrings")
     marked = keyed(docs.withColumnRenamed(id_col, "doc_id"), "doc_id", text_col, ["doc_id", *keep])
     spans = repeats(keyed(docs, id_col, text_col), tables, batches)
@@ -252,12 +255,19 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batc
                     n.append(b - a)
                     removed.append(b - a - len(text))
                     runs.append(len(s))
-                    rest.append(hashlib.sha256(text.tobytes()).hexdigest() if digest else text.tobytes())
-            kept = pa.array(rest, pa.string() if digest else pa.binary())
+                    rest.append(hashlib.sha256(text.tobytes()).hexdigest() if digest else text.tobytes().decode("utf-8", "ignore"))
+            kept = pa.array(rest, pa.string())
             cols = [pa.array(x, pa.int64()) for x in (n, removed, runs)]
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(3, batch.num_columns)] + cols + [kept], names)
 
     names = ["doc_id", *keep, "n_bytes", "n_removed", "n_spans", last]
     others = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     joined = marked.join(spans, ["doc", "tag"], "left").select("doc", "text", "spans", "doc_id", *keep)
-    return joined.mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}{others}, n_bytes long, n_removed long, n_spans long, {last} {'string' if digest else 'binary'}")
+    return joined.mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}{others}, n_bytes long, n_removed long, n_spans long, {last} string")
+
+
+def strip(docs: DataFrame) -> DataFrame:
+    """The documents (doc_id, text, any others) with repeated substrings removed from their texts; n_chars, if there, counts what is left."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    out = remove(docs, keep=others)
+    return out.select(*[F.col("kept").alias("text") if c == "text" else F.length("kept").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
