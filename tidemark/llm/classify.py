@@ -29,6 +29,19 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
     return rows
 
 
+def below(hash_column, k: int, n: int):
+    """Condition that about 1.5 * k of n rows meet, by the rank of a signed 64-bit hash; all rows if there are few."""
+    return F.lit(True) if n <= 2 * k else hash_column < F.lit(int(-(1 << 63) + (1 << 64) * (1.5 * k / n)))
+
+
+def few_rows(rows: DataFrame, k: int) -> list:
+    """The k rows of (key, ...) with the smallest hash of key, or nearly so: rows are counted first, so that whatever the
+    number of tasks no more than 3 * k rows reach the driver."""
+    h = F.xxhash64("key")
+    found = rows.where(below(h, k, rows.count())).withColumn("_h", h).limit(3 * k).collect()
+    return sorted(found, key=lambda r: (r["_h"], tuple(map(str, r))))[:k]
+
+
 def byte_batches(batch, column: int, most: int = 4 << 20) -> Iterator[tuple]:
     """Slices (start, offsets, bytes) of a string column of an Arrow batch; each slice holds up to ``most`` bytes, or one text."""
     import numpy as np

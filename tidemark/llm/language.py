@@ -9,11 +9,12 @@ language is marked ``rejected``. Texts that are null or without letters get ``un
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .classify import byte_batches
+from .classify import below, byte_batches
 from .common import crc_fold, text_of
 
 BITS, CENTROIDS, ROUNDS = 12, 4, 8
@@ -89,8 +90,17 @@ def fit(sample: list[tuple[str, str]]) -> dict | None:
 def training_sample(docs: DataFrame) -> list[tuple[str, str]]:
     """Texts of the training fold with a language: those with the smallest hash of their id, PER_LANGUAGE of each of LANGUAGES."""
     rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (crc_fold("doc_id", MODULUS) != HELD_OUT) & (F.length("text") <= MAX_CHARS) & F.col("text").rlike(r"\p{L}"))
-    names = [r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    return [(r.text, r.lang) for name in names for r in rows.where(F.col("lang") == name).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(PER_LANGUAGE).select("text", "lang").collect()]
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    h, out = F.xxhash64("doc_id"), []
+    if not counts:
+        return out
+    # a share of each language by the rank of a hash, so that the driver gets a bounded number whatever the number of tasks
+    wanted = reduce(lambda a, b: a | b, [(F.col("lang") == r["lang"]) & below(h, PER_LANGUAGE, r["count"]) for r in counts])
+    found = rows.where(wanted).select(h.alias("h"), "doc_id", "text", "lang").limit(3 * PER_LANGUAGE * len(counts)).collect()
+    for r in counts:
+        mine = sorted((x for x in found if x.lang == r["lang"]), key=lambda x: (x.h, x.doc_id is None, x.text))
+        out += [(x.text, x.lang) for x in mine[:PER_LANGUAGE]]
+    return out
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
