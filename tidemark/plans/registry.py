@@ -1,18 +1,8 @@
-"""All registered queries and the SQL that expresses them."""
+"""All registered queries of the library and the SQL that expresses them."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
-from pyspark.sql import functions as F
+from . import feeds, pages, segments, series, texts
 
-
-def dedup_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    h = F.substring(F.sha2(F.trim("text"), 256), 1, 16)
-    first = W.partitionBy("h").orderBy("doc_id")
-    return docs.select("doc_id", h.alias("h"), "lang", F.length(F.trim("text")).alias("n_chars")).withColumn("k", F.row_number().over(first)).where("k = 1 and n_chars >= 100").drop("k")
-
-
-QUERIES = {"dedup_documents": dedup_documents}
-ORACLE_SQL = {"dedup_documents": "select doc_id, substr(sha256(trim(text)),1,16) h, lang, length(trim(text)) n_chars from documents where length(trim(text)) >= 100 qualify row_number() over (partition by sha256(trim(text)) order by doc_id) = 1"}
+QUERIES = texts.QUERIES | pages.QUERIES | feeds.QUERIES | series.QUERIES | segments.QUERIES
+ORACLE_SQL = texts.SQL | pages.SQL | feeds.SQL | series.SQL | segments.SQL
