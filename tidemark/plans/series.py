@@ -8,11 +8,13 @@ from ..functions import text as T
 from ..operators import queues, series
 from .common import read
 
-_STATE = F.when((F.col("l_linestatus") == "O") & (F.col("l_returnflag") == "A"), "pending").when(F.col("l_linestatus") == "O", "raw_ready").when(F.col("l_returnflag") == "A", "summarized").when(F.col("l_returnflag") == "N", "landed").otherwise("verified")
+def line_state():
+    status, flag = F.col("l_linestatus"), F.col("l_returnflag")
+    return F.when((status == "O") & (flag == "A"), "pending").when(status == "O", "raw_ready").when(flag == "A", "summarized").when(flag == "N", "landed").otherwise("verified")
 
 
 def evidence(spark, sf_dir):
-    return read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("series"), F.col("l_linenumber").cast("int").alias("page"), _STATE.alias("state"))
+    return read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("series"), F.col("l_linenumber").cast("int").alias("page"), line_state().alias("state"))
 
 
 def expected(spark, sf_dir):

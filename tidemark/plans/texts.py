@@ -11,12 +11,11 @@ from ..functions import text as T
 from ..operators import classify, filters, segments, series
 from .common import read, sql_any, sql_hits, sql_list, sql_occurrences
 
-TITLE = F.substring(F.split("text", "\n")[0], 1, 80)
 _T = "substr(split_part(text, chr(10), 1), 1, 80)"
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", TITLE.alias("title"))
+    return read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", F.substring(F.split("text", "\n")[0], 1, 80).alias("title"))
 
 
 def dedup_documents(spark, sf_dir):
