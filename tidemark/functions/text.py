@@ -127,7 +127,7 @@ def lines(c) -> Column:
 
 def title_of_text(c, label: str = "Title", default: str = "untitled") -> Column:
     """[STR-15] A labelled line among the first ten, a second-level heading among the first twenty, the first short plain line, or the default."""
-    ls = F.transform(lines(c), F.trim)
+    ls = F.transform(lines(c), lambda t: F.trim(t))
     labelled = F.filter(F.slice(ls, 1, 10), lambda x: x.startswith(label + ":"))
     headed = F.filter(F.slice(ls, 1, 20), lambda x: x.startswith("## "))
     plain = F.filter(ls, lambda x: (F.length(x) > 0) & (F.length(x) < 100) & ~x.startswith("#"))
@@ -136,7 +136,7 @@ def title_of_text(c, label: str = "Title", default: str = "untitled") -> Column:
 
 def title_of_summary(c) -> Column:
     """[STR-16] The last line above the author line that is neither empty nor a line of tags."""
-    ls = F.transform(lines(c), F.trim)
+    ls = F.transform(lines(c), lambda t: F.trim(t))
     author = F.array_position(F.transform(ls, lambda x: x.startswith("Author:")), True)
     above = F.filter(F.slice(ls, F.lit(1), F.greatest(author - 1, F.lit(0)).cast("int")), lambda x: (x != "") & ~x.startswith("#"))
     return F.coalesce(F.try_element_at(above, F.lit(-1)), F.lit(""))
@@ -151,7 +151,7 @@ def generic_title(c) -> Column:
 def title_of_body(title, body) -> Column:
     """[STR-17] A generic title gives way to the first line of the body after ``---``, cut at a sentence end and at 36 characters."""
     after = F.when(col(body).contains("\n---\n"), F.element_at(F.split(col(body), "\n---\n", 2), -1)).otherwise(col(body))
-    line = F.coalesce(F.get(F.filter(F.transform(lines(after), F.trim), lambda x: (x != "") & ~x.startswith("#")), F.lit(0)), F.lit(""))
+    line = F.coalesce(F.get(F.filter(F.transform(lines(after), lambda t: F.trim(t)), lambda x: (x != "") & ~x.startswith("#")), F.lit(0)), F.lit(""))
     cut = F.regexp_extract(line, "^[^\u3002\uff01\uff1f!?]*", 0)
     short = F.when(F.length(cut) > 36, F.concat(F.regexp_replace(F.substring(cut, 1, 36), "[\uff0c,\u3001\uff1b; ]+$", ""), F.lit("\u2026"))).otherwise(cut)
     return F.when(generic_title(title) & (short != ""), short).otherwise(col(title))
@@ -318,7 +318,7 @@ def parse_vtt(c) -> Column:
         at = F.get(ls, F.lit(0))
         rx = r"^\s*(\d+:\d\d:\d\d\.\d+)\s*-->\s*(\d+:\d\d:\d\d\.\d+)"
         a, b = cue_seconds(F.regexp_extract(at, rx, 1)), cue_seconds(F.regexp_extract(at, rx, 2))
-        text = F.trim(F.array_join(F.transform(F.slice(ls, F.lit(2), F.greatest(F.size(ls) - 1, F.lit(0))), F.trim), " "))
+        text = F.trim(F.array_join(F.transform(F.slice(ls, F.lit(2), F.greatest(F.size(ls) - 1, F.lit(0))), lambda t: F.trim(t)), " "))
         return F.when(at.rlike(rx), F.struct(a.alias("start"), F.greatest(F.lit(0.0), b - a).alias("duration"), text.alias("text")))
 
     return F.filter(F.transform(blocks, cue), lambda x: x.isNotNull() & (x["text"] != ""))

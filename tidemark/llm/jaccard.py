@@ -9,8 +9,8 @@ The order puts the most frequent shingles (at most COMMON of them, a bounded tab
 any order gives the same result, this one keeps common lines and passages out of most prefixes.
 
 Only components are asked for, so classes that are already connected are not compared again: first every group is verified
-against the group with which it shares most among the heads of its shingles' lists, in two rounds with different
-heads, and only then are all remaining pairs between different components compared. No link between components is lost.
+against the group with which it shares most among the first and the last group of its shingles' lists,
+and only then are all remaining pairs between different components compared. No link between components is lost.
 
 Nulls: a null text is an empty one; empty sets link with nothing; a row without id takes part in nothing and gets a null component. Repeated
 rows are equal sets. Other columns are ignored. Very long texts are taken whole.
@@ -187,42 +187,34 @@ def components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_
 
     shorter, longer = F.least("size", "size2"), F.greatest("size", "size2")
     sized = 100 * shorter >= percent * longer
-    need = tables.save(_involved(postings, classes), "need")
-    sets = tables.save(whole_sets(plain.join(need.select("doc_id").distinct(), "doc_id")).join(need.select("node"), "node").dropDuplicates(["node"]), "whole")
-    tables.release()
+    rest = lambda c: F.expr(f"(({percent} * {c} + 99) div 100) - 1")  # noqa: E731  how much lies behind the prefix
+    needed = F.ceil(F.lit(percent) * (F.col("size") + F.col("size2")) / (100 + percent) - F.lit(1e-9)) - F.greatest(rest("size"), rest("size2"))
 
-    inner = classes.join(groups.select("grp", "head"), "grp").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
-    links = tables.save(verify(inner, sets, percent), "links-inner")
-    comp = classes.select("node", "grp", F.col("node").alias("component"))
-    for k, pick in enumerate((F.min, F.max)):
-        comp = _components(classes, links, tables, f"comp{k}")
-        of = comp.groupBy("grp").agg(F.min("component").alias("component"))
+    # groups against heads of their lists; a head shares as much or more with them than is counted here, so pairs left out here come later
+    pairs = classes.join(groups.select("grp", "head"), "grp").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    for pick in (F.min, F.max):
         heads = postings.groupBy("token").agg(pick(F.struct("grp", "size")).alias("h")).select("token", F.col("h.grp").alias("grp2"), F.col("h.size").alias("size2"))
-        # each group meets the head with which it shares most
-        met = postings.join(heads, "token").where((F.col("grp") != F.col("grp2")) & sized).groupBy("grp", "grp2").agg(F.count("*").alias("n"))
-        best = met.groupBy("grp").agg(F.max_by("grp2", F.struct("n", "grp2")).alias("grp2"))
-        best = best.join(of, "grp").join(of.select(F.col("grp").alias("grp2"), F.col("component").alias("component2")), "grp2").where("component <> component2")
-        pair = best.join(groups.select("grp", F.col("head").alias("b")), "grp").join(groups.select(F.col("grp").alias("grp2"), F.col("head").alias("a")), "grp2")
-        links = links.union(tables.save(verify(pair.select("a", "b"), sets, percent), f"links{k}"))
-        tables.release()
+        met = postings.join(heads, "token").where((F.col("grp") != F.col("grp2")) & sized).groupBy("grp", "grp2", "size", "size2").agg(F.count("*").alias("shared")).where(F.col("shared") >= needed)
+        best = met.groupBy("grp").agg(F.max_by("grp2", F.struct("shared", "grp2")).alias("grp2"))
+        best = best.join(groups.select("grp", F.col("head").alias("b")), "grp").join(groups.select(F.col("grp").alias("grp2"), F.col("head").alias("a")), "grp2")
+        pairs = pairs.union(best.select("a", "b"))
+    links = _verified(plain, classes, pairs, percent, tables, "heads")
 
     # what is left: pairs of groups between different components, filtered by size and by shared prefix shingles
-    comp = _components(classes, links, tables, "comp-left")
+    comp = _components(classes, links, tables, "comp-heads")
     parts = comp.select("grp", "component").distinct()
     spread = postings.join(parts, "grp")
     mixed = spread.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
     spread = tables.save(spread.join(mixed, "token"), "spread")
+    tables.drop("postings")
     other = spread.select("token", *[F.col(c).alias(f"{c}2") for c in ("grp", "size", "component")])
     met = spread.join(other, "token").where((F.col("component") < F.col("component2")) & sized)
-    met = met.groupBy("grp", "component", "grp2", "component2", "size", "size2").agg(F.count("*").alias("shared"))
-    rest = lambda c: F.expr(f"(({percent} * {c} + 99) div 100) - 1")  # noqa: E731  what lies behind the prefix
-    needed = F.ceil(F.lit(percent) * (F.col("size") + F.col("size2")) / (100 + percent) - F.lit(1e-9))
-    met = met.where(F.col("shared") >= needed - F.greatest(rest("size"), rest("size2")))
+    met = met.groupBy("grp", "component", "grp2", "component2", "size", "size2").agg(F.count("*").alias("shared")).where(F.col("shared") >= needed)
     a = comp.select(F.col("node").alias("a"), "grp", "component")
     b = comp.select(F.col("node").alias("b"), F.col("grp").alias("grp2"), F.col("component").alias("component2"))
     left = met.join(a, ["grp", "component"]).join(b, ["grp2", "component2"]).select("a", "b")
     same = a.join(b.withColumnRenamed("grp2", "grp"), "grp").where("component < component2").select("a", "b")
-    links = links.union(tables.save(verify(left.union(same).distinct(), sets, percent), "links-left"))
+    links = links.union(_verified(plain, classes, left.union(same), percent, tables, "left"))
     comp = _components(classes, links, tables, "comp")
 
     # back to documents: the smallest id of each component
@@ -233,11 +225,17 @@ def components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_
     return out.select("doc_id", F.col("size").cast("long").alias("n_shingles"), alone.alias("component_id"))
 
 
-def _involved(postings: DataFrame, classes: DataFrame) -> DataFrame:
-    """Classes (node, doc_id) that can be in a pair: of groups with shared shingles, or of groups with several classes."""
-    shared = postings.select("grp").distinct()
-    several = classes.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1").select("grp")
-    return classes.join(shared.union(several).distinct(), "grp").select("node", "doc_id")
+def _verified(plain: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int, tables: Tables, name: str) -> DataFrame:
+    """The links among ``pairs`` of nodes; only the texts of documents in a pair are turned into whole sets again."""
+    pairs = tables.save(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"pairs-{name}")
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    ids = classes.join(nodes, "node").select("doc_id").distinct()
+    sets = tables.save(whole_sets(plain.join(ids, "doc_id")), f"whole-{name}")
+    tables.release()
+    links = tables.save(verify(pairs, sets, percent).distinct(), f"links-{name}")
+    tables.drop(f"whole-{name}", f"pairs-{name}")
+    tables.release()
+    return links
 
 
 def _components(classes: DataFrame, links: DataFrame, tables: Tables, name: str) -> DataFrame:

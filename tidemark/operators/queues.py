@@ -11,8 +11,9 @@ from .. import config
 
 def retry_or_drop(failed: DataFrame, most: int = config.REFETCH_MAX) -> DataFrame:
     """[STM-9] The count goes up by one; at the maximum the item is dropped with a reason."""
-    n = F.coalesce(F.col("refetch_count"), F.lit(0)) + 1
-    return failed.withColumn("refetch_count", n).withColumn("action", F.when(n >= most, "drop").otherwise("requeue")).withColumn("reason", F.when(n >= most, F.concat(F.lit("gave up after "), n.cast("string"))).otherwise(""))
+    out = failed.withColumn("refetch_count", F.coalesce(F.col("refetch_count"), F.lit(0)) + 1)
+    over = F.col("refetch_count") >= most
+    return out.withColumn("action", F.when(over, "drop").otherwise("requeue")).withColumn("reason", F.when(over, F.concat(F.lit("gave up after "), F.col("refetch_count").cast("string"))).otherwise(""))
 
 
 def work_order(retries: DataFrame, new: DataFrame) -> DataFrame:

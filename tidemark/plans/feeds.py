@@ -136,7 +136,7 @@ SQL = {
     "source_health": "select user_id source_key, count(*) total, count_if(event_type = 'click') n_click, count_if(event_type = 'view') n_view, count_if(event_type = 'purchase') n_purchase, count_if(event_type = 'signup') n_signup from events group by 1",
     "subscription_enrich": "select c_mktsegment category, count(*) n, count_if(c_name is null) unnamed from events left join customer on user_id = c_custkey group by 1",
     "freshness_label": f"select event_id id, case when epoch(timestamp '{NOW}') - floor(epoch(ts)) < 86400 then 'fresh' when epoch(timestamp '{NOW}') - floor(epoch(ts)) < 7 * 86400 then 'recent' else 'archive' end as label from events",
-    "effective_window": f"select user_id source_key, least(greatest(1, floor((epoch(timestamp '{NOW}') - floor(epoch(max(ts)))) / 86400) + 1), 30)::int days from events group by 1",
+    "effective_window": f"select user_id source_key, least(greatest(1, floor((epoch(timestamp '{NOW}') - floor(epoch(max(ts)))) / 86400) + 1), 30)::int as days from events group by 1",
     "date_parts": "select event_id id, case when event_id % 3 < 2 then strftime(ts, '%Y-%m-%d 00:00:00') end since, strftime(date_trunc('day', ts + interval 8 hours) - interval 8 hours, '%Y-%m-%d %H:%M:%S') day_start from events",
     "route_counts": "select case event_type when 'click' then 'article' when 'view' then 'video' when 'purchase' then 'dynamic' else 'ignored' end route, count(*) n from events group by 1",
     "retry_or_drop": f"select id, refetch_count + 1 refetch_count, case when refetch_count + 1 >= 3 then 'drop' else 'requeue' end as action, case when refetch_count + 1 >= 3 then 'gave up after ' || (refetch_count + 1) else '' end reason from {_FAILED}",

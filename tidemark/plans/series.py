@@ -104,7 +104,7 @@ SQL = {
     "episode_names": f"select series, page, 'ep' || case when page * 30 < 100 then lpad((page * 30)::varchar, 2, '0') else (page * 30)::varchar end || '_' || state || '_raw.md' raw, page * 30 raw_page, state part, 'body' kind from {_M}",
     "queue_merge_series": "select series, string_agg(page::varchar, ',' order by page) raws from (select distinct l_orderkey series, l_linenumber page from lineitem union select distinct l_orderkey, 9 from lineitem where l_orderkey % 2 = 0) group by 1",
     "playlist_expand": "select series, (k - 1)::int as position, page entry from (select *, row_number() over (partition by series order by page) k from (select distinct l_orderkey series, l_linenumber::int page from lineitem)) where k <= 3",
-    "tree_flatten": "with recursive n as (select 'r' || r_regionkey node, null parent, r_name title from region union all select 'n' || n_nationkey, 'r' || n_regionkey, n_name from nation), t as (select node, title as path, 0 depth from n where parent is null union all select n.node, t.path || '/' || n.title, depth + 1 from n join t on n.parent = t.node) select node, path, depth from t",
+    "tree_flatten": "with recursive n as (select 'r' || r_regionkey node, null::varchar parent, r_name title from region union all select 'n' || n_nationkey, 'r' || n_regionkey, n_name from nation), t as (select node, title as path, 0 depth from n where parent is null union all select n.node, t.path || '/' || n.title, depth + 1 from n join t on n.parent = t.node) select node, path, depth from t",
     "folders_missing": "with p as (select r_name a, r_name || '/' || n_name b, r_name || '/' || n_name || '/x' c from nation join region on n_regionkey = r_regionkey) select distinct path from (select a as path from p union select b from p union select c from p) where path not in (select r_name from region where r_regionkey < 2)",
     "store_audit": "with a as (select distinct o_orderkey k from orders where o_orderkey % 7 <> 0), b as (select distinct l_orderkey k from lineitem) select coalesce(a.k, b.k) k, case when b.k is null then 'missing' else 'orphan' end side from a full join b on a.k = b.k where a.k is null or b.k is null",
 }
