@@ -12,7 +12,7 @@ from .common import Tables, connected_components
 #: Neighbours a vector begins with, random projections, vectors compared in one block, rounds of refinement at most.
 NEIGHBOURS, PROJECTIONS, BLOCK, ROUNDS = 10, 12, 256, 6
 #: Members of a neighbourhood that are compared at once; larger neighbourhoods are compared in tiles of this size.
-TILE = 1024
+TILE = 512
 #: Queries of the recall audit and the recall at which refinement may end.
 AUDIT, RECALL = 256, 0.98
 
@@ -35,42 +35,35 @@ def _matrix(column):
     return m / np.sqrt((m * m).sum(1, keepdims=True))
 
 
-def _best(sim, ids, mine, k: int, threshold: float) -> tuple[list, list]:
-    """For each row of ``sim`` the k largest entries and all at the threshold or above: neighbour ids and cosines."""
-    import numpy as np
-
-    sim[mine[:, None] == ids[None, :]] = -2
-    k = min(k, sim.shape[1])
-    top = np.argpartition(-sim, k - 1, axis=1)[:, :k]
-    near, cos = [], []
-    many = (sim >= threshold).sum(1) > k
-    for r in range(len(sim)):
-        pick = np.flatnonzero(sim[r] >= threshold) if many[r] else top[r]
-        pick = pick[sim[r, pick] > -2]
-        near.append(ids[pick])
-        cos.append(sim[r, pick])
-    return near, cos
-
-
-def _lists(rows, near, cos):
+def _lists(ids, sim, threshold: float):
+    """Neighbour lists of the vectors of a block: all links (cosine at the threshold or above), and the NEIGHBOURS nearest others."""
     import numpy as np
     import pyarrow as pa
 
-    cuts = pa.array(np.cumsum([0, *map(len, near)]), pa.int32())
-    flat = lambda x, t: pa.ListArray.from_arrays(cuts, pa.array(np.concatenate(x) if len(x) else [], t))
-    return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), flat(near, pa.int64()), flat(cos, pa.float64())], ["id", "near", "cos"])
+    sim = np.minimum(sim, sim.T)  # both ends of a pair see one number
+    np.fill_diagonal(sim, -2)
+    sim[ids[:, None] == ids[None, :]] = -2
+    row, col = np.nonzero(sim >= threshold)
+    links = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(ids) + 1)), pa.int32()), pa.array(ids[col], pa.int64()))
+    rest = np.where(sim >= threshold, -2, sim)
+    k = min(NEIGHBOURS, len(ids))
+    top = np.argpartition(-rest, k - 1, axis=1)[:, :k]
+    cos = np.take_along_axis(rest, top, 1)
+    good = cos > -2
+    cuts = pa.array(np.concatenate([[0], np.cumsum(good.sum(1))]), pa.int32())
+    near = pa.ListArray.from_arrays(cuts, pa.array(ids[top][good], pa.int64()))
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), links, near, pa.ListArray.from_arrays(cuts, pa.array(cos[good], pa.float64()))], ["id", "links", "near", "cos"])
 
 
-_LISTS = "id long, near array<long>, cos array<double>"
+_LISTS = "id long, links array<long>, near array<long>, cos array<double>"
 
 
-def _merge(lists: DataFrame, threshold: float, k: int) -> DataFrame:
-    """One neighbour list a vector: the k best, or all at the threshold or above where those are more (the list is enlarged)."""
-    pairs = lists.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("cos", "near")))).alias("all"))
-    best = F.sort_array("all", asc=False)
-    enough = F.size(F.filter("all", lambda p: p["cos"] >= threshold))
-    best = F.slice(best, F.lit(1), F.greatest(F.lit(k), enough))
-    return pairs.select("id", best.alias("all")).select("id", F.col("all.near").alias("near"), F.col("all.cos").alias("cos"))
+def _merge(lists: DataFrame) -> DataFrame:
+    """One neighbour list a vector: all its links, however many (a saturated list is enlarged), and the NEIGHBOURS nearest others."""
+    pairs = lists.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("links"))).alias("links"), F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("cos", "near")))).alias("all"))
+    others = F.filter("all", lambda p: ~F.array_contains("links", p["near"]))
+    pairs = pairs.select("id", "links", F.slice(F.sort_array(others, asc=False), 1, NEIGHBOURS).alias("all"))
+    return pairs.select("id", "links", F.col("all.near").alias("near"), F.col("all.cos").alias("cos"))
 
 
 def _project(rows: DataFrame, n: int, table: int, threshold: float) -> DataFrame:
@@ -106,7 +99,7 @@ def _project(rows: DataFrame, n: int, table: int, threshold: float) -> DataFrame
 
     def compare(t):
         m, ids = _matrix(t.column(1).chunk(0)), t.column(0).to_numpy()
-        return _lists(ids, *_best(m @ m.T, ids, ids, NEIGHBOURS, threshold))
+        return _lists(ids, m @ m.T, threshold)
 
     parts = max(1, min(n // (4 * BLOCK), 4096))
     coded = rows.mapInArrow(code, "id long, v array<double>, code long, last double")
@@ -122,14 +115,14 @@ def _join_neighbours(rows: DataFrame, lists: DataFrame, number: int, threshold:
     the threshold's angle are no way to a link and are not followed.
     """
     near_enough = 2 * threshold * threshold - 1 if threshold > 0 else -1
-    lists = lists.select("id", F.filter(F.arrays_zip("near", "cos"), lambda p: p["cos"] >= near_enough).alias("p")).where("size(p) > 0")
-    lists = lists.select("id", F.col("p.near").alias("near"), F.col("p.cos").alias("cos"))
     priority = lambda c: F.xxhash64(c, F.lit(number))
-    full = F.size("near") == F.size(F.filter("cos", lambda c: c >= threshold))
-    mine = F.array_union("near", F.array("id"))
-    first = F.transform(F.slice(F.sort_array(F.transform(mine, lambda x: F.struct(priority(x).alias("p"), x.alias("x")))), 1, 2), lambda s: s["x"])
-    pivots = lists.select("id", F.explode(F.when(full, first).otherwise(mine)).alias("pivot"))
-    reverse = lists.where(~full).select(F.explode("near").alias("id"), F.col("id").alias("pivot"))
+    follow = F.transform(F.filter(F.arrays_zip("near", "cos"), lambda p: p["cos"] >= near_enough), lambda p: p["near"])
+    lists = lists.select("id", "links", follow.alias("near")).where("size(links) + size(near) > 0")
+    full = F.size("links") >= NEIGHBOURS
+    first = F.transform(F.slice(F.sort_array(F.transform(F.array_union("links", F.array("id")), lambda x: F.struct(priority(x).alias("p"), x.alias("x")))), 1, 2), lambda s: s["x"])
+    every = F.concat("links", "near")
+    pivots = lists.select("id", F.explode(F.when(full, first).otherwise(F.concat(every, F.array("id")))).alias("pivot"))
+    reverse = lists.where(~full).select(F.explode(every).alias("id"), F.col("id").alias("pivot"))
     members = pivots.union(reverse).distinct()
     sizes = members.groupBy("pivot").agg(F.count("*").alias("n")).where("n > 1")
     chunks = F.ceil(F.col("n") / TILE).cast("int")
@@ -139,11 +132,10 @@ def _join_neighbours(rows: DataFrame, lists: DataFrame, number: int, threshold:
     tiled = members.select("id", "pivot", F.explode(tiles).alias("tile")).join(rows, "id")
 
     def compare(t):
-        m, ids = _matrix(t.column("v").combine_chunks()), t.column("id").to_numpy()
-        near, cos = _best(m @ m.T, ids, ids, NEIGHBOURS, threshold)
         import pyarrow as pa
 
-        return pa.Table.from_batches([_lists(ids, near, cos)])
+        m, ids = _matrix(t.column("v").combine_chunks()), t.column("id").to_numpy()
+        return pa.Table.from_batches([_lists(ids, m @ m.T, threshold)])
 
     return tiled.groupBy("pivot", "tile").applyInArrow(compare, _LISTS)
 
@@ -153,7 +145,7 @@ def _audit(rows: DataFrame, lists: DataFrame, threshold: float) -> float:
     import numpy as np
 
     # vectors with a link are rare, so half of the queries are taken from those that have one
-    linked = lists.where(F.exists("cos", lambda c: c >= threshold)).select("id").orderBy(F.xxhash64("id", F.lit(5))).limit(AUDIT // 2)
+    linked = lists.where("size(links) > 0").select("id").orderBy(F.xxhash64("id", F.lit(5))).limit(AUDIT // 2)
     chosen = rows.join(F.broadcast(linked), "id").union(rows.orderBy(F.xxhash64("id", F.lit(6))).limit(AUDIT // 2)).dropDuplicates(["id"]).collect()
     if not chosen:
         return 1.0
@@ -173,13 +165,13 @@ def _audit(rows: DataFrame, lists: DataFrame, threshold: float) -> float:
                 yield pa.RecordBatch.from_arrays([pa.array(other[got != other]), pa.array(got[got != other])], ["id", "near"])
 
     true = rows.mapInArrow(run, "id long, near long").groupBy("id").agg(F.count("*").alias("n"))
-    have = lists.select("id", F.size(F.filter("cos", lambda c: c >= threshold)).alias("have"))
+    have = lists.select("id", F.size("links").alias("have"))
     r = true.join(have, "id", "left").agg(F.sum("n").alias("n"), F.sum(F.least("n", F.coalesce("have", F.lit(0)))).alias("have")).first()
     return (r.have or 0) / r.n if r.n else 1.0
 
 
 def graph(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding", tables: Tables | None = None, report: dict | None = None) -> DataFrame:
-    """Neighbour lists (id, near, cos) of all usable vectors; every list holds all links that were found. ``report`` gets the audited recall."""
+    """Neighbour lists (id, links, near, cos) of all usable vectors; every list holds all links that were found. ``report`` gets the audited recall."""
     tables = tables or Tables(vectors.sparkSession, "neighbours")
     rows = tables.save(usable(vectors, id_col, vec_col), "vectors")
     n = rows.count()
@@ -187,17 +179,14 @@ def graph(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", ve
     for t in range(PROJECTIONS):
         one = _project(rows, n, t, threshold)
         first = one if first is None else first.union(one)
-    lists = tables.save(_merge(first, threshold, NEIGHBOURS), "lists-0")
+    lists = tables.save(_merge(first), "lists-0")
     links, recall = -1, 0.0
     for number in range(1, ROUNDS + 1):
-        found = _join_neighbours(rows, lists, number, threshold)
-        # a link that one side found is put into the other side's list too
-        back = lists.union(found).select("id", F.explode(F.filter(F.arrays_zip("near", "cos"), lambda p: p["cos"] >= threshold)).alias("p"))
-        back = back.select(F.col("p.near").alias("to"), F.struct(F.col("id").alias("near"), F.col("p.cos").alias("cos")).alias("q")).groupBy("to").agg(F.collect_set("q").alias("q")).select(F.col("to").alias("id"), F.col("q.near").alias("near"), F.col("q.cos").alias("cos"))
-        lists = tables.save(_merge(lists.union(found).union(back), threshold, NEIGHBOURS), f"lists-{number}")
+        # links are never cut off, and a block gives each to both ends, so lists stay symmetric
+        lists = tables.save(_merge(lists.union(_join_neighbours(rows, lists, number, threshold))), f"lists-{number}")
         tables.drop(f"lists-{number - 1}")
         tables.release()
-        last, links = links, lists.agg(F.sum(F.size(F.filter("cos", lambda c: c >= threshold)))).first()[0] or 0
+        last, links = links, lists.agg(F.sum(F.size("links"))).first()[0] or 0
         recall = _audit(rows, lists, threshold)
         if recall >= RECALL and links <= last * 1.001:
             break
@@ -216,12 +205,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
     spark = vectors.sparkSession
     tables = Tables(spark, "vectors")
     lists = graph(vectors, threshold, id_col, vec_col, tables, report)
-    near = lists.select("id", F.transform(F.filter(F.arrays_zip("near", "cos"), lambda p: p["cos"] >= threshold), lambda p: p["near"]).alias("near")).where("size(near) > 0")
-    # each vector needs an edge to its least neighbour and from there on; all links are kept, so components are exact
-    edges = near.select("id", F.explode("near").alias("b")).where("id > b").select(F.col("id").alias("a"), "b")
+    near = lists.where("size(links) > 0").select("id", "links")
+    edges = near.select("id", F.explode("links").alias("b")).where("id > b").select(F.col("id").alias("a"), "b")
     comp = connected_components(edges, tables, "links")
     ids = vectors.select(F.col(id_col).alias("vec_id"))
-    out = ids.join(near.select(F.col("id").alias("vec_id"), F.size("near").cast("long").alias("n")), "vec_id", "left").join(comp.withColumnRenamed("node", "vec_id"), "vec_id", "left")
+    out = ids.join(near.select(F.col("id").alias("vec_id"), F.size("links").cast("long").alias("n")), "vec_id", "left").join(comp.withColumnRenamed("node", "vec_id"), "vec_id", "left")
     out = out.select("vec_id", F.coalesce("n", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
@@ -253,6 +241,8 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int, tables: Tables | None =
     the kth verified distance of a query is below that. Null codes are no rows and no queries. Equal codes are
     one entry of the index with the k + 1 smallest ids, which is all that a top-k list can need.
     """
+    import numpy as np
+
     spark = codes.sparkSession
     tables = tables or Tables(spark, "topk")
     segment = lambda c, s: F.shiftrightunsigned(c, s * SEGMENT_BITS).bitwiseAND((1 << SEGMENT_BITS) - 1)
@@ -264,10 +254,11 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int, tables: Tables | None =
     asked = tables.save(queries.where("code is not null and query_id is not null").select("query_id", F.col("code").alias("query_code")).distinct(), "asked")
     open_, done, best = asked, None, None
     for radius in range(SEGMENT_BITS + 1):
-        masks = F.array(*[F.lit(m) for m in _masks(radius)])
-        probe = open_.select("query_id", "query_code", F.explode(parts(F.col("query_code"))).alias("p")).select("query_id", "query_code", F.col("p.segment").alias("segment"), F.explode(F.transform(masks, lambda m: F.col("p.value").bitwiseXOR(m.cast("long")))).alias("value"))
-        seen = probe.join(index, ["segment", "value"]).select("query_id", "query_code", "code").distinct()
-        seen = seen.withColumn("distance", F.bit_count(F.col("query_code").bitwiseXOR(F.col("code")))).join(entries, "code")
+        masks = F.lit(np.array(_masks(radius), np.int64))
+        probe = open_.select("query_id", "query_code", F.explode(parts(F.col("query_code"))).alias("p")).select("query_id", "query_code", F.col("p.segment").alias("segment"), F.explode(F.transform(masks, lambda m: F.col("p.value").bitwiseXOR(m))).alias("value"))
+        # probes are far more than the query rows they come from, which is all that the planner can see: no side is broadcast
+        seen = probe.join(index.hint("merge"), ["segment", "value"]).select("query_id", "query_code", "code").distinct()
+        seen = seen.withColumn("distance", F.bit_count(F.col("query_code").bitwiseXOR(F.col("code")))).join(entries.hint("merge"), "code")
         seen = seen.select("query_id", "distance", F.explode("ids").alias("id")).where("id <> query_id")
         if best is not None:
             seen = seen.union(best.select("query_id", "distance", "id")).distinct()
