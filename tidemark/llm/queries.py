@@ -83,6 +83,24 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_quality, op3_jaccard, op4_secrets, op5_language, op6_substrings, op7_embeddings, op8_toxicity, op9_topk, op10_bpe)}
 ORACLE_SQL: dict[str, str] = {
+    "op3_jaccard": r"""
+        with recursive w as (
+            select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') ws
+            from documents),
+        s as (
+            select doc_id, list_distinct(case when len(ws) = 0 then [] when len(ws) < 5 then [array_to_string(ws, ' ')]
+                else list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) end) sh from w),
+        e as (select * from (select doc_id, hash(t) t from (select doc_id, unnest(sh) t from s)) qualify count(*) over (partition by t) > 1),
+        p as (select a.doc_id a, b.doc_id b, count(*) c from e a join e b on a.t = b.t and a.doc_id <> b.doc_id group by 1, 2),
+        l as (select a, b from p join s x on x.doc_id = a join s y on y.doc_id = b where 100 * c >= 75 * (len(x.sh) + len(y.sh) - c)),
+        r as (select doc_id node, doc_id reached from s union select r.node, l.b from r join l on r.reached = l.a)
+        select doc_id, len(sh)::bigint n_shingles, least(doc_id, m) component_id from s join (select node, min(reached) m from r group by 1) on node = doc_id""",
+    "op7_embeddings": """
+        with recursive v as (select vec_id, embedding::double[] e from embeddings),
+        l as (select a.vec_id a, b.vec_id b from v a join v b on a.vec_id <> b.vec_id and list_cosine_similarity(a.e, b.e) >= 0.9),
+        r as (select vec_id node, vec_id reached from v union select r.node, l.b from r join l on r.reached = l.a),
+        c as (select node, min(reached) component_id from r group by 1)
+        select vec_id, (select count(*) from l where a = vec_id) n_links, component_id, vec_id = component_id kept from v join c on node = vec_id""",
     "op9_topk": """
         with bits as (
             select vec_id, array_to_string(list_transform(embedding[1:64], lambda x: case when x > 0 then '1' else '0' end), '')::bit as code
