@@ -92,7 +92,7 @@ def keep_first(df: DataFrame, key: str, *order: str) -> DataFrame:
 
 
 def dedup_content(docs: DataFrame) -> DataFrame:
-    """[JN-3, STM-20] First row of every text; a hash joins first rows to all rows of a text, so texts are not shuffled."""
+    """[JN-3, STM-20] First row of every text; only ids, lengths and hashes are shuffled, and all but a task's first rows of a hash are left out before."""
     return keep_first(docs.select("doc_id", "lang", F.length("text").alias("n_chars"), hash16("text").alias("hash16")), "hash16", "doc_id")
 
 
