@@ -16,8 +16,7 @@ from tidemark.llm.queries import table, tokenizer
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, fitted on labelled training rows of ``docs``, does not reject."""
-    others = [c for c in docs.columns if c != "doc_id"]
-    return quality.classify(docs, table(spark, sf_dir, "labels"), keep=others).where("predicted = 1").select(*docs.columns)
+    return quality.classify(docs, table(spark, sf_dir, "labels"), carry=True).where("predicted = 1").select("row.*")
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

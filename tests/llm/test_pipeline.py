@@ -41,3 +41,12 @@ def test_stages(spark, tmp_path):
 def test_run_gives_the_last_stage(spark):
     out = corpus_pipeline.run(spark, SF)
     assert {"doc_id", "piece", "sequence_id", "offset"} <= set(out.columns) and out.count() > 0
+
+
+def test_stages_on_odd_rows(spark, docs):
+    rows = docs([(1, None), (None, "a b c d e f g"), (2, ""), (2, ""), (3, "token = abcdef123456 and more")], extra=True).withColumnsRenamed({"kept": "row", "node": "findings"})
+    for table in (rows, rows.limit(0)):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, table, SF)
+            assert out.columns == table.columns
+            out.collect()

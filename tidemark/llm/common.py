@@ -64,6 +64,17 @@ def text_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def with_row(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text, row): as ``text_of``, with the whole original row in one column, so that no name of it can clash."""
+    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
+def replaced(docs: DataFrame, rows: DataFrame, text: str) -> DataFrame:
+    """The columns of ``docs`` from ``rows.row``, with another text and, if there is one, n_chars of it."""
+    out = [F.col(text).alias("text") if c == "text" else F.length(text).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
+    return rows.select(*out)
+
+
 def crc_fold(id_col: str, modulus: int) -> F.Column:
     """crc32 of the id as text, modulo ``modulus``: what tells training rows from held-out ones. A null id counts as the text ''."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % modulus
@@ -73,7 +84,7 @@ def connected_components(edges: DataFrame, tables: Tables, name: str = "cc", rou
     """Smallest reachable node of every node in ``edges(a, b)``: rows (node, component).
 
     Alternates large-star and small-star steps; each is a grouped minimum (combined before the shuffle) joined back
-    to the edges by a join that Spark can split where one node has very many edges. Ends when a round changes nothing.
+    to the edges by a join that Spark can split where one node has very many edges. Ends when all edges lead to roots.
     Self-loops keep a node in the result; null ends and repeated edges are dropped.
     """
     e = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a is not null and b is not null")
@@ -81,11 +92,15 @@ def connected_components(edges: DataFrame, tables: Tables, name: str = "cc", rou
     e = e.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     e = tables.save(e, f"{name}-0")
 
-    def mark(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    def stars(df: DataFrame) -> bool:
+        """Whether every edge leads to a root and every node has one: then nothing can change any more."""
+        roots = df.groupBy("a").agg(F.count("*").alias("n"))
+        return df.join(roots.select(F.col("a").alias("b")), "b", "left_semi").isEmpty() and roots.where("n > 1").isEmpty()
 
-    last, k = mark(e), 0
-    while last[0] and k < rounds:
+    k = 0
+    while not stars(e):
+        if k == rounds:
+            raise RuntimeError(f"components did not settle in {rounds} rounds")
         both = e.union(e.select("b", "a"))
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -95,9 +110,5 @@ def connected_components(edges: DataFrame, tables: Tables, name: str = "cc", rou
         k += 1
         e = tables.save(small, f"{name}-{k}")
         tables.drop(f"{name}-{k - 1}")
-        now = mark(e)
-        if now == last:
-            break
-        last = now
     comp = e.groupBy("a").agg(F.min("b").alias("m"))
     return nodes.join(comp, nodes.node == comp.a, "left").select("node", F.coalesce("m", "node").alias("component"))

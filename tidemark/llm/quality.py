@@ -12,9 +12,10 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .classify import byte_batches, sigmoid, training_sample
-from .common import crc_fold, text_of
+from .common import crc_fold, text_of, with_row
 
 WIDTH, FILTERS, CHUNK, STRIDE = 6, 16, 256, 192
 #: Bounds of the training sample: texts a class, and characters a text.
@@ -152,8 +153,8 @@ def pooled_rows(kernel, offsets, data):
     return np.maximum(p, 0), owner, place
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, keep: list[str] = ()) -> DataFrame:
-    """doc_id, kept columns, held_out, score, predicted for every row; the network is fitted on ``labels.quality`` of training rows."""
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, carry: bool = False) -> DataFrame:
+    """doc_id, held_out, score, predicted (and ``row``, if ``carry``) for every row; the network is fitted on ``labels.quality`` of training rows."""
     plain = text_of(docs, id_col, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(fit(training_sample(plain, labels, "quality", MODULUS, HELD_OUT, PER_CLASS, MAX_CHARS)))
 
@@ -169,10 +170,10 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
                 p, owner = pooled(lookup, offsets, data)
                 got.append(sigmoid(summary(p, owner, len(offsets) - 1) @ net["w"] + net["b"]).astype(np.float64))
             if got:
-                yield pa.RecordBatch.from_arrays([batch.column(0), *[batch.column(i) for i in range(2, batch.num_columns)], pa.array(np.concatenate(got))], ["doc_id", *keep, "score"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), *[batch.column(i) for i in range(2, batch.num_columns)], pa.array(np.concatenate(got))], ["doc_id", *carried, "score"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    wide = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *[F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)])
-    types = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    out = wide.mapInArrow(run, f"doc_id {kind}{types}, score double")
-    return out.select("doc_id", *[F.col(f"`{c}`") for c in keep], (crc_fold("doc_id", MODULUS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    carried = ["row"] * carry
+    wide = with_row(docs, id_col, text_col) if carry else plain
+    kind = T.StructType([f for f in wide.schema.fields if f.name != "text"]).add("score", T.DoubleType())
+    out = wide.mapInArrow(run, kind)
+    return out.select("doc_id", *carried, (crc_fold("doc_id", MODULUS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

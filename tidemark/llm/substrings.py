@@ -8,7 +8,8 @@ agree to DEPTH bytes are kept as matches. Two levels of the same rank merge into
 a number of levels logarithmic in the number of batches.
 
 Matches are then settled exactly. An anchor carries the run of windows that chose it and a fingerprint of all their bytes: where whole
-runs agree, all but the earliest are repeats. Runs that differ somewhere are compared window by window. A byte is removed if a window over it
+runs agree, all but the earliest are repeats. Runs that differ somewhere are compared window by window,
+where the runs of a key are few in one task, otherwise by a shuffle of window fingerprints. A byte is removed if a window over it
 also starts earlier: at a smaller id, or earlier in the same document. Everything is judged on the input.
 
 A null text is an empty one. A null id counts as larger than all others. Rows that share an id are told apart by a hash of their text and
@@ -23,11 +24,14 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .classify import byte_batches, mix
-from .common import Tables
+from .common import Tables, replaced, text_of, with_row
 
 LENGTH, DEPTH, BATCHES = 100, 24, 4
+#: Keys with more different runs are compared by a shuffle of their windows, so that no task gets them all.
+MANY = 20_000
 #: Bytes of text that are hashed at a time; a longer text is taken in overlapping parts.
 SLICE = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
@@ -101,10 +105,9 @@ def place(tag: str = "tag", start: str = "start", run: str = "run") -> F.Column:
     return F.shiftleft(F.col(tag).cast("long"), _TAG) + F.shiftleft(F.col(start), _RUN) + F.col(run)
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str, keep: list[str] = ()) -> DataFrame:
-    """doc, tag, text: ids with null as the largest, and 16 bits of the text's hash."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc"), F.pmod(F.xxhash64(text), F.lit(1 << 16)).cast("int").alias("tag"), text.alias("text"), *keep)
+def keyed(plain: DataFrame, *keep: str) -> DataFrame:
+    """doc, tag, text of (doc_id, text): ids with null as the largest, and 16 bits of the text's hash."""
+    return plain.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.pmod(F.xxhash64("text"), F.lit(1 << 16)).cast("int").alias("tag"), "text", *keep)
 
 
 def suffix_array(plain: DataFrame) -> DataFrame:
@@ -166,35 +169,132 @@ class IndexFamily:
         return found
 
 
+def _asked(plain: DataFrame, runs: DataFrame) -> DataFrame:
+    """Texts with the runs (key, place) that are asked of them; a list is bounded by its text's length."""
+    asked = runs.select("key", "doc", F.shiftright("place", _TAG).cast("int").alias("tag"), "place")
+    asked = asked.groupBy("doc", "tag").agg(F.collect_list(F.struct("key", "place")).alias("asked"))
+    return plain.join(asked, ["doc", "tag"]).select("doc", "tag", "text", "asked")
+
+
+def _slices(batch) -> Iterator[tuple]:
+    """For each slice of a batch of ``_asked``: bytes, doc and tag of the slice, and its runs: text, key, start, windows."""
+    import numpy as np
+
+    lists = batch.column(3)
+    pairs, cut = lists.flatten(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+    keys, places = pairs.field(0).to_numpy(), pairs.field(1).to_numpy()
+    tag = batch.column(1).to_numpy().astype(np.int64)
+    for lo, offsets, data in byte_batches(batch, 2, SLICE):
+        n = len(offsets) - 1
+        rows = slice(cut[lo], cut[lo + n])
+        text = np.repeat(np.arange(n), np.diff(cut[lo : lo + n + 1]))
+        start, windows = (places[rows] & ((1 << _TAG) - 1)) >> _RUN, (places[rows] & ((1 << _RUN) - 1)) + 1
+        yield data, offsets, batch.column(0).slice(lo, n), tag[lo : lo + n], text, keys[rows], start, windows
+
+
+def spread(counts):
+    """0, 1, .. counts[0] - 1, 0, 1, .. and the number of the row that each belongs to."""
+    import numpy as np
+
+    row = np.repeat(np.arange(len(counts)), counts)
+    return np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts), row
+
+
 def window_hashes(plain: DataFrame, runs: DataFrame) -> DataFrame:
     """One row for each window of ``runs`` (key, doc, place): key, window (fingerprint), doc, place (of the window, run length 0)."""
-    asked = runs.select("key", "doc", F.shiftright("place", _TAG).cast("int").alias("tag"), "place")
-    asked = asked.groupBy("doc", "tag").agg(F.collect_list(F.struct("key", "place")).alias("asked"))  # bounded by the text's length
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            lists = batch.column(3)
-            pairs, cut = lists.flatten(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
-            keys, places = pairs.field(0).to_numpy(), pairs.field(1).to_numpy()
-            doc, tag = batch.column(0), batch.column(1).to_numpy().astype(np.int64)
-            for lo, offsets, data in byte_batches(batch, 2, SLICE):
+            for data, offsets, doc, tag, text, key, start, windows in _slices(batch):
                 total, inverse = running(data)
-                rows = np.arange(cut[lo], cut[lo + len(offsets) - 1])
-                text = np.repeat(np.arange(len(offsets) - 1), np.diff(cut[lo : lo + len(offsets)]))
-                start, n = (places[rows] & ((1 << _TAG) - 1)) >> _RUN, (places[rows] & ((1 << _RUN) - 1)) + 1
-                for part in np.array_split(np.arange(len(rows)), max(1, len(rows) // 8192)):
-                    each = np.repeat(part, n[part])
-                    j = start[each] + np.arange(len(each)) - np.repeat(np.cumsum(n[part]) - n[part], n[part])
-                    at = offsets[text[each]] + j
+                for part in np.array_split(np.arange(len(key)), max(1, len(key) // 8192)):
+                    k, row = spread(windows[part])
+                    row = part[row]
+                    j = start[row] + k
+                    at = offsets[text[row]] + j
                     h = mix((total[at + LENGTH] - total[at]) * inverse[at])
-                    where = (tag[lo + text[each]] << _TAG) + (j << _RUN)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[rows[each]]), pa.array(h.view(np.int64)), doc.take(pa.array(lo + text[each])), pa.array(where)], ["key", "window", "doc", "place"])
+                    where = (tag[text[row]] << _TAG) + (j << _RUN)
+                    yield pa.RecordBatch.from_arrays([pa.array(key[row]), pa.array(h.view(np.int64)), doc.take(pa.array(text[row])), pa.array(where)], ["key", "window", "doc", "place"])
+
+    return _asked(plain, runs).mapInArrow(run, "key long, window long, doc long, place long")
+
+
+def contexts(plain: DataFrame, runs: DataFrame) -> DataFrame:
+    """The bytes of all windows of each run: key, doc, place, context."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for data, offsets, doc, tag, text, key, start, windows in _slices(batch):
+                raw, at = data.tobytes(), offsets[text] + start
+                parts = [raw[a:b] for a, b in zip(at.tolist(), (at + windows - 1 + LENGTH).tolist())]
+                where = (tag[text] << _TAG) + (start << _RUN) + windows - 1
+                yield pa.RecordBatch.from_arrays([pa.array(key), doc.take(pa.array(text)), pa.array(where), pa.array(parts, pa.binary())], ["key", "doc", "place", "context"])
+
+    return _asked(plain, runs).mapInArrow(run, "key long, doc long, place long, context binary")
 
-    joined = plain.join(asked, ["doc", "tag"]).select("doc", "tag", "text", "asked")
-    return joined.mapInArrow(run, "key long, window long, doc long, place long")
+
+def settle(rows: DataFrame) -> DataFrame:
+    """Removed spans (doc, place of the first window with run length) among the runs of each key, compared window by window.
+
+    Rows are dealt by key and sorted by key, doc and place; a task goes through them in order and holds the runs of a few
+    thousand keys at a time. Keys with very many different runs don't come here.
+    """
+
+    def ready(t) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        context = t.column("context").combine_chunks()
+        context = context.chunk(0) if hasattr(context, "chunk") else context
+        _, offsets, data = context.buffers()
+        offsets = np.frombuffer(offsets, np.int32)[context.offset : context.offset + len(t) + 1].astype(np.int64)
+        data = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]]
+        offsets = offsets - offsets[0]
+        total, inverse = running(data)
+        k, row = spread(np.diff(offsets) - LENGTH + 1)
+        at = offsets[row] + k
+        h = mix((total[at + LENGTH] - total[at]) * inverse[at])
+        key = t.column("key").to_numpy().view(np.uint64)
+        h = mix(h + key[row] * np.uint64(0xD6E8FEB86659FD93))
+        gone = np.ones(len(h), bool)
+        gone[np.unique(h, return_index=True)[1]] = False
+        # runs of removed windows that follow each other in one row
+        g = np.flatnonzero(gone)
+        if not len(g):
+            return
+        new = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1] + 1) | (row[g[1:]] != row[g[:-1]])]))
+        first, last = g[new], g[np.append(new[1:], len(g)) - 1]
+        place = t.column("place").to_numpy()[row[first]]
+        where = (place & ~np.int64((1 << _RUN) - 1)) + (k[first] << _RUN) + (last - first)
+        yield pa.RecordBatch.from_arrays([t.column("doc").combine_chunks().take(pa.array(row[first])), pa.array(where)], ["doc", "place"])
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        held, size = [], 0
+        for batch in batches:
+            for lo in range(0, len(batch), 4096):
+                part = batch.slice(lo, 4096)
+                held.append(part)
+                size += len(part)
+                keys = part.column(0)
+                if keys[0].as_py() != keys[-1].as_py() or held[0].column(0)[0].as_py() != keys[0].as_py():
+                    t = pa.Table.from_batches(held)
+                    cut = int(np.searchsorted(t.column("key").to_numpy(), keys[-1].as_py()))
+                    if cut:
+                        yield from ready(t.slice(0, cut).combine_chunks())
+                        held, size = t.slice(cut).to_batches(), size - cut
+        if size:
+            yield from ready(pa.Table.from_batches(held).combine_chunks())
+
+    return rows.repartition("key").sortWithinPartitions("key", "doc", "place").mapInArrow(run, "doc long, place long")
 
 
 def later(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -212,24 +312,26 @@ def repeats(plain: DataFrame, tables: Tables, batches: int = BATCHES) -> DataFra
     tables.release()
     whole = later(found, ["key", "run"])
     classes = found.groupBy("key", "run").agg(F.min(F.struct("doc", "place")).alias("f")).select("key", "f.*")
-    several = classes.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    windows = tables.save(window_hashes(plain.select("doc", "tag", "text"), classes.join(several, "key")), "windows")
-    tables.release()
-    gone = whole.union(later(windows, ["key", "window"]))
+    several = tables.save(classes.join(classes.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"), "several")
+    texts = plain.select("doc", "tag", "text")
+    few = settle(contexts(texts, several.where(F.col("n") <= MANY)))
+    many = later(tables.save(window_hashes(texts, several.where(F.col("n") > MANY)), "windows"), ["key", "window"])
+    gone = whole.union(few).union(many)
     start = F.shiftright(F.col("place").bitwiseAND((1 << _TAG) - 1), _RUN)
     gone = gone.select("doc", F.shiftright("place", _TAG).cast("int").alias("tag"), start.alias("start"), (start + F.col("place").bitwiseAND((1 << _RUN) - 1) + LENGTH).alias("end"))
     spans = gone.groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "end")).alias("spans"))  # bounded by the text's length
     return tables.save(spans, "spans")
 
 
-def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES, keep: list[str] = (), digest: bool = False) -> DataFrame:
-    """doc_id, kept columns, n_bytes, n_removed, n_spans (maximal removed runs), and the remaining text (``kept``) or, with ``digest``, the sha256 of its bytes.
+def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES, carry: bool = False, digest: bool = False) -> DataFrame:
+    """doc_id (and ``row`` if ``carry``), n_bytes, n_removed, n_spans (maximal removed runs), and the remaining text (``kept``) or, with ``digest``, the sha256 of its bytes.
 
     As a text, ``kept`` leaves out the rest of a character that a removal has cut.
     """
     tables = Tables(docs.sparkSession, "substrings")
-    marked = keyed(docs.withColumnRenamed(id_col, "doc_id"), "doc_id", text_col, ["doc_id", *keep])
-    spans = repeats(keyed(docs, id_col, text_col), tables, batches)
+    carried = ["row"] * carry
+    marked = keyed(with_row(docs, id_col, text_col) if carry else text_of(docs, id_col, text_col), "doc_id", *carried)
+    spans = repeats(keyed(text_of(docs, id_col, text_col)), tables, batches)
     last = "kept_sha256" if digest else "kept"
 
     def run(frames: Iterator) -> Iterator:
@@ -260,14 +362,14 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batc
             cols = [pa.array(x, pa.int64()) for x in (n, removed, runs)]
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(3, batch.num_columns)] + cols + [kept], names)
 
-    names = ["doc_id", *keep, "n_bytes", "n_removed", "n_spans", last]
-    others = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    joined = marked.join(spans, ["doc", "tag"], "left").select("doc", "text", "spans", "doc_id", *keep)
-    return joined.mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}{others}, n_bytes long, n_removed long, n_spans long, {last} string")
+    names = ["doc_id", *carried, "n_bytes", "n_removed", "n_spans", last]
+    joined = marked.join(spans, ["doc", "tag"], "left").select("doc", "text", "spans", "doc_id", *carried)
+    kind = T.StructType([f for f in joined.schema.fields if f.name in ("doc_id", "row")])
+    for name in names[-4:-1]:
+        kind = kind.add(name, T.LongType())
+    return joined.mapInArrow(run, kind.add(last, T.StringType()))
 
 
 def strip(docs: DataFrame) -> DataFrame:
     """The documents (doc_id, text, any others) with repeated substrings removed from their texts; n_chars, if there, counts what is left."""
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    out = remove(docs, keep=others)
-    return out.select(*[F.col("kept").alias("text") if c == "text" else F.length("kept").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
+    return replaced(docs, remove(docs, carry=True), "kept")
