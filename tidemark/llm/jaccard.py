@@ -9,7 +9,7 @@ The order puts the most frequent shingles (at most COMMON of them, a bounded tab
 any order gives the same result, this one keeps common lines and passages out of most prefixes.
 
 Only components are asked for, so classes that are already connected are not compared again: first every group is verified
-against the group with which it shares most among the first and the last group of its shingles' lists,
+against a few groups that share most with it, in passes,
 and only then are all remaining pairs between different components compared. No link between components is lost.
 
 Nulls: a null text is an empty one; empty sets link with nothing; a row without id takes part in nothing and gets a null component. Repeated
@@ -27,8 +27,10 @@ from .classify import byte_batches, mix
 from .common import Tables, connected_components, text_of
 
 WORDS, COMMON = 5, 65_536
-#: A shingle in so many documents of one batch counts as frequent; so many in all, and it may be put last.
-LOCAL, OVERALL = 3, 24
+#: A shingle in two documents of a batch, or in one of so many if the batch is large, counts as frequent; so many in all, and it may be put last.
+LOCAL, OVERALL = 2500, 16
+#: Passes before all pairs are looked at, groups under one head, and heads that a group is compared with in a pass.
+PASSES, PART, PARTNERS = 3, 16, 4
 #: Bytes of text that are hashed at a time.
 SLICE = 2 << 20
 _BASE = 0x9E3779B97F4A7C15
@@ -81,7 +83,7 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def frequent(plain: DataFrame) -> DataFrame:
-    """The most frequent shingles over all documents (counted where a batch holds them LOCAL times): at most COMMON rows (token)."""
+    """The most frequent shingles over all documents (counted where a batch holds them more often than by chance): at most COMMON rows (token)."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -90,7 +92,7 @@ def frequent(plain: DataFrame) -> DataFrame:
         for batch in batches:
             sets = [s for _, o, d in byte_batches(batch, 1, SLICE) for s in shingle_sets(o, d)]
             tokens, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, int))
-            often = n >= LOCAL
+            often = n >= 2 + len(batch) // LOCAL
             yield pa.RecordBatch.from_arrays([pa.array(tokens[often].view(np.int64)), pa.array(n[often].astype(np.int64))], ["token", "n"])
 
     counted = plain.mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
@@ -190,15 +192,35 @@ def components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_
     rest = lambda c: F.expr(f"(({percent} * {c} + 99) div 100) - 1")  # noqa: E731  how much lies behind the prefix
     needed = F.ceil(F.lit(percent) * (F.col("size") + F.col("size2")) / (100 + percent) - F.lit(1e-9)) - F.greatest(rest("size"), rest("size2"))
 
-    # groups against heads of their lists; a head shares as much or more with them than is counted here, so pairs left out here come later
-    pairs = classes.join(groups.select("grp", "head"), "grp").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
-    for pick in (F.min, F.max):
-        heads = postings.groupBy("token").agg(pick(F.struct("grp", "size")).alias("h")).select("token", F.col("h.grp").alias("grp2"), F.col("h.size").alias("size2"))
-        met = postings.join(heads, "token").where((F.col("grp") != F.col("grp2")) & sized).groupBy("grp", "grp2", "size", "size2").agg(F.count("*").alias("shared")).where(F.col("shared") >= needed)
-        best = met.groupBy("grp").agg(F.max_by("grp2", F.struct("shared", "grp2")).alias("grp2"))
-        best = best.join(groups.select("grp", F.col("head").alias("b")), "grp").join(groups.select(F.col("grp").alias("grp2"), F.col("head").alias("a")), "grp2")
-        pairs = pairs.union(best.select("a", "b"))
-    links = _verified(plain, classes, pairs, percent, tables, "heads")
+    # A group is first compared with a few others, so that most components are found without looking at all pairs of a list.
+    # Every round cuts each list into small parts by another hash; the least group of a part is its head, and every group
+    # meets the PARTNERS heads with which it shares most, where both are in different components. What is left out here comes later.
+    links = _verified(plain, classes, classes.join(groups.select("grp", "head"), "grp").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")), percent, tables, "inner")
+    of = groups.select("grp", "head", F.col("head").alias("component"))
+    for k in range(PASSES):
+        parts = F.pmod(F.xxhash64("grp", "token", F.lit(k)), F.ceil(F.col("n") / PART))
+        open_ = postings.join(of.select("grp", "component"), "grp")
+        if k:
+            mixed = open_.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("token", "n")
+            open_ = open_.join(mixed, "token")
+        else:
+            open_ = open_.join(postings.groupBy("token").agg(F.count("*").alias("n")), "token")
+        open_ = tables.save(open_.select("token", "grp", "size", "component", "n", parts.alias("part")), f"open{k}")
+        heads = open_.groupBy("token", "part").agg(F.min(F.struct("grp", "size", "component")).alias("h")).select("token", "part", F.col("h.grp").alias("grp2"), F.col("h.size").alias("size2"), F.col("h.component").alias("component2"))
+        met = open_.join(heads, ["token", "part"]).where((F.col("component") != F.col("component2")) & sized)
+        met = met.groupBy("grp", "grp2", "size", "size2").agg(F.count("*").alias("shared"), F.max("n").alias("longest"))
+        # in lists of one part all that two groups share is counted, so pairs that share too little can't be links
+        met = met.where((F.col("shared") >= needed) | (F.col("longest") > PART))
+        best = met.groupBy("grp").agg(F.slice(F.sort_array(F.collect_list(F.struct("shared", F.xxhash64("grp2", F.lit(k)).alias("h"), "grp2")), asc=False), 1, PARTNERS).alias("p"))  # at most as many heads as a prefix has shingles
+        best = best.select("grp", F.explode("p.grp2").alias("grp2"))
+        pairs = best.join(of.select("grp", F.col("head").alias("b")), "grp").join(of.select(F.col("grp").alias("grp2"), F.col("head").alias("a")), "grp2").select("a", "b")
+        found = _verified(plain, classes, pairs, percent, tables, f"pass{k}")
+        tables.drop(f"open{k}")
+        if found.isEmpty():
+            break
+        links = links.union(found)
+        comp = _components(classes, links, tables, f"comp{k}")
+        of = groups.select("grp", "head").join(comp.select(F.col("node").alias("head"), "component"), "head")
 
     # what is left: pairs of groups between different components, filtered by size and by shared prefix shingles
     comp = _components(classes, links, tables, "comp-heads")
