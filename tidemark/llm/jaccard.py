@@ -183,7 +183,7 @@ def components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_
     # postings of groups: one row for each shingle of a group's prefix; only shingles of two groups or more can make pairs
     postings = rows.groupBy("grp").agg(F.min("size").alias("size"), F.first("prefix").alias("prefix")).select("grp", "size", F.explode("prefix").alias("token"))
     postings = postings.repartition("token")
-    lists = postings.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
+    lists = postings.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
     postings = tables.save(postings.join(lists, "token"), "postings")
     tables.release()
 
@@ -193,19 +193,14 @@ def components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_
     needed = F.ceil(F.lit(percent) * (F.col("size") + F.col("size2")) / (100 + percent) - F.lit(1e-9)) - F.greatest(rest("size"), rest("size2"))
 
     # A group is first compared with a few others, so that most components are found without looking at all pairs of a list.
-    # Every round cuts each list into small parts by another hash; the least group of a part is its head, and every group
+    # A pass cuts each list into small parts by another hash; the least group of a part is its head, and every group
     # meets the PARTNERS heads with which it shares most, where both are in different components. What is left out here comes later.
-    links = _verified(plain, classes, classes.join(groups.select("grp", "head"), "grp").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")), percent, tables, "inner")
-    of = groups.select("grp", "head", F.col("head").alias("component"))
+    # Passes end when the lists that still hold several components are so short that all their pairs can be looked at.
+    # Members of a group are compared with its head together with the first pass.
+    within = classes.join(groups.select("grp", "head"), "grp").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    spread = tables.save(postings.join(groups.select("grp", F.col("head").alias("component")), "grp"), "spread0")
     for k in range(PASSES):
-        parts = F.pmod(F.xxhash64("grp", "token", F.lit(k)), F.ceil(F.col("n") / PART))
-        open_ = postings.join(of.select("grp", "component"), "grp")
-        if k:
-            mixed = open_.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("token", "n")
-            open_ = open_.join(mixed, "token")
-        else:
-            open_ = open_.join(postings.groupBy("token").agg(F.count("*").alias("n")), "token")
-        open_ = tables.save(open_.select("token", "grp", "size", "component", "n", parts.alias("part")), f"open{k}")
+        open_ = spread.withColumn("part", F.pmod(F.xxhash64("grp", "token", F.lit(k)), F.ceil(F.col("n") / PART)))
         heads = open_.groupBy("token", "part").agg(F.min(F.struct("grp", "size", "component")).alias("h")).select("token", "part", F.col("h.grp").alias("grp2"), F.col("h.size").alias("size2"), F.col("h.component").alias("component2"))
         met = open_.join(heads, ["token", "part"]).where((F.col("component") != F.col("component2")) & sized)
         met = met.groupBy("grp", "grp2", "size", "size2").agg(F.count("*").alias("shared"), F.max("n").alias("longest"))
@@ -213,21 +208,19 @@ def components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_
         met = met.where((F.col("shared") >= needed) | (F.col("longest") > PART))
         best = met.groupBy("grp").agg(F.slice(F.sort_array(F.collect_list(F.struct("shared", F.xxhash64("grp2", F.lit(k)).alias("h"), "grp2")), asc=False), 1, PARTNERS).alias("p"))  # at most as many heads as a prefix has shingles
         best = best.select("grp", F.explode("p.grp2").alias("grp2"))
-        pairs = best.join(of.select("grp", F.col("head").alias("b")), "grp").join(of.select(F.col("grp").alias("grp2"), F.col("head").alias("a")), "grp2").select("a", "b")
-        found = _verified(plain, classes, pairs, percent, tables, f"pass{k}")
-        tables.drop(f"open{k}")
-        if found.isEmpty():
-            break
-        links = links.union(found)
+        pairs = best.join(groups.select("grp", F.col("head").alias("b")), "grp").join(groups.select(F.col("grp").alias("grp2"), F.col("head").alias("a")), "grp2").select("a", "b")
+        found = _verified(plain, classes, pairs if k else pairs.union(within), percent, tables, f"pass{k}")
+        links = links.union(found) if k else found
         comp = _components(classes, links, tables, f"comp{k}")
-        of = groups.select("grp", "head").join(comp.select(F.col("node").alias("head"), "component"), "head")
+        tables.drop(f"spread{k}")
+        spread = postings.drop("n").join(comp.select("grp", "component").distinct(), "grp")
+        mixed = spread.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("token", "n")
+        spread = tables.save(spread.join(mixed, "token"), f"spread{k + 1}")
+        met_by_all = spread.agg(F.avg("n").alias("n")).first().n
+        if met_by_all is None or met_by_all <= PART or found.isEmpty():
+            break
 
     # what is left: pairs of groups between different components, filtered by size and by shared prefix shingles
-    comp = _components(classes, links, tables, "comp-heads")
-    parts = comp.select("grp", "component").distinct()
-    spread = postings.join(parts, "grp")
-    mixed = spread.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-    spread = tables.save(spread.join(mixed, "token"), "spread")
     tables.drop("postings")
     other = spread.select("token", *[F.col(c).alias(f"{c}2") for c in ("grp", "size", "component")])
     met = spread.join(other, "token").where((F.col("component") < F.col("component2")) & sized)
