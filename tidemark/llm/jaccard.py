@@ -9,7 +9,7 @@ The order puts the most frequent shingles (at most COMMON of them, a bounded tab
 any order gives the same result, this one keeps common lines and passages out of most prefixes.
 
 Only components are asked for, so classes that are already connected are not compared again: first every group is verified
-against a few groups that share most with it, in passes,
+against a few groups that share most with it, in passes that end once the lists still open are short,
 and only then are all remaining pairs between different components compared. No link between components is lost.
 
 Nulls: a null text is an empty one; empty sets link with nothing; a row without id takes part in nothing and gets a null component. Repeated
