@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from tidemark.llm import jaccard, substrings
+from tidemark.llm import embeddings, jaccard, substrings
 from tidemark.llm.common import Tables, connected_components
 from tidemark.llm.embeddings import near_duplicates, sign_code, top_k
 
@@ -112,3 +112,29 @@ def test_top_k_against_all(spark):
         best = sorted((int(d[i]), i) for i in range(300) if i != q)[:5]
         assert [got[q, k + 1] for k in range(5)] == [(i, n) for n, i in best]
     assert (500, 1) not in got
+
+
+def isolated_pairs(n, pairs, dims=64):
+    """n random vectors, of which the first ``pairs`` and the next ``pairs`` are partners at a cosine of 0.9 to 0.93."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(n, dims))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    a, side = x[:pairs], x[pairs : 2 * pairs]
+    side -= (side * a).sum(1, keepdims=True) * a
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    cos = rng.uniform(0.901, 0.93, (pairs, 1))
+    x[pairs : 2 * pairs] = cos * a + np.sqrt(1 - cos * cos) * side
+    return x
+
+
+def test_isolated_pairs_in_a_table_much_larger_than_a_block(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "BLOCK", 16)
+    x = isolated_pairs(5000, 600)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {r.vec_id: r.component_id for r in near_duplicates(df).where("n_links > 0").collect()}
+    assert sum(got.get(600 + i) == i for i in range(600)) >= 595
+
+
+def test_projections_grow_with_the_table():
+    counts = [embeddings.projections(n, 0.9) for n in (5_000, 100_000, 1_000_000, 10_000_000)]
+    assert counts == sorted(set(counts)) and counts[0] >= embeddings.PROJECTIONS

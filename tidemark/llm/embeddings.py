@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -9,8 +10,10 @@ from pyspark.sql import functions as F
 
 from .common import Tables, connected_components
 
-#: Neighbours a vector begins with, random projections, vectors compared in one block, rounds of refinement at most.
+#: Neighbours a vector begins with, least number of random projections, vectors compared in one block, rounds of refinement at most.
 NEIGHBOURS, PROJECTIONS, BLOCK, ROUNDS = 10, 12, 256, 6
+#: Share of links at the threshold itself that no projection may have brought together; projections merged at once.
+MISSED, STEP = 0.01, 8
 #: Members of a neighbourhood that are compared at once; larger neighbourhoods are compared in tiles of this size.
 TILE = 512
 #: Queries of the recall audit and the recall at which refinement may end.
@@ -19,7 +22,9 @@ AUDIT, RECALL = 256, 0.98
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """(id, v) of rows with an id and a vector of finite numbers that is not zero; equal ids are told apart by nothing, so the first by content stays."""
-    v = F.transform(F.col(vec_col), lambda x: x.cast("double"))
+    # floats are kept as they are (half the bytes of each shuffle); all that is computed is computed in doubles
+    kind = vectors.select(vec_col).schema[0].dataType.elementType.simpleString()
+    v = F.transform(F.col(vec_col), lambda x: x.cast("float" if kind == "float" else "double"))
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where("id is not null and v is not null and size(v) > 0")
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = rows.where(finite).where(F.exists("v", lambda x: x != 0))
@@ -66,9 +71,22 @@ def _merge(lists: DataFrame) -> DataFrame:
     return pairs.select("id", "links", F.col("all.near").alias("near"), F.col("all.cos").alias("cos"))
 
 
+def projections(n: int, threshold: float) -> int:
+    """How many random orders of n vectors bring a pair at the threshold into one block, but for a share of MISSED.
+
+    Two vectors share a bit of a sign code with the chance 1 - angle / pi, and are in one block if the bits that tell blocks
+    apart are equal. Blocks begin anywhere in runs of equal codes and codes are not evenly used, which counts as two bits more.
+    """
+    same = 1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi
+    if n <= BLOCK:
+        return 1
+    hit = same ** math.log2(4 * n / BLOCK)
+    return max(PROJECTIONS, math.ceil(math.log(MISSED) / math.log1p(-hit))) if 0 < hit < 1 else PROJECTIONS
+
+
 def _project(rows: DataFrame, n: int, table: int, threshold: float) -> DataFrame:
     """Neighbours within blocks of BLOCK vectors that lie together in the order of a random sign code."""
-    dims_seed = 1000 + table
+    dims_seed, bits = 1000 + table, max(24, n.bit_length())
 
     def code(batches: Iterator) -> Iterator:
         import numpy as np
@@ -78,8 +96,8 @@ def _project(rows: DataFrame, n: int, table: int, threshold: float) -> DataFrame
             if not len(batch):
                 continue
             m = _matrix(batch.column(1))
-            p = m @ np.random.default_rng(dims_seed).normal(size=(m.shape[1], 24))
-            signs = (p > 0) @ (1 << np.arange(23, -1, -1))
+            p = m @ np.random.default_rng(dims_seed).normal(size=(m.shape[1], bits))
+            signs = (p > 0) @ (1 << np.arange(bits - 1, -1, -1))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(signs.astype(np.int64)), pa.array(p[:, -1])], ["id", "v", "code", "last"])
 
     def block(batches: Iterator) -> Iterator:
@@ -102,7 +120,7 @@ def _project(rows: DataFrame, n: int, table: int, threshold: float) -> DataFrame
         return _lists(ids, m @ m.T, threshold)
 
     parts = max(1, min(n // (4 * BLOCK), 4096))
-    coded = rows.mapInArrow(code, "id long, v array<double>, code long, last double")
+    coded = rows.mapInArrow(code, f"id long, v {rows.schema['v'].dataType.simpleString()}, code long, last double")
     return coded.repartitionByRange(parts, "code", "last", "id").sortWithinPartitions("code", "last", "id").mapInArrow(block, _LISTS)
 
 
@@ -111,13 +129,10 @@ def _join_neighbours(rows: DataFrame, lists: DataFrame, number: int, threshold:
 
     A vector whose whole list lies above the threshold (it is saturated) joins the neighbourhoods of those of its
     neighbours that come first in a random order of this round, which its own neighbours choose too, so that a dense
-    region is compared in few neighbourhoods; other vectors join those of all their neighbours. Neighbours farther than twice
-    the threshold's angle are no way to a link and are not followed.
+    region is compared in few neighbourhoods; other vectors join those of all their neighbours, however far these are.
     """
-    near_enough = 2 * threshold * threshold - 1 if threshold > 0 else -1
     priority = lambda c: F.xxhash64(c, F.lit(number))
-    follow = F.transform(F.filter(F.arrays_zip("near", "cos"), lambda p: p["cos"] >= near_enough), lambda p: p["near"])
-    lists = lists.select("id", "links", follow.alias("near")).where("size(links) + size(near) > 0")
+    lists = lists.select("id", "links", "near").where("size(links) + size(near) > 0")
     full = F.size("links") >= NEIGHBOURS
     first = F.transform(F.slice(F.sort_array(F.transform(F.array_union("links", F.array("id")), lambda x: F.struct(priority(x).alias("p"), x.alias("x")))), 1, 2), lambda s: s["x"])
     every = F.concat("links", "near")
@@ -175,11 +190,14 @@ def graph(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", ve
     tables = tables or Tables(vectors.sparkSession, "neighbours")
     rows = tables.save(usable(vectors, id_col, vec_col), "vectors")
     n = rows.count()
-    first = None
-    for t in range(PROJECTIONS):
-        one = _project(rows, n, t, threshold)
-        first = one if first is None else first.union(one)
-    lists = tables.save(_merge(first), "lists-0")
+    lists, count = None, projections(n, threshold)
+    for lo in range(0, count, STEP):  # a few at a time, so that the vectors of few orders lie on disk at once
+        for t in range(lo, min(lo + STEP, count)):
+            one = _project(rows, n, t, threshold)
+            lists = one if lists is None else lists.union(one)
+        lists = tables.save(_merge(lists), "lists-0" if lo + STEP >= count else f"seed-{lo}")
+        tables.drop(f"seed-{lo - STEP}")
+        tables.release()
     links, recall = -1, 0.0
     for number in range(1, ROUNDS + 1):
         # links are never cut off, and a block gives each to both ends, so lists stay symmetric
