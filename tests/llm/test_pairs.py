@@ -138,3 +138,28 @@ def test_isolated_pairs_in_a_table_much_larger_than_a_block(spark, monkeypatch):
 def test_projections_grow_with_the_table():
     counts = [embeddings.projections(n, 0.9) for n in (5_000, 100_000, 1_000_000, 10_000_000)]
     assert counts == sorted(set(counts)) and counts[0] >= embeddings.PROJECTIONS
+
+
+def test_audit_counts_every_vector_alike(spark):
+    # 100 vectors with 99 links each, all found; 100 vectors with one link each, none found
+    true = spark.createDataFrame([(i, 99 if i < 100 else 1) for i in range(200)], "id long, n long")
+    lists = spark.createDataFrame([(i, list(range(99)) if i < 100 else []) for i in range(200)], "id long, links array<long>")
+    assert abs(embeddings._audit(true, lists) - 0.5) < 1e-9
+
+
+def test_recall_under_the_target_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "ROUNDS", 1)
+    monkeypatch.setattr(embeddings, "RECALL", 1.01)
+    df = spark.createDataFrame([(i, [1.0, 0.01 * i]) for i in range(20)], "vec_id long, embedding array<double>")
+    with pytest.raises(RuntimeError, match="recall"):
+        near_duplicates(df)
+
+
+def test_a_group_of_copies_larger_than_a_block(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "BLOCK", 16)
+    x = np.vstack([np.tile(np.eye(8)[0], (100, 1)), np.eye(8)[1:], [[1, 0.1, 0, 0, 0, 0, 0, 0]]])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    report = {}
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_duplicates(df, report=report).collect()}
+    assert all(got[i] == (100, 0) for i in (*range(100), 107)) and all(got[i] == (0, i) for i in range(100, 107))
+    assert report["audited"] == 2  # the copies are one vector

@@ -10,14 +10,15 @@ from pyspark.sql import functions as F
 
 from .common import Tables, connected_components
 
-#: Neighbours a vector begins with, least number of random projections, vectors compared in one block, rounds of refinement at most.
-NEIGHBOURS, PROJECTIONS, BLOCK, ROUNDS = 10, 12, 256, 6
+#: Neighbours a vector begins with, least number of random projections, vectors compared in one block, rounds after which a recall under RECALL is an error.
+NEIGHBOURS, PROJECTIONS, BLOCK, ROUNDS = 10, 12, 256, 24
 #: Share of links at the threshold itself that no projection may have brought together; projections merged at once.
 MISSED, STEP = 0.01, 8
 #: Members of a neighbourhood that are compared at once; larger neighbourhoods are compared in tiles of this size.
 TILE = 512
-#: Queries of the recall audit and the recall at which refinement may end.
-AUDIT, RECALL = 256, 0.98
+#: Vectors with links that the recall audit asks for, vectors it samples at first and at most, the mean recall a vector at
+#: which refinement may end, and the mean growth of a vector's links in a round that counts as none.
+AUDIT, SAMPLE, SAMPLE_MOST, RECALL, GROWTH = 100, 1024, 8192, 0.98, 0.001
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -155,40 +156,62 @@ def _join_neighbours(rows: DataFrame, lists: DataFrame, number: int, threshold:
     return tiled.groupBy("pivot", "tile").applyInArrow(compare, _LISTS)
 
 
-def _audit(rows: DataFrame, lists: DataFrame, threshold: float) -> float:
-    """Share of the links of AUDIT sampled vectors, found by comparing them with all rows in blocks, that the lists hold."""
-    import numpy as np
-
-    # vectors with a link are rare, so half of the queries are taken from those that have one
-    linked = lists.where("size(links) > 0").select("id").orderBy(F.xxhash64("id", F.lit(5))).limit(AUDIT // 2)
-    chosen = rows.join(F.broadcast(linked), "id").union(rows.orderBy(F.xxhash64("id", F.lit(6))).limit(AUDIT // 2)).dropDuplicates(["id"]).collect()
-    if not chosen:
-        return 1.0
-    shared = rows.sparkSession.sparkContext.broadcast(([r.id for r in chosen], np.array([r.v for r in chosen])))
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        ids, q = shared.value
-        q = q / np.abs(q).max(1, keepdims=True)
-        q = q / np.sqrt((q * q).sum(1, keepdims=True))
-        for batch in batches:
-            if len(batch):
-                a, b = np.nonzero(_matrix(batch.column(1)) @ q.T >= threshold)
-                got = batch.column(0).to_numpy()[a]
-                other = np.array(ids)[b]
-                yield pa.RecordBatch.from_arrays([pa.array(other[got != other]), pa.array(got[got != other])], ["id", "near"])
-
-    true = rows.mapInArrow(run, "id long, near long").groupBy("id").agg(F.count("*").alias("n"))
-    have = lists.select("id", F.size("links").alias("have"))
-    r = true.join(have, "id", "left").agg(F.sum("n").alias("n"), F.sum(F.least("n", F.coalesce("have", F.lit(0)))).alias("have")).first()
-    return (r.have or 0) / r.n if r.n else 1.0
+def _truth(rows: DataFrame, n: int, threshold: float, tables: Tables) -> DataFrame:
+    """(id, n) of sampled vectors that have links: how many, found by comparing them with all rows in blocks.
 
+    The sample is drawn from all vectors alike, whatever has been found of them, and enlarged up to SAMPLE_MOST vectors (the
+    bound of what the driver receives) as long as fewer than AUDIT of them have links.
+    """
+    import numpy as np
 
-def graph(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding", tables: Tables | None = None, report: dict | None = None) -> DataFrame:
-    """Neighbour lists (id, links, near, cos) of all usable vectors; every list holds all links that were found. ``report`` gets the audited recall."""
-    tables = tables or Tables(vectors.sparkSession, "neighbours")
-    rows = tables.save(usable(vectors, id_col, vec_col), "vectors")
+    asked = SAMPLE
+    while True:
+        chosen = rows.orderBy(F.xxhash64("id", F.lit(6)), "id").limit(asked).collect()
+        if not chosen:
+            return rows.select("id", F.lit(0).cast("long").alias("n")).limit(0)
+        shared = rows.sparkSession.sparkContext.broadcast(([r.id for r in chosen], np.array([r.v for r in chosen])))
+
+        def run(batches: Iterator, shared=shared) -> Iterator:
+            import pyarrow as pa
+
+            ids, q = np.array(shared.value[0]), shared.value[1]
+            q = q / np.abs(q).max(1, keepdims=True)
+            q = q / np.sqrt((q * q).sum(1, keepdims=True))
+            count = np.zeros(len(ids), np.int64)
+            for batch in batches:
+                for lo in range(0, len(batch), 1024):
+                    part = batch.slice(lo, 1024)
+                    near = _matrix(part.column(1)) @ q.T >= threshold
+                    near &= part.column(0).to_numpy()[:, None] != ids[None, :]
+                    count += near.sum(0)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[count > 0]), pa.array(count[count > 0])], ["id", "n"])
+
+        true = tables.save(rows.mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")), f"truth-{asked}")
+        if len(chosen) < asked or asked >= SAMPLE_MOST or true.count() >= AUDIT:
+            return true
+        asked = min(4 * asked, SAMPLE_MOST)
+
+
+def _audit(true: DataFrame, lists: DataFrame) -> float:
+    """Mean share, over the audited vectors, of a vector's links that the lists hold: a large group weighs no more than its vectors."""
+    have = true.join(lists.select("id", F.size("links").alias("have")), "id", "left")
+    r = have.agg(F.avg(F.least(F.lit(1.0), F.coalesce("have", F.lit(0)) / F.col("n"))).alias("recall")).first()
+    return 1.0 if r.recall is None else r.recall
+
+
+def _growth(old: DataFrame, new: DataFrame) -> float:
+    """Mean share, over the vectors with links, of a vector's links that are new."""
+    both = new.where("size(links) > 0").select("id", F.size("links").alias("n")).join(old.select("id", F.size("links").alias("was")), "id", "left")
+    return both.agg(F.avg(1 - F.coalesce("was", F.lit(0)) / F.col("n")).alias("g")).first().g or 0.0
+
+
+def graph(rows: DataFrame, threshold: float, tables: Tables, report: dict | None = None) -> DataFrame:
+    """Neighbour lists (id, links, near, cos) of distinct vectors (id, v); every list holds all links that were found.
+
+    Rounds of refinement, with further projections wherever the audited recall is short, go on until the recall is RECALL or
+    more and links have stopped growing. If ROUNDS rounds don't reach the recall, that is an error. ``report`` gets the
+    audited recall.
+    """
     n = rows.count()
     lists, count = None, projections(n, threshold)
     for lo in range(0, count, STEP):  # a few at a time, so that the vectors of few orders lie on disk at once
@@ -198,18 +221,25 @@ def graph(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", ve
         lists = tables.save(_merge(lists), "lists-0" if lo + STEP >= count else f"seed-{lo}")
         tables.drop(f"seed-{lo - STEP}")
         tables.release()
-    links, recall = -1, 0.0
+    true = _truth(rows, n, threshold, tables)
+    recall = _audit(true, lists)
     for number in range(1, ROUNDS + 1):
         # links are never cut off, and a block gives each to both ends, so lists stay symmetric
-        lists = tables.save(_merge(lists.union(_join_neighbours(rows, lists, number, threshold))), f"lists-{number}")
+        found = lists.union(_join_neighbours(rows, lists, number, threshold))
+        if recall < RECALL:  # what no list leads to is found by other orders only
+            for t in range(count, count + STEP):
+                found = found.union(_project(rows, n, t, threshold))
+            count += STEP
+        last, lists = lists, tables.save(_merge(found), f"lists-{number}")
+        growth, recall = _growth(last, lists), _audit(true, lists)
         tables.drop(f"lists-{number - 1}")
         tables.release()
-        last, links = links, lists.agg(F.sum(F.size("links"))).first()[0] or 0
-        recall = _audit(rows, lists, threshold)
-        if recall >= RECALL and links <= last * 1.001:
+        if recall >= RECALL and growth <= GROWTH:
             break
     if report is not None:
-        report.update(recall=recall, links=links, rounds=number)
+        report.update(recall=recall, audited=true.count(), rounds=number, projections=count)
+    if recall < RECALL:
+        raise RuntimeError(f"audited recall of links is {recall:.4f} after {number} rounds and {count} projections, under {RECALL}")
     return lists
 
 
@@ -218,16 +248,30 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
 
     Vectors that are null, empty, zero or hold null or non-finite numbers link with nothing; rows with a null id get a null
     component and are not kept. Links are the pairs found by NN-descent with a cosine of ``threshold`` or more, in double
-    precision. Vectors must have one dimension in all. Ties don't matter; of rows that share an id the smallest vector counts.
+    precision; equal vectors are one vector with a count there, and link with each other. Vectors must have one dimension in
+    all. Ties don't matter; of rows that share an id the smallest vector counts.
     """
     spark = vectors.sparkSession
     tables = Tables(spark, "vectors")
-    lists = graph(vectors, threshold, id_col, vec_col, tables, report)
+    rows = tables.save(usable(vectors, id_col, vec_col), "vectors")
+    groups = tables.save(rows.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "groups")
+    several = groups.where("copies > 1")
+    # the rows of vectors that stand more than once, with the id that stands for each
+    members = tables.save(rows.join(several.select("v", F.col("id").alias("first")), "v").select("id", "first"), "members")
+    tables.drop("vectors")
+    lists = graph(groups.select("id", "v"), threshold, tables, report)
     near = lists.where("size(links) > 0").select("id", "links")
     edges = near.select("id", F.explode("links").alias("b")).where("id > b").select(F.col("id").alias("a"), "b")
     comp = connected_components(edges, tables, "links")
+    # a link counts once for every copy at its other end
+    more = near.join(several.select("id", "copies"), "id").select(F.explode("links").alias("id"), (F.col("copies") - 1).alias("more")).groupBy("id").agg(F.sum("more").alias("more"))
+    n = groups.select("id", "copies").join(near.select("id", F.size("links").alias("n")), "id", "left").join(more, "id", "left").join(comp.withColumnRenamed("node", "id"), "id", "left")
+    count = F.coalesce("n", F.lit(0)) + F.coalesce("more", F.lit(0)) + F.col("copies") - 1
+    known = tables.save(n.select("id", count.cast("long").alias("n"), F.coalesce("component", "id").alias("component")), "known")
+    alone = known.join(members.select("id"), "id", "left_anti")
+    copied = members.join(known.withColumnRenamed("id", "first"), "first").select("id", "n", "component")
     ids = vectors.select(F.col(id_col).alias("vec_id"))
-    out = ids.join(near.select(F.col("id").alias("vec_id"), F.size("links").cast("long").alias("n")), "vec_id", "left").join(comp.withColumnRenamed("node", "vec_id"), "vec_id", "left")
+    out = ids.join(alone.unionByName(copied).withColumnRenamed("id", "vec_id"), "vec_id", "left")
     out = out.select("vec_id", F.coalesce("n", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
