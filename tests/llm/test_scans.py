@@ -135,3 +135,21 @@ def test_pooling_covers_every_window():
     p, owner = quality.pooled(quality.tables(kernel), offsets, data)
     q, owner2, _ = quality.pooled_rows(kernel, offsets, data)
     assert (owner == owner2).all() and np.allclose(p, q, atol=1e-4)
+
+
+def test_secret_threshold_is_the_recall_quantile():
+    scores = np.linspace(0.2, 0.8, 100)
+    assert (scores >= secrets.threshold(scores)).mean() >= secrets.RECALL
+
+
+def test_secret_candidates_are_all_runs_that_no_rule_covers():
+    text = "key sk_live_0123456789abcdef01234567 then qwertyuiopasdfgh and Xy9_kw7"
+    got = [text[a:b] for a, b in secrets.candidates(text, secrets.by_rules(text))]
+    assert got == ["sk_live_0123456789abcdef01234567", "qwertyuiopasdfgh", "Xy9_kw7"]
+    text = "token=abcdef12 0123456789abcdef01234567"
+    assert secrets.candidates(text, secrets.by_rules(text)) == []
+
+
+def test_texts_with_one_short_run_are_scanned():
+    data = "a b c Xy9_kw7".encode()
+    assert secrets.worth(np.array([0, len(data)]), np.frombuffer(data, np.uint8)).all()
