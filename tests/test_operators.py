@@ -176,3 +176,13 @@ def test_sources(spark, tmp_path):
     assert [r.a for r in files.json_state(spark, str(tmp_path / "s.json"), "a int").collect()] == [1]
     pages = spark.createDataFrame([("s", 1, list(range(20))), ("s", 2, [1]), ("s", 3, [2])], "source_key string, page int, items array<int>")
     assert files.feed_pages(pages).count() == 21
+
+
+def test_title_pairs_compare_whole_titles_across_gaps(spark):
+    from tidemark.plans.texts import title_pairs
+
+    head = "the same forty characters begin them all and go on to more than eighty characters here "
+    d = spark.createDataFrame([(1, head + "A\nx"), (2, head + "B"), (7, "other"), (9, head + "A\ny"), (10, None)], "doc_id long, text string")
+    got = {(r.doc_id, r.other_id): (r.title, r.other) for r in title_pairs(d).collect()}
+    assert set(got) == {(1, 2), (2, 7), (7, 9), (9, 10), (1, 9)}
+    assert got[1, 2] == (head + "A", head + "B") and got[1, 9] == (head + "A", head + "A")

@@ -169,11 +169,24 @@ def gate_retry(spark, sf_dir):
     return S.gated(d, S.extractive(40)).select("doc_id", "retried", "summary")
 
 
+def title_pairs(documents: DataFrame) -> DataFrame:
+    """(doc_id, title, other_id, other) of whole first lines: neighbours by id, whatever gaps lie between ids, and the first
+    document of each normalised title with all others of that title; exact blocks, no all-pairs."""
+    from ..operators.queues import batches
+
+    d = batches(documents.where("doc_id is not null").select("doc_id", F.split("text", "\n")[0].alias("title")), "doc_id", 1).select("index", "doc_id", "title", segments.normal_text("title").alias("key"))
+    other = d.select(F.col("doc_id").alias("other_id"), F.col("title").alias("other"), "index", "key")
+    beside = d.select("doc_id", "title", (F.col("index") + 1).alias("index")).join(other.drop("key"), "index").drop("index")
+    first = d.where("key <> ''").groupBy("key").agg(F.min(F.struct("index", "doc_id", "title")).alias("f")).select("key", F.col("f.doc_id").alias("doc_id"), F.col("f.title").alias("title"), F.col("f.index").alias("at"))
+    # a neighbour is a pair already
+    same = first.join(other, "key").where("index > at + 1").drop("key", "at", "index")
+    return beside.unionByName(same)
+
+
 def similarity_titles(spark, sf_dir):
-    """Titles of documents with the same text of another id, and of neighbours by id: exact blocks, no all-pairs."""
-    d = docs(spark, sf_dir).select("doc_id", F.substring("title", 1, 40).alias("title"))
-    pairs = d.join(d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("title").alias("next")), "doc_id")
-    return pairs.select("doc_id", F.round(segments.similarity("title", "next"), 9).alias("ratio"), segments.redundant_title("title", "next").alias("redundant"))
+    """How alike the titles (whole first lines) of neighbours by id and of documents with one normalised title are."""
+    pairs = title_pairs(read(spark, sf_dir, "documents"))
+    return pairs.select("doc_id", "other_id", F.round(segments.similarity("title", "other"), 9).alias("ratio"), segments.redundant_title("title", "other").alias("redundant"))
 
 
 def two_stage_summary(spark, sf_dir):
