@@ -2,18 +2,21 @@
 
 A document is the set of its distinct word shingles, as 64-bit hashes. Documents with equal sets are one class. In one global order
 of shingles, two sets can only reach the threshold if their prefixes share a shingle. Classes with the same prefix and the
-same size form a group, groups meet on the shingles of their prefixes, group pairs are filtered by size and by how many prefix shingles
-they share, and the pairs that are left are expanded to their member classes and verified on the whole sets.
+same size form a group, groups meet on the shingles of their prefixes, group pairs are filtered by size and by where the first shingle
+that they share stands, and the pairs that are left are expanded to their member classes and verified.
 
-The order puts the most frequent shingles (at most COMMON of them, a bounded table) last and follows the hash otherwise;
-any order gives the same result, this one keeps common lines and passages out of most prefixes.
+The order is that of the number of documents that hold a shingle, rarest first, so common lines and passages stand outside most
+prefixes. The counts are exact: shingles are counted in buckets of their hash, where a slice of documents sends each of its shingles
+once, and what occurs twice or more goes back to its slice. Shingles of one document can link nothing, so only the others are kept;
+they also suffice to verify a pair, together with the sizes of the sets.
 
 Only components are asked for, so classes that are already connected are not compared again: first every group is verified
 against a few groups that share most with it, in passes that end once the lists still open are short,
 and only then are all remaining pairs between different components compared. No link between components is lost.
 
 Nulls: a null text is an empty one; empty sets link with nothing; a row without id takes part in nothing and gets a null component. Repeated
-rows are equal sets. Other columns are ignored. Very long texts are taken whole.
+rows are equal sets. Other columns are ignored. Very long texts are taken whole. The documents must come from a plan that gives the same
+rows in the same order when a lost part is computed again, such as a table.
 """
 
 from __future__ import annotations
@@ -26,13 +29,14 @@ from pyspark.sql import functions as F
 from .classify import byte_batches, mix
 from .common import Tables, connected_components, text_of
 
-WORDS, COMMON = 5, 65_536
-#: A shingle in two documents of a batch, or in one of so many if the batch is large, counts as frequent; so many in all, and it may be put last.
-LOCAL, OVERALL = 2500, 16
-#: Passes before all pairs are looked at, groups under one head, and heads that a group is compared with in a pass.
-PASSES, PART, PARTNERS = 3, 16, 4
-#: Bytes of text that are hashed at a time.
-SLICE = 2 << 20
+WORDS = 5
+#: Shingles in fewer documents than this are not told apart by their number (those of one document come first).
+OVERALL = 2
+#: Most passes before all pairs are looked at, groups under one head, and heads that a group is compared with in a pass.
+PASSES, PART, PARTNERS = 6, 16, 4
+#: Bytes of text that are hashed at a time, and about so many bytes of text a bucket of shingles.
+SLICE, BUCKET = 2 << 20, 4 << 20
+_MANY = 1 << 31
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _PLACE = [(0xBF58476D1CE4E5B9 * (2 * j + 3) + 2 * j) % (1 << 64) | 1 for j in range(WORDS)]
@@ -82,74 +86,146 @@ def prefix_length(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
-def frequent(plain: DataFrame) -> DataFrame:
-    """The most frequent shingles over all documents (counted where a batch holds them more often than by chance): at most COMMON rows (token)."""
+_TRAVEL = "slice long, bucket long, tokens binary, refs binary, counts binary, ids array<long>, sizes array<int>, nodes array<long>"
 
-    def run(batches: Iterator) -> Iterator:
-        import numpy as np
-        import pyarrow as pa
 
-        for batch in batches:
-            sets = [s for _, o, d in byte_batches(batch, 1, SLICE) for s in shingle_sets(o, d)]
-            tokens, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, int))
-            often = n >= 2 + len(batch) // LOCAL
-            yield pa.RecordBatch.from_arrays([pa.array(tokens[often].view(np.int64)), pa.array(n[often].astype(np.int64))], ["token", "n"])
+def _rows(rows: list[dict]):
+    import pyarrow as pa
+
+    kinds = {"slice": pa.int64(), "bucket": pa.int64(), "tokens": pa.binary(), "refs": pa.binary(), "counts": pa.binary(), "ids": pa.list_(pa.int64()), "sizes": pa.list_(pa.int32()), "nodes": pa.list_(pa.int64())}
+    return pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in rows], k) for c, k in kinds.items()], list(kinds))
 
-    counted = plain.mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    return counted.where(F.col("n") >= OVERALL).orderBy(F.desc("n"), "token").limit(COMMON).select("token")
 
+def dealt_shingles(plain: DataFrame, bits: int) -> DataFrame:
+    """The distinct shingles of every slice of documents, in 2^bits buckets, and one head row a slice that describes its documents.
 
-def describe(plain: DataFrame, percent: int, common) -> DataFrame:
-    """doc_id, size, node (hash of the set), grp (hash of size and prefix) and prefix of every document."""
-    shared = plain.sparkSession.sparkContext.broadcast(common)  # at most COMMON numbers
+    ``refs`` tells which document of the slice holds a shingle; if several do, it is the number of a list in the head
+    (plus _MANY), so that a shingle which stands everywhere is sent once a slice, with the length of its list in ``counts``.
+    """
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
-        import pyarrow as pa
+        from pyspark import TaskContext
 
-        last = shared.value
         np.seterr(over="ignore")
+        number = TaskContext.get().partitionId() << 32
         for batch in batches:
             for lo, o, d in byte_batches(batch, 1, SLICE):
                 sets = shingle_sets(o, d)
-                flat, at = np.concatenate(sets), np.cumsum([0, *map(len, sets)])
-                late = last[np.minimum(np.searchsorted(last, flat), len(last) - 1)] == flat if len(last) else np.zeros(len(flat), bool)
-                node = mix(flat * np.uint64(0x9FB21C651E98DF25))
-                size, nodes, grp, prefix = [], [], [], []
-                for a, b in zip(at, at[1:]):
-                    u = flat[a:b]
-                    order = np.concatenate([u[~late[a:b]], u[late[a:b]]]) if late[a:b].any() else u
-                    p = order[: prefix_length(b - a, percent)] if b > a else order
-                    size.append(b - a)
-                    nodes.append(node[a:b].sum() + np.uint64(b - a))
-                    grp.append(mix(p * np.uint64(0xA24BAED4963EE407)).sum() + np.uint64((int(b - a) * _BASE) % (1 << 64)))
-                    prefix.append(p)
-                cuts = np.cumsum([0, *map(len, prefix)])
-                lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(np.concatenate(prefix).view(np.int64)))
-                cols = [batch.column(0).slice(lo, len(sets)), pa.array(size, pa.int32()), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(np.array(grp, np.uint64).view(np.int64)), lists]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "size", "node", "grp", "prefix"])
-
-    return plain.mapInArrow(run, "doc_id long, size int, node long, grp long, prefix array<long>")
-
-
-def whole_sets(plain: DataFrame) -> DataFrame:
-    """node and the whole set (sorted uint64 values as bytes) of every document."""
+                size = np.array([len(x) for x in sets], np.int64)
+                flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.uint32), size)
+                spread = np.concatenate([[np.uint64(0)], np.cumsum(mix(flat * np.uint64(0x9FB21C651E98DF25)))])
+                at = np.concatenate([[0], np.cumsum(size)])
+                node = spread[at[1:]] - spread[at[:-1]] + size.astype(np.uint64)
+                order = np.argsort(flat, kind="stable")
+                flat, owner = flat[order], owner[order]
+                first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])) if len(flat) else np.zeros(0, int)
+                count = np.diff(np.append(first, len(flat)))
+                token, ref, many = flat[first], owner[first], count > 1
+                ref[many] = np.uint32(_MANY) + np.arange(many.sum(), dtype=np.uint32)
+                members = owner[np.repeat(many, count)]
+                rows = [{"slice": number, "bucket": number % (1 << bits), "refs": members.tobytes(), "counts": count[many].astype(np.uint32).tobytes(), "ids": batch.column(0).slice(lo, len(sets)).to_pylist(), "sizes": size.tolist(), "nodes": node.view(np.int64).tolist()}]
+                bucket = (token >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(token), np.int64)
+                cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(token) else np.zeros(0, int)
+                for a, b in zip(cuts.tolist(), np.append(cuts[1:], len(token)).tolist()):
+                    rows.append({"slice": number, "bucket": int(bucket[a]), "tokens": token[a:b].tobytes(), "refs": ref[a:b].tobytes(), "counts": count[a:b][many[a:b]].astype(np.uint32).tobytes()})
+                yield _rows(rows)
+                number += 1
+
+    return plain.mapInArrow(run, _TRAVEL)
+
+
+def _by_key(batches: Iterator, column: int) -> Iterator[list[dict]]:
+    """Runs of rows that agree in a column, from batches that are sorted by it."""
+    held, key = [], None
+    for batch in batches:
+        for k in range(0, len(batch), 64):
+            for r in batch.slice(k, 64).to_pylist():
+                if held and r[batch.schema.names[column]] != key:
+                    yield held
+                    held = []
+                key = r[batch.schema.names[column]]
+                held.append(r)
+    if held:
+        yield held
+
+
+def shared_shingles(dealt: DataFrame) -> DataFrame:
+    """The rows of ``dealt`` with only those shingles that two documents or more hold; ``counts`` is the number of documents of each."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
-        import pyarrow as pa
-
-        np.seterr(over="ignore")
-        for batch in batches:
-            for _, o, d in byte_batches(batch, 1, SLICE):
-                sets = shingle_sets(o, d)
-                node = [mix(s * np.uint64(0x9FB21C651E98DF25)).sum() + np.uint64(len(s)) for s in sets]
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(node, np.uint64).view(np.int64)), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "tokens"])
 
-    return plain.select("doc_id", "text").mapInArrow(run, "node long, tokens binary")
+        for rows in _by_key(batches, 1):
+            heads = [r for r in rows if r["tokens"] is None]
+            for r in heads:
+                yield _rows([r])
+            rows = [r for r in rows if r["tokens"] is not None]
+            if not rows:
+                continue
+            tokens = [np.frombuffer(r["tokens"], np.uint64) for r in rows]
+            refs = np.concatenate([np.frombuffer(r["refs"], np.uint32) for r in rows])
+            weight = np.ones(len(refs), np.int64)
+            weight[refs >= _MANY] = np.concatenate([np.frombuffer(r["counts"], np.uint32) for r in rows])
+            at, flat = np.cumsum([0, *map(len, tokens)]), np.concatenate(tokens)
+            order = np.argsort(flat, kind="stable")
+            first = np.flatnonzero(np.concatenate([[True], flat[order][1:] != flat[order][:-1]]))
+            total = np.add.reduceat(weight[order], first)
+            n = np.empty(len(flat), np.int64)
+            n[order] = np.repeat(total, np.diff(np.append(first, len(flat))))
+            for r, a, b in zip(rows, at[:-1], at[1:]):
+                keep = n[a:b] > 1
+                if keep.any():
+                    yield _rows([{"slice": r["slice"], "bucket": r["bucket"], "tokens": flat[a:b][keep].tobytes(), "refs": refs[a:b][keep].tobytes(), "counts": np.minimum(n[a:b][keep], _MANY).astype(np.uint32).tobytes()}])
+
+    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, _TRAVEL)
+
+
+def described(shared: DataFrame, percent: int) -> DataFrame:
+    """doc_id, size, node (hash of the set), grp (hash of size and prefix), alone (number of shingles that no other document
+    holds), tokens (the other shingles in the global order, as bytes) and prefix (those of them that stand in the prefix) of every document."""
 
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+        np.seterr(over="ignore")
+        for rows in _by_key(batches, 0):
+            (head,), rows = [r for r in rows if r["tokens"] is None], [r for r in rows if r["tokens"] is not None]
+            none = np.zeros(0, np.uint64)
+            token = np.concatenate([none, *(np.frombuffer(r["tokens"], np.uint64) for r in rows)])
+            ref, n = (np.concatenate([none.astype(np.uint32), *(np.frombuffer(r[c], np.uint32) for r in rows)]) for c in ("refs", "counts"))
+            lists, length = np.frombuffer(head["refs"], np.uint32), np.frombuffer(head["counts"], np.uint32).astype(np.int64)
+            start = np.cumsum(length) - length
+            many = ref >= _MANY
+            which = (ref[many] - np.uint32(_MANY)).astype(np.int64)
+            times = np.ones(len(ref), np.int64)
+            times[many] = length[which]
+            owner = np.repeat(ref, times).astype(np.int64)
+            step = np.arange(times[many].sum()) - np.repeat(np.cumsum(times[many]) - times[many], times[many])
+            owner[np.repeat(many, times)] = lists[np.repeat(start[which], times[many]) + step]
+            token, n = np.repeat(token, times), np.repeat(n, times)
+            order = np.lexsort((token, np.where(n >= OVERALL, n, 0), owner))
+            token, owner = token[order], owner[order]
+            size = np.array(head["sizes"], np.int64)
+            at = np.searchsorted(owner, np.arange(len(size) + 1))
+            alone = size - np.diff(at)
+            inside = np.clip(np.where(size > 0, prefix_length(size, percent), 0) - alone, 0, None)
+            node = np.array(head["nodes"], np.int64)
+            grp = node.copy()
+            for i in np.flatnonzero((alone == 0) & (size > 0)):
+                grp[i] = (mix(token[at[i] : at[i] + inside[i]] * np.uint64(0xA24BAED4963EE407)).sum() + np.uint64(int(size[i]) * _BASE % (1 << 64))).view(np.int64)
+            cuts = np.concatenate([[0], np.cumsum(inside)])
+            pick = np.arange(cuts[-1]) - np.repeat(cuts[:-1], inside) + np.repeat(at[:-1], inside)
+            prefix = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(token[pick].view(np.int64)))
+            blobs = pa.array([token[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())
+            cols = [pa.array(head["ids"], pa.int64()), pa.array(size, pa.int32()), pa.array(node), pa.array(grp), pa.array(alone, pa.int32()), blobs, prefix]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "size", "node", "grp", "alone", "tokens", "prefix"])
+
+    return shared.repartition("slice").sortWithinPartitions("slice").mapInArrow(run, "doc_id long, size int, node long, grp long, alone int, tokens binary, prefix array<long>")
+
+
+def verify(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes whose sets reach the threshold."""
 
     def run(batches: Iterator) -> Iterator:
@@ -158,39 +234,40 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
         for batch in batches:
             keep = np.zeros(len(batch), bool)
-            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
+            m, n = batch.column(2).to_numpy().astype(np.int64), batch.column(3).to_numpy().astype(np.int64)
+            for i, (x, y) in enumerate(zip(batch.column(4), batch.column(5))):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(x) + len(y) - len(np.union1d(x, y))
-                keep[i] = 100 * both >= percent * (len(x) + len(y) - both)
+                both = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
+                keep[i] = 100 * both >= percent * (m[i] + n[i] - both)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], ["a", "b"])
 
-    left, right = sets.select(F.col("node").alias("b"), F.col("tokens").alias("right")), sets.select(F.col("node").alias("a"), F.col("tokens").alias("left"))
-    return pairs.join(left, "b").join(right, "a").select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
+    side = lambda k, t, n: classes.select(F.col("node").alias(k), F.col("tokens").alias(t), F.col("size").alias(n))
+    return pairs.join(side("b", "right", "m"), "b").join(side("a", "left", "n"), "a").select("a", "b", "m", "n", "left", "right").mapInArrow(run, "a long, b long")
 
 
 def components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id reachable by links, itself included) of every row."""
-    import numpy as np
-
     spark, tables = docs.sparkSession, Tables(docs.sparkSession, "jaccard")
     plain = text_of(docs, id_col, text_col)
-    common = np.sort(np.array([r.token for r in frequent(plain).collect()], np.int64).view(np.uint64))
-    every = tables.save(describe(plain, percent, common), "sets")
-    rows = every.where("doc_id is not null and size > 0")
-    classes = tables.save(rows.groupBy("node").agg(F.min("size").alias("size"), F.min("grp").alias("grp"), F.min("doc_id").alias("doc_id")), "classes")
-    groups = classes.groupBy("grp").agg(F.min("size").alias("size"), F.min("node").alias("head"))
+    n_bytes = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = max(0, (n_bytes // BUCKET).bit_length())
+    every = tables.save(described(shared_shingles(dealt_shingles(plain, bits)), percent), "sets")
+    tables.release()
+    rows = every.where("doc_id is not null and length(tokens) > 0")
+    classes = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("size", "grp", "alone", "tokens", "prefix")])
+    classes = tables.save(classes, "classes")
+    groups = classes.groupBy("grp").agg(F.min("size").alias("size"), F.min("alone").alias("alone"), F.min("node").alias("head"))
 
     # postings of groups: one row for each shingle of a group's prefix; only shingles of two groups or more can make pairs
-    postings = rows.groupBy("grp").agg(F.min("size").alias("size"), F.first("prefix").alias("prefix")).select("grp", "size", F.explode("prefix").alias("token"))
-    postings = postings.repartition("token")
+    heads = classes.join(groups.select(F.col("head").alias("node")), "node", "left_semi")
+    postings = heads.select("grp", "size", F.col("node").alias("head"), "alone", F.posexplode("prefix").alias("k", "token"))
+    postings = postings.select("grp", "size", "head", (F.col("alone") + F.col("k")).alias("pos"), "token")
     lists = postings.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
     postings = tables.save(postings.join(lists, "token"), "postings")
     tables.release()
 
     shorter, longer = F.least("size", "size2"), F.greatest("size", "size2")
     sized = 100 * shorter >= percent * longer
-    rest = lambda c: F.expr(f"(({percent} * {c} + 99) div 100) - 1")  # noqa: E731  how much lies behind the prefix
-    needed = F.ceil(F.lit(percent) * (F.col("size") + F.col("size2")) / (100 + percent) - F.lit(1e-9)) - F.greatest(rest("size"), rest("size2"))
 
     # A group is first compared with a few others, so that most components are found without looking at all pairs of a list.
     # A pass cuts each list into small parts by another hash; the least group of a part is its head, and every group
@@ -198,59 +275,66 @@ def components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_
     # Passes end when the lists that still hold several components are so short that all their pairs can be looked at.
     # Members of a group are compared with its head together with the first pass.
     within = classes.join(groups.select("grp", "head"), "grp").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
-    spread = tables.save(postings.join(groups.select("grp", F.col("head").alias("component")), "grp"), "spread0")
+    spread = postings.withColumnRenamed("head", "component")
     for k in range(PASSES):
         open_ = spread.withColumn("part", F.pmod(F.xxhash64("grp", "token", F.lit(k)), F.ceil(F.col("n") / PART)))
-        heads = open_.groupBy("token", "part").agg(F.min(F.struct("grp", "size", "component")).alias("h")).select("token", "part", F.col("h.grp").alias("grp2"), F.col("h.size").alias("size2"), F.col("h.component").alias("component2"))
-        met = open_.join(heads, ["token", "part"]).where((F.col("component") != F.col("component2")) & sized)
-        met = met.groupBy("grp", "grp2", "size", "size2").agg(F.count("*").alias("shared"), F.max("n").alias("longest"))
-        # in lists of one part all that two groups share is counted, so pairs that share too little can't be links
-        met = met.where((F.col("shared") >= needed) | (F.col("longest") > PART))
+        first = open_.groupBy("token", "part").agg(F.min(F.struct(F.xxhash64("grp", F.lit(k)).alias("h"), "grp", "size", "component")).alias("h")).select("token", "part", F.col("h.grp").alias("grp2"), F.col("h.size").alias("size2"), F.col("h.component").alias("component2"))
+        met = open_.join(first, ["token", "part"]).where((F.col("component") != F.col("component2")) & sized)
+        met = met.groupBy("grp", "grp2").agg(F.count("*").alias("shared"))
         best = met.groupBy("grp").agg(F.slice(F.sort_array(F.collect_list(F.struct("shared", F.xxhash64("grp2", F.lit(k)).alias("h"), "grp2")), asc=False), 1, PARTNERS).alias("p"))  # at most as many heads as a prefix has shingles
         best = best.select("grp", F.explode("p.grp2").alias("grp2"))
         pairs = best.join(groups.select("grp", F.col("head").alias("b")), "grp").join(groups.select(F.col("grp").alias("grp2"), F.col("head").alias("a")), "grp2").select("a", "b")
-        found = _verified(plain, classes, pairs if k else pairs.union(within), percent, tables, f"pass{k}")
+        found = _verified(classes, pairs if k else pairs.union(within), percent, tables, f"pass{k}")
         links = links.union(found) if k else found
         comp = _components(classes, links, tables, f"comp{k}")
         tables.drop(f"spread{k}")
-        spread = postings.drop("n").join(comp.select("grp", "component").distinct(), "grp")
-        mixed = spread.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("token", "n")
-        spread = tables.save(spread.join(mixed, "token"), f"spread{k + 1}")
-        met_by_all = spread.agg(F.avg("n").alias("n")).first().n
+        spread = tables.save(_open(postings, comp, percent), f"spread{k + 1}")
+        tables.release()
+        met_by_all = spread.agg(F.avg("n").alias("n")).first().n  # over rows, so it bounds the pairs a row makes, whatever the longest list
         if met_by_all is None or met_by_all <= PART or found.isEmpty():
             break
 
-    # what is left: pairs of groups between different components, filtered by size and by shared prefix shingles
+    # What is left: pairs of groups between different components, filtered by size and by the place of the shingle. The first
+    # shingle that two sets share must stand so early in both that what is behind it suffices for the threshold.
     tables.drop("postings")
-    other = spread.select("token", *[F.col(c).alias(f"{c}2") for c in ("grp", "size", "component")])
-    met = spread.join(other, "token").where((F.col("component") < F.col("component2")) & sized)
-    met = met.groupBy("grp", "component", "grp2", "component2", "size", "size2").agg(F.count("*").alias("shared")).where(F.col("shared") >= needed)
+    other = spread.select("token", *[F.col(c).alias(f"{c}2") for c in ("grp", "size", "component", "pos")])
+    early = lambda size, pos: (100 + percent) * (F.col(size) - F.col(pos)) >= percent * (F.col("size") + F.col("size2"))
+    met = spread.join(other, "token").where((F.col("component") < F.col("component2")) & sized & early("size", "pos") & early("size2", "pos2"))
+    met = met.select("grp", "component", "grp2", "component2").distinct()
     a = comp.select(F.col("node").alias("a"), "grp", "component")
     b = comp.select(F.col("node").alias("b"), F.col("grp").alias("grp2"), F.col("component").alias("component2"))
     left = met.join(a, ["grp", "component"]).join(b, ["grp2", "component2"]).select("a", "b")
-    same = a.join(b.withColumnRenamed("grp2", "grp"), "grp").where("component < component2").select("a", "b")
-    links = links.union(_verified(plain, classes, left.union(same), percent, tables, "left"))
+    several = comp.groupBy("grp").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("grp")
+    same = a.join(several, "grp").join(b.withColumnRenamed("grp2", "grp"), "grp").where("component < component2").select("a", "b")
+    links = links.union(_verified(classes, left.union(same), percent, tables, "left"))
     comp = _components(classes, links, tables, "comp")
 
-    # back to documents: the smallest id of each component
+    # back to documents: the smallest id of each component; what shares no shingle with any other is alone
     least = comp.join(classes.select("node", "doc_id"), "node").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     of = comp.join(least, "component").select("node", "component_id")
     out = every.select("doc_id", "size", "node").join(of, "node", "left")
-    alone = F.when(F.col("doc_id").isNull(), None).when(F.col("size") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("size").cast("long").alias("n_shingles"), alone.alias("component_id"))
+    component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("size") == 0, F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id")))
+    return out.select("doc_id", F.col("size").cast("long").alias("n_shingles"), component.alias("component_id"))
 
 
-def _verified(plain: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int, tables: Tables, name: str) -> DataFrame:
-    """The links among ``pairs`` of nodes; only the texts of documents in a pair are turned into whole sets again."""
-    pairs = tables.save(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"pairs-{name}")
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    ids = classes.join(nodes, "node").select("doc_id").distinct()
-    sets = tables.save(whole_sets(plain.join(ids, "doc_id")), f"whole-{name}")
-    tables.release()
-    links = tables.save(verify(pairs, sets, percent).distinct(), f"links-{name}")
-    tables.drop(f"whole-{name}", f"pairs-{name}")
-    tables.release()
-    return links
+def _open(postings: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
+    """The postings in lists that still hold several components, with the component and the length of the list.
+
+    A posting that stands so late in its prefix that no set of the list is small enough to be linked over it is left out;
+    it would only matter if it were the first shingle that two sets share.
+    """
+    spread = postings.select("token", "grp", "size", "pos").join(comp.select("grp", "component").distinct(), "grp")
+    least = spread.groupBy("token").agg(F.min("size").alias("least"))
+    reach = (100 + percent) * (F.col("size") - F.col("pos")) >= percent * (F.col("size") + F.greatest("least", F.expr(f"({percent} * size + 99) div 100")))
+    spread = spread.join(least, "token").where(reach).drop("least")
+    mixed = spread.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("token", "n")
+    return spread.join(mixed, "token")
+
+
+def _verified(classes: DataFrame, pairs: DataFrame, percent: int, tables: Tables, name: str) -> DataFrame:
+    """The links among ``pairs`` of nodes."""
+    pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return tables.save(verify(pairs, classes, percent).distinct(), f"links-{name}")
 
 
 def _components(classes: DataFrame, links: DataFrame, tables: Tables, name: str) -> DataFrame:
