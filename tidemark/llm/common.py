@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -57,6 +58,7 @@ class Tables:
         """Let Spark delete the shuffle files of DataFrames that are no longer referenced."""
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
+        time.sleep(1)  # the files are deleted by another thread
 
 
 def text_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

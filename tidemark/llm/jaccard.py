@@ -36,7 +36,6 @@ OVERALL = 2
 PASSES, PART, PARTNERS = 6, 16, 4
 #: Bytes of text that are hashed at a time, and about so many bytes of text a bucket of shingles.
 SLICE, BUCKET = 2 << 20, 4 << 20
-_MANY = 1 << 31
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _PLACE = [(0xBF58476D1CE4E5B9 * (2 * j + 3) + 2 * j) % (1 << 64) | 1 for j in range(WORDS)]
@@ -86,21 +85,21 @@ def prefix_length(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
-_TRAVEL = "slice long, bucket long, tokens binary, refs binary, counts binary, ids array<long>, sizes array<int>, nodes array<long>"
+_TRAVEL = "slice long, bucket long, docs int, tokens binary, refs binary, counts binary, ids array<long>, sizes array<int>, nodes array<long>"
 
 
 def _rows(rows: list[dict]):
     import pyarrow as pa
 
-    kinds = {"slice": pa.int64(), "bucket": pa.int64(), "tokens": pa.binary(), "refs": pa.binary(), "counts": pa.binary(), "ids": pa.list_(pa.int64()), "sizes": pa.list_(pa.int32()), "nodes": pa.list_(pa.int64())}
+    kinds = {"slice": pa.int64(), "bucket": pa.int64(), "docs": pa.int32(), "tokens": pa.binary(), "refs": pa.binary(), "counts": pa.binary(), "ids": pa.list_(pa.int64()), "sizes": pa.list_(pa.int32()), "nodes": pa.list_(pa.int64())}
     return pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in rows], k) for c, k in kinds.items()], list(kinds))
 
 
 def dealt_shingles(plain: DataFrame, bits: int) -> DataFrame:
     """The distinct shingles of every slice of documents, in 2^bits buckets, and one head row a slice that describes its documents.
 
-    ``refs`` tells which document of the slice holds a shingle; if several do, it is the number of a list in the head
-    (plus _MANY), so that a shingle which stands everywhere is sent once a slice, with the length of its list in ``counts``.
+    ``refs`` tells which document of the slice holds a shingle; if several do, it is ``docs`` plus the number of a list in the
+    head, so that a shingle which stands everywhere is sent once a slice, with the length of its list in ``counts``.
     """
 
     def run(batches: Iterator) -> Iterator:
@@ -122,19 +121,32 @@ def dealt_shingles(plain: DataFrame, bits: int) -> DataFrame:
                 first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])) if len(flat) else np.zeros(0, int)
                 count = np.diff(np.append(first, len(flat)))
                 token, ref, many = flat[first], owner[first], count > 1
-                ref[many] = np.uint32(_MANY) + np.arange(many.sum(), dtype=np.uint32)
+                ref[many] = len(sets) + np.arange(many.sum())
+                ref = ref.astype(_width(len(sets) + int(many.sum())))
                 members = owner[np.repeat(many, count)]
-                rows = [{"slice": number, "bucket": number % (1 << bits), "refs": members.tobytes(), "counts": count[many].astype(np.uint32).tobytes(), "ids": batch.column(0).slice(lo, len(sets)).to_pylist(), "sizes": size.tolist(), "nodes": node.view(np.int64).tolist()}]
+                rows = [{"slice": number, "bucket": number % (1 << bits), "docs": len(sets), "refs": members.tobytes(), "counts": count[many].astype(np.uint32).tobytes(), "ids": batch.column(0).slice(lo, len(sets)).to_pylist(), "sizes": size.tolist(), "nodes": node.view(np.int64).tolist()}]
                 bucket = (token >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(token), np.int64)
                 cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(token) else np.zeros(0, int)
                 for a, b in zip(cuts.tolist(), np.append(cuts[1:], len(token)).tolist()):
-                    rows.append({"slice": number, "bucket": int(bucket[a]), "tokens": token[a:b].tobytes(), "refs": ref[a:b].tobytes(), "counts": count[a:b][many[a:b]].astype(np.uint32).tobytes()})
+                    rows.append({"slice": number, "bucket": int(bucket[a]), "docs": len(sets), "tokens": token[a:b].tobytes(), "refs": ref[a:b].tobytes(), "counts": count[a:b][many[a:b]].astype(np.uint32).tobytes()})
                 yield _rows(rows)
                 number += 1
 
     return plain.mapInArrow(run, _TRAVEL)
 
 
+def _width(n: int):
+    import numpy as np
+
+    return np.uint16 if n <= 1 << 16 else np.uint32
+
+
+def _refs(row: dict):
+    import numpy as np
+
+    return np.frombuffer(row["refs"], np.uint16 if len(row["refs"]) * 4 == len(row["tokens"]) else np.uint32)
+
+
 def _by_key(batches: Iterator, column: int) -> Iterator[list[dict]]:
     """Runs of rows that agree in a column, from batches that are sorted by it."""
     held, key = [], None
@@ -151,7 +163,8 @@ def _by_key(batches: Iterator, column: int) -> Iterator[list[dict]]:
 
 
 def shared_shingles(dealt: DataFrame) -> DataFrame:
-    """The rows of ``dealt`` with only those shingles that two documents or more hold; ``counts`` is the number of documents of each."""
+    """The rows of ``dealt`` with only those shingles that two documents or more hold; ``counts`` is the number of documents of
+    each, one byte on a logarithmic scale (exact below 16), as it only decides the order."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -164,19 +177,20 @@ def shared_shingles(dealt: DataFrame) -> DataFrame:
             if not rows:
                 continue
             tokens = [np.frombuffer(r["tokens"], np.uint64) for r in rows]
-            refs = np.concatenate([np.frombuffer(r["refs"], np.uint32) for r in rows])
-            weight = np.ones(len(refs), np.int64)
-            weight[refs >= _MANY] = np.concatenate([np.frombuffer(r["counts"], np.uint32) for r in rows])
+            refs = [_refs(r) for r in rows]
+            weight = np.ones(sum(map(len, refs)), np.int64)
+            weight[np.concatenate([x >= r["docs"] for x, r in zip(refs, rows)])] = np.concatenate([np.frombuffer(r["counts"], np.uint32) for r in rows])
             at, flat = np.cumsum([0, *map(len, tokens)]), np.concatenate(tokens)
             order = np.argsort(flat, kind="stable")
             first = np.flatnonzero(np.concatenate([[True], flat[order][1:] != flat[order][:-1]]))
             total = np.add.reduceat(weight[order], first)
-            n = np.empty(len(flat), np.int64)
-            n[order] = np.repeat(total, np.diff(np.append(first, len(flat))))
-            for r, a, b in zip(rows, at[:-1], at[1:]):
+            n = np.empty(len(flat), np.uint8)
+            scale = np.minimum(np.where(total < 16, total, 12 * np.log2(total) - 32), 255).astype(np.uint8)
+            n[order] = np.repeat(scale, np.diff(np.append(first, len(flat))))
+            for r, ref, a, b in zip(rows, refs, at[:-1], at[1:]):
                 keep = n[a:b] > 1
                 if keep.any():
-                    yield _rows([{"slice": r["slice"], "bucket": r["bucket"], "tokens": flat[a:b][keep].tobytes(), "refs": refs[a:b][keep].tobytes(), "counts": np.minimum(n[a:b][keep], _MANY).astype(np.uint32).tobytes()}])
+                    yield _rows([{"slice": r["slice"], "bucket": r["bucket"], "docs": r["docs"], "tokens": flat[a:b][keep].tobytes(), "refs": ref[keep].tobytes(), "counts": n[a:b][keep].tobytes()}])
 
     return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, _TRAVEL)
 
@@ -194,14 +208,15 @@ def described(shared: DataFrame, percent: int) -> DataFrame:
             (head,), rows = [r for r in rows if r["tokens"] is None], [r for r in rows if r["tokens"] is not None]
             none = np.zeros(0, np.uint64)
             token = np.concatenate([none, *(np.frombuffer(r["tokens"], np.uint64) for r in rows)])
-            ref, n = (np.concatenate([none.astype(np.uint32), *(np.frombuffer(r[c], np.uint32) for r in rows)]) for c in ("refs", "counts"))
+            ref = np.concatenate([np.zeros(0, np.int64), *map(_refs, rows)]).astype(np.int64)
+            n = np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(r["counts"], np.uint8) for r in rows)])
             lists, length = np.frombuffer(head["refs"], np.uint32), np.frombuffer(head["counts"], np.uint32).astype(np.int64)
             start = np.cumsum(length) - length
-            many = ref >= _MANY
-            which = (ref[many] - np.uint32(_MANY)).astype(np.int64)
+            many = ref >= head["docs"]
+            which = ref[many] - head["docs"]
             times = np.ones(len(ref), np.int64)
             times[many] = length[which]
-            owner = np.repeat(ref, times).astype(np.int64)
+            owner = np.repeat(ref, times)
             step = np.arange(times[many].sum()) - np.repeat(np.cumsum(times[many]) - times[many], times[many])
             owner[np.repeat(many, times)] = lists[np.repeat(start[which], times[many]) + step]
             token, n = np.repeat(token, times), np.repeat(n, times)
