@@ -98,8 +98,8 @@ def connected_components(edges: DataFrame, tables: Tables, name: str = "cc", rou
 
     def stars(df: DataFrame) -> bool:
         """Whether every edge leads to a root and every node has one: then nothing can change any more."""
-        roots = df.groupBy("a").agg(F.count("*").alias("n"))
-        return df.join(roots.select(F.col("a").alias("b")), "b", "left_semi").isEmpty() and roots.where("n > 1").isEmpty()
+        ends = df.selectExpr("a as node", "1 as up", "0 as down").union(df.selectExpr("b", "0", "1"))
+        return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up + down > 1").isEmpty()
 
     k = 0
     while not stars(e):
@@ -107,7 +107,7 @@ def connected_components(edges: DataFrame, tables: Tables, name: str = "cc", rou
             raise RuntimeError(f"components did not settle in {rounds} rounds")
         both = e.union(e.select("b", "a"))
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         least2 = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least2, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct()

@@ -285,28 +285,28 @@ def components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_
     sized = 100 * shorter >= percent * longer
 
     # A group is first compared with a few others, so that most components are found without looking at all pairs of a list.
-    # A pass cuts each list into small parts by another hash; the least group of a part is its head, and every group
+    # A pass cuts each list into small parts by another hash; one group of a part is its head, and every group
     # meets the PARTNERS heads with which it shares most, where both are in different components. What is left out here comes later.
-    # Passes end when the lists that still hold several components are so short that all their pairs can be looked at.
-    # Members of a group are compared with its head together with the first pass.
+    # Passes end when so few pairs of different components are left in the lists that all of them can be looked at.
+    # Members of a group are compared with its head together with the first pass. A group goes by its head.
     within = classes.join(groups.select("grp", "head"), "grp").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
-    spread = postings.withColumnRenamed("head", "component")
+    spread, enough = postings.withColumn("component", F.col("head")), PART * postings.count()
     for k in range(PASSES):
-        open_ = spread.withColumn("part", F.pmod(F.xxhash64("grp", "token", F.lit(k)), F.ceil(F.col("n") / PART)))
-        first = open_.groupBy("token", "part").agg(F.min(F.struct(F.xxhash64("grp", F.lit(k)).alias("h"), "grp", "size", "component")).alias("h")).select("token", "part", F.col("h.grp").alias("grp2"), F.col("h.size").alias("size2"), F.col("h.component").alias("component2"))
+        open_ = spread.withColumn("part", F.pmod(F.xxhash64("head", "token", F.lit(k)), F.ceil(F.col("n") / PART)))
+        first = open_.groupBy("token", "part").agg(F.min(F.struct(F.xxhash64("head", F.lit(k)).alias("h"), "head", "size", "component")).alias("h")).select("token", "part", F.col("h.head").alias("head2"), F.col("h.size").alias("size2"), F.col("h.component").alias("component2"))
         met = open_.join(first, ["token", "part"]).where((F.col("component") != F.col("component2")) & sized)
-        met = met.groupBy("grp", "grp2").agg(F.count("*").alias("shared"))
-        best = met.groupBy("grp").agg(F.slice(F.sort_array(F.collect_list(F.struct("shared", F.xxhash64("grp2", F.lit(k)).alias("h"), "grp2")), asc=False), 1, PARTNERS).alias("p"))  # at most as many heads as a prefix has shingles
-        best = best.select("grp", F.explode("p.grp2").alias("grp2"))
-        pairs = best.join(groups.select("grp", F.col("head").alias("b")), "grp").join(groups.select(F.col("grp").alias("grp2"), F.col("head").alias("a")), "grp2").select("a", "b")
+        met = met.groupBy("head", "head2").agg(F.count("*").alias("shared"))
+        best = met.groupBy("head").agg(F.slice(F.sort_array(F.collect_list(F.struct("shared", F.xxhash64("head2", F.lit(k)).alias("h"), "head2")), asc=False), 1, PARTNERS).alias("p"))  # at most as many heads as a prefix has shingles
+        pairs = best.select(F.col("head").alias("a"), F.explode("p.head2").alias("b"))
         found = _verified(classes, pairs if k else pairs.union(within), percent, tables, f"pass{k}")
         links = links.union(found) if k else found
         comp = _components(classes, links, tables, f"comp{k}")
         tables.drop(f"spread{k}")
         spread = tables.save(_open(postings, comp, percent), f"spread{k + 1}")
         tables.release()
-        met_by_all = spread.agg(F.avg("n").alias("n")).first().n  # over rows, so it bounds the pairs a row makes, whatever the longest list
-        if met_by_all is None or met_by_all <= PART or found.isEmpty():
+        own = spread.groupBy("token", "component").agg(F.count("*").alias("m"), F.first("n").alias("n"))
+        left = own.agg(F.sum(F.expr("m * (n - m)")).alias("pairs")).first().pairs
+        if left is None or left <= enough or found.isEmpty():
             break
 
     # What is left: pairs of groups between different components, filtered by size and by the place of the shingle. The first
@@ -338,7 +338,7 @@ def _open(postings: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
     A posting that stands so late in its prefix that no set of the list is small enough to be linked over it is left out;
     it would only matter if it were the first shingle that two sets share.
     """
-    spread = postings.select("token", "grp", "size", "pos").join(comp.select("grp", "component").distinct(), "grp")
+    spread = postings.select("token", "grp", "head", "size", "pos").join(comp.select("grp", "component").distinct(), "grp")
     least = spread.groupBy("token").agg(F.min("size").alias("least"))
     reach = (100 + percent) * (F.col("size") - F.col("pos")) >= percent * (F.col("size") + F.greatest("least", F.expr(f"({percent} * size + 99) div 100")))
     spread = spread.join(least, "token").where(reach).drop("least")
@@ -349,7 +349,7 @@ def _open(postings: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
 def _verified(classes: DataFrame, pairs: DataFrame, percent: int, tables: Tables, name: str) -> DataFrame:
     """The links among ``pairs`` of nodes."""
     pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return tables.save(verify(pairs, classes, percent).distinct(), f"links-{name}")
+    return tables.save(verify(pairs, classes, percent), f"links-{name}")
 
 
 def _components(classes: DataFrame, links: DataFrame, tables: Tables, name: str) -> DataFrame:
