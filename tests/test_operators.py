@@ -186,3 +186,48 @@ def test_title_pairs_compare_whole_titles_across_gaps(spark):
     got = {(r.doc_id, r.other_id): (r.title, r.other) for r in title_pairs(d).collect()}
     assert set(got) == {(1, 2), (2, 7), (7, 9), (9, 10), (1, 9)}
     assert got[1, 2] == (head + "A", head + "B") and got[1, 9] == (head + "A", head + "A")
+
+
+def test_promote_keeps_entries_without_condition_and_urls_once(spark):
+    q = spark.createDataFrame([("a", "x"), ("a", "x"), ("b", None), (None, "x"), ("c", "y")], "url string, state string")
+    stay, target = queues.promote(q, q.where("url = 'z'").select("url"), F.col("state") == "x")
+    assert sorted(r.url for r in stay.collect()) == ["b", "c"]
+    assert sorted(map(str, (r.url for r in target.collect()))) == ["None", "a"]
+
+
+def test_upsert_keeps_one_row_a_key(spark):
+    old = spark.createDataFrame([("a", 1), (None, 1)], "k string, v int")
+    new = spark.createDataFrame([("a", 2), ("a", 3), (None, 4), ("b", None)], "k string, v int")
+    assert sorted(map(str, ((r.k, r.v) for r in feeds.upsert(old, new, ["k"]).collect()))) == ["('a', 3)", "('b', None)", "(None, 4)"]
+
+
+def test_template_without_default_keeps_the_notes(spark):
+    notes = spark.createDataFrame([("x",), (None,)], "note_type string")
+    dim = spark.createDataFrame([("y", "Y"), ("y", "Z")], "note_type string, label string")
+    assert [r.label for r in classify.with_template(notes, dim).collect()] == [None, None]
+    dim = spark.createDataFrame([("structured", "S"), ("x", "X")], "note_type string, label string")
+    assert sorted(r.label for r in classify.with_template(notes, dim).collect()) == ["S", "X"]
+
+
+def test_tree_of_any_depth_and_cycles(spark):
+    chain = [(i, i - 1 if i else None, str(i)) for i in range(40)] + [(99, 98, "orphan")]
+    got = {r.node: (r.path, r.depth) for r in series.tree_paths(spark.createDataFrame(chain, "node long, parent long, title string")).collect()}
+    assert got == {i: ("/".join(map(str, range(i + 1))), i) for i in range(40)}
+    with pytest.raises(ValueError, match="cycle"):
+        series.tree_paths(spark.createDataFrame([(1, 2, "a"), (2, 1, "b"), (3, None, "c")], "node long, parent long, title string"))
+
+
+def test_provider_by_priority():
+    assert classify.provider("b", {"a", "b"}, ["a", "b"]) == "b" and classify.provider("c", {"b"}, ["a", "b"]) == "b" and classify.provider(None, set(), ["a"]) is None
+
+
+def test_chunks_cover_the_text_and_prefer_lines():
+    text = "".join(f"{i:04d}, word word. " + ("\n" if i % 9 == 0 else "") for i in range(600))
+    pieces = segments.chunk_one(text, 1000, 100)
+    assert all(len(p) <= 1000 for p in pieces) and all(f"{i:04d}" in " ".join(pieces) for i in range(600))
+    assert segments.chunk_one("ab. cd", 10, 2) == ["ab. cd"] and segments.chunk_one("  ", 10, 2) == []
+
+
+def test_paid_items_are_skipped_and_counted(spark):
+    kept, skipped = feeds.without_paid(spark.createDataFrame([("s", 1, True), ("s", 2, None), ("t", 3, False)], "source_key string, id int, paid boolean"))
+    assert sorted(r.id for r in kept.collect()) == [2, 3] and {(r.source_key, r.skipped) for r in skipped.collect()} == {("s", 1), ("t", 0)}

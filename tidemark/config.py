@@ -13,7 +13,8 @@ BAND_DROP, BAND_LIGHT, SUBSTANTIVE = 20, 80, 15
 STATE_KEEP, BACKFILL_BATCH, REFETCH_MAX = 1000, 15, 3
 WINDOW_DAYS, DAILY_DAYS, FIRST_DAYS, CAP_DAYS, SAFETY_CAP = 2, 1, 7, 30, 50
 GATE_SCORE = 85
-SEPARATORS = ["\u3002", ".", "\uff01", "!", "\uff1f", "?", "\uff1b", ";"]
+#: Sentence marks, in the order in which a cut is looked for.
+SEPARATORS = ["。", ".", "！", "!", "？", "?", "；", ";"]
 STATES = ["pending", "raw_ready", "summarized", "landed", "verified"]
 
 
@@ -21,22 +22,22 @@ STATES = ["pending", "raw_ready", "summarized", "landed", "verified"]
 class Lexicons:
     """Word lists; matching is by substring, case-sensitive unless an operator says otherwise."""
 
-    ad_titles: tuple[str, ...] = ("Licensed under", "Copyright", "password=", "Thion", "Ention")
-    ad_phrases: tuple[str, ...] = ("Licensed under", "Apache License", "CC BY", "token = ", "password=", "thing the", "on the")
-    ad_strong: tuple[str, ...] = ("Licensed under", "password=", "AKIA")
-    wall_markers: tuple[str, ...] = ("captcha", "verify you are human", "subscribe to read", "%%%", "access denied")
+    ad_titles: tuple[str, ...] = ("Licensed under", "Copyright", "Sponsored", "Advertisement")
+    ad_phrases: tuple[str, ...] = ("Licensed under", "Apache License", "CC BY", "token = ", "sponsored by", "use code", "limited offer", "sign up now")
+    ad_strong: tuple[str, ...] = ("Licensed under", "sponsored by", "use code")
+    wall_markers: tuple[str, ...] = ("captcha", "verify you are human", "subscribe to read", "access denied")
     post_noise: tuple[str, ...] = ("shared a post", "new video", "live now")
-    tutorial: tuple[str, ...] = ("how to", "step by step", "tutorial", "thethe")
-    interview: tuple[str, ...] = ("interview", "q&a", "in conversation", "heand")
-    key_points: tuple[str, ...] = ("talk", "keynote", "lecture", "ted", "ionth")
-    roundup: tuple[str, ...] = ("roundup", "weekly", "digest", "news", "sthe")
-    reading: tuple[str, ...] = ("book", "chapter", "reading", "reent")
-    opinion: tuple[str, ...] = ("opinion", "debate", "why i", "ndst")
-    case: tuple[str, ...] = ("case study", "post-mortem", "example", "wher")
-    structured: tuple[str, ...] = ("guide", "analysis", "tion")
-    host_probes: tuple[str, ...] = ("tell us", "what do you", "could you", "the the", "of the")
-    audience_probes: tuple[str, ...] = ("asks", "from the audience", "and the")
-    tag_terms: tuple[str, ...] = ("the", "und", "que", "ción", "Licensed", "tion", "lich")
+    tutorial: tuple[str, ...] = ("how to", "step by step", "tutorial")
+    interview: tuple[str, ...] = ("interview", "q&a", "in conversation", "conversation with")
+    key_points: tuple[str, ...] = ("talk", "keynote", "lecture", "ted")
+    roundup: tuple[str, ...] = ("roundup", "weekly", "digest", "news")
+    reading: tuple[str, ...] = ("book", "chapter", "reading")
+    opinion: tuple[str, ...] = ("opinion", "debate", "why i")
+    case: tuple[str, ...] = ("case study", "post-mortem", "example")
+    structured: tuple[str, ...] = ("guide", "analysis", "overview")
+    host_probes: tuple[str, ...] = ("tell us", "what do you", "could you", "how did you")
+    audience_probes: tuple[str, ...] = ("asks", "from the audience", "a question from")
+    tag_terms: tuple[str, ...] = ("python", "data", "video", "science", "history", "music", "business")
     system_tags: tuple[str, ...] = ("repost", "fresh", "recent", "archive", "structured", "interview")
     fillers: tuple[str, ...] = ("you know", "well", "um", "uh", "so")
     retryable: tuple[str, ...] = ("timeout", "timed out", "rate limit", "too many requests", "overloaded", "503", "502", "429", "connection reset", "temporarily")

@@ -342,3 +342,17 @@ def timed_text(c) -> Column:
 def sample_times(duration, n: int) -> Column:
     """[SRC-20] n evenly spaced times."""
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: col(duration) * (i + 0.5) / n)
+
+
+def track_segments(body, gap: float = 3.0) -> Column:
+    """[SRC-10] Segments (start, duration, text) of a subtitle body as JSON; an entry without end lasts ``gap`` seconds."""
+    b = F.from_json(col(body), "struct<body:array<struct<`from`:double,`to`:double,content:string>>>")["body"]
+    full = F.filter(F.coalesce(b, F.array().cast("array<struct<`from`:double,`to`:double,content:string>>")), lambda x: F.trim(x["content"]) != "")
+    begin = lambda x: F.coalesce(x["from"], F.lit(0.0))
+    return F.transform(full, lambda x: F.struct(begin(x).alias("start"), (F.coalesce(x["to"], begin(x) + gap) - begin(x)).alias("duration"), F.trim(x["content"]).alias("text")))
+
+
+def shares_any(a, b) -> Column:
+    """[ST-4] Whether two arrays have an element in common; a null array or only null elements mean no."""
+    keep = lambda c: F.filter(F.coalesce(col(c), F.array().cast("array<string>")), lambda x: x.isNotNull())
+    return F.arrays_overlap(keep(a), keep(b))

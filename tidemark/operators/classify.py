@@ -34,6 +34,13 @@ def templates(spark: SparkSession, lex=DEFAULT) -> DataFrame:
 
 
 def with_template(notes: DataFrame, dimension: DataFrame, default: str = "structured") -> DataFrame:
-    """[CLS-3] Unknown types get the default's template; the dimension is a handful of rows."""
-    fallback = dimension.where(F.col("note_type") == default).select(F.col("label").alias("default_label"))
-    return notes.join(F.broadcast(dimension), "note_type", "left").crossJoin(F.broadcast(fallback.limit(1))).withColumn("label", F.coalesce("label", "default_label")).drop("default_label")
+    """[CLS-3] Unknown types get the default's template, or null if the dimension lacks it. A type that the dimension repeats has its least label."""
+    one = dimension.groupBy("note_type").agg(F.min("label").alias("label"))
+    fallback = one.where(F.col("note_type") == default).select(F.col("label").alias("_default"), F.lit(1).alias("_one"))
+    found = notes.join(one, "note_type", "left").withColumn("_one", F.lit(1)).join(fallback, "_one", "left")
+    return found.withColumn("label", F.coalesce("label", "_default")).drop("_default", "_one")
+
+
+def provider(configured: str | None, available: set[str], order: list[str]) -> str | None:
+    """[CLS-5] The configured provider if it is available, else the first available one by priority, else none."""
+    return configured if configured in available else next((p for p in order if p in available), None)

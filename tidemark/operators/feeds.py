@@ -45,10 +45,11 @@ def discover(items: DataFrame, seen: DataFrame, now: str, days: float, n: int, t
 
 
 def remember(seen: DataFrame, new: DataFrame, keep: int = config.STATE_KEEP) -> DataFrame:
-    """[STM-3, WN-3] The last ``keep`` ids of each source by order of arrival (seq): old ones first, new ones after, each once."""
+    """[STM-3, WN-3] The last ``keep`` ids of each source by order of arrival (seq): old ones first, new ones after, each once (an id
+    that a batch repeats has its first place)."""
     last = seen.groupBy("source_key").agg(F.max("seq").alias("last"))
     order = W.partitionBy("source_key").orderBy("feed_pos", "id")
-    added = unseen(new, seen).join(last, "source_key", "left")
+    added = unseen(new, seen).groupBy("source_key", "id").agg(F.min("feed_pos").alias("feed_pos")).join(last, "source_key", "left")
     added = added.select("source_key", "id", (F.coalesce("last", F.lit(-1)) + F.row_number().over(order)).alias("seq"))
     tail = W.partitionBy("source_key").orderBy(F.desc("seq"))
     return seen.select("source_key", "id", "seq").unionByName(added).withColumn("_r", F.row_number().over(tail)).where(F.col("_r") <= keep).drop("_r")
@@ -81,6 +82,17 @@ def enrich(items: DataFrame, subscriptions: DataFrame) -> DataFrame:
     return items.drop("content").join(subscriptions, "source_key", "left")
 
 
-def upsert(table: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    """[SNK-6, STM-8, STM-11, STM-17] New rows replace old ones of the same key."""
-    return table.join(new.select(*key).distinct(), key, "left_anti").unionByName(new)
+def upsert(table: DataFrame, new: DataFrame, key: list[str], order: str | None = None) -> DataFrame:
+    """[SNK-6, STM-8, STM-11, STM-17] New rows replace old ones of the same key. Of several new rows with one key the last by
+    ``order`` stays, or the greatest by its columns, so that the key remains one. Keys compare null-safely."""
+    rest = [c for c in new.columns if c not in key]
+    by = F.struct(*([F.col(order).alias("_order")] if order else []), *rest)
+    last = new.groupBy(*key).agg(F.max(by).alias("_row")).select(*key, *[F.col(f"_row.{c}").alias(c) for c in rest]).select(*new.columns)
+    same = [table[k].eqNullSafe(last[k]) for k in key]
+    return table.join(last, same, "left_anti").unionByName(last)
+
+
+def without_paid(items: DataFrame, flag: str = "paid") -> tuple[DataFrame, DataFrame]:
+    """[FLT-12] (items to fetch, how many each source had to skip): what must be paid for is skipped and counted; no flag means free."""
+    paid = F.coalesce(F.col(flag), F.lit(False))
+    return items.where(~paid), items.groupBy("source_key").agg(F.count_if(paid).alias("skipped"))

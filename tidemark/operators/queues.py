@@ -23,9 +23,11 @@ def work_order(retries: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def promote(queue: DataFrame, target: DataFrame, condition) -> tuple[DataFrame, DataFrame]:
-    """[STM-10, ST-5, JN-7] (what stays, the target with what moves): moved entries whose url is there already are not added twice."""
-    moved = queue.where(condition)
-    return queue.where(~condition), target.unionByName(moved.join(target.select("url"), "url", "left_anti"), allowMissingColumns=True)
+    """[STM-10, ST-5, JN-7] (what stays, the target with what moves): moved entries whose url is there already are not added twice.
+    An entry whose condition is null stays; of several moved entries with one url one is added, entries without url all are."""
+    moves = F.coalesce(condition, F.lit(False))
+    moved = queue.where(moves & F.col("url").isNotNull()).dropDuplicates(["url"]).unionByName(queue.where(moves & F.col("url").isNull()))
+    return queue.where(~moves), target.unionByName(moved.join(target.select("url"), "url", "left_anti"), allowMissingColumns=True)
 
 
 def drain(queue: DataFrame, saved: DataFrame) -> DataFrame:

@@ -73,16 +73,50 @@ def unique_names(notes: DataFrame, name: str, *order: str) -> DataFrame:
     return notes.withColumn("unique_name", F.when(k == 0, F.col(name)).otherwise(suffixed))
 
 
-def tree_paths(nodes: DataFrame, levels: int = 16) -> DataFrame:
-    """[JN-12] Full paths of (node, parent, title): each round joins the next level to its parents, until no row is left."""
-    level = nodes.where("parent is null").select("node", F.col("title").alias("path"), F.lit(0).alias("depth"))
-    out = level
-    for _ in range(levels):
-        level = nodes.alias("n").join(level.alias("p"), F.col("n.parent") == F.col("p.node")).select("n.node", F.concat("p.path", F.lit("/"), "n.title").alias("path"), (F.col("p.depth") + 1).alias("depth"))
-        if level.isEmpty():
-            break
-        out = out.union(level)
-    return out
+def tree_paths(nodes: DataFrame) -> DataFrame:
+    """[JN-12] Full paths (node, path, depth) of (node, parent, title), of any depth, for all nodes that a root leads to.
+
+    Pointer doubling: every node holds the path from an ancestor down to itself, and each round replaces the ancestor by the
+    one that it points to, so the rounds are the logarithm of the depth. Nodes on a cycle, or below one, are an error; nodes whose
+    parent does not exist are left out. Rounds are cut by checkpoints where the session has a folder for them.
+    """
+    spark = nodes.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
+    if folder and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(folder)
+    kept = folder or spark.sparkContext._jsc.sc().getCheckpointDir().isDefined()
+    paths = nodes.select("node", F.col("parent").alias("up"), F.col("title").alias("path"), F.lit(0).alias("depth"))
+    most = max(nodes.count(), 1).bit_length() + 1
+    for _ in range(most):
+        paths = paths.checkpoint() if kept else paths.persist()
+        if paths.where("up is not null").isEmpty():
+            return paths.select("node", "path", "depth")
+        above = paths.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("path").alias("head"), F.col("depth").alias("more"))
+        whole = paths.where("up is null")
+        step = paths.where("up is not null").join(above, "up").select("node", F.col("next").alias("up"), F.concat("head", F.lit("/"), "path").alias("path"), (F.col("depth") + F.col("more") + 1).alias("depth"))
+        paths = whole.unionByName(step)
+    raise ValueError("the parents of some nodes form a cycle")
+
+
+def child_by_title(children: DataFrame, wanted: DataFrame) -> DataFrame:
+    """[JN-5] (parent, title, node) of wanted (parent, title): the first node of that title below the parent, null if there is none."""
+    first = children.groupBy("parent", "title").agg(F.min("node").alias("node"))
+    return wanted.select("parent", "title").distinct().join(first, ["parent", "title"], "left")
+
+
+def summaries_of(queue: DataFrame, files: DataFrame, mark: str = "_raw_") -> DataFrame:
+    """[JN-8] Queue entries (raw, ...) with the summary file that stands for them: its path is the raw one without the mark."""
+    wanted = queue.withColumn("path", F.regexp_replace("raw", mark, ""))
+    return wanted.join(files.select("path", F.lit(True).alias("found")).distinct(), "path", "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
+def drain(manifest: DataFrame, saved: DataFrame, least: str = "verified") -> DataFrame:
+    """[STM-14] Series with a state after a batch of saved pages: pages saved become landed, landed ones that are also found at the
+    target become verified, and the raw files of a series may be cleaned up only when all its pages are verified."""
+    proof = saved.groupBy("series", "page").agg(F.bool_or("ok").alias("ok"), F.bool_or("found").alias("found"))
+    ord_ = F.when(F.col("ok") & F.col("found"), STATES.index("verified")).when(F.col("ok"), STATES.index("landed")).otherwise(0)
+    pages = manifest.select("series", "page", "ord").join(proof, ["series", "page"], "left").withColumn("ord", F.greatest("ord", F.coalesce(ord_, F.lit(0))))
+    return pages.groupBy("series").agg(F.count("*").alias("pages"), F.count_if(F.col("ord") >= STATES.index("landed")).alias("landed"), F.count_if(F.col("ord") >= STATES.index(least)).alias("verified"), F.bool_and(F.col("ord") >= STATES.index(least)).alias("clean_up"))
 
 
 def missing_folders(paths: DataFrame, existing: DataFrame) -> DataFrame:

@@ -1,9 +1,20 @@
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 
+from ..config import DEFAULT
+
 #: The time at which all registered queries look at the data.
 NOW = "2024-01-20 00:00:00"
+#: Word lists for the registered queries: the tables hold invented prose, in which the default words hardly occur.
+PROSE = replace(
+    DEFAULT, ad_titles=("Licensed under", "Copyright", "password=", "Thion", "Ention"), ad_phrases=("Licensed under", "Apache License", "CC BY", "token = ", "password=", "thing the", "on the"),
+    ad_strong=("Licensed under", "password=", "AKIA"), wall_markers=(*DEFAULT.wall_markers, "%%%"), tutorial=(*DEFAULT.tutorial, "thethe"), interview=(*DEFAULT.interview, "heand"), key_points=(*DEFAULT.key_points, "ionth"),
+    roundup=(*DEFAULT.roundup, "sthe"), reading=(*DEFAULT.reading, "reent"), opinion=(*DEFAULT.opinion, "ndst"), case=(*DEFAULT.case, "wher"), host_probes=("tell us", "the the", "of the"), audience_probes=("asks", "and the"),
+    tag_terms=("the", "und", "que", "ción", "Licensed", "tion", "lich"),
+)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -76,7 +76,9 @@ def route_counts(spark, sf_dir):
 
 
 def _failed(spark, sf_dir):
-    return items(spark, sf_dir).where("id % 5 = 0").select(F.concat(F.lit("u"), (F.col("id") % 700).cast("string")).alias("url"), "id", F.col("id").alias("queued_at"), (F.col("id") % 4).cast("int").alias("refetch_count"))
+    """Every item that is no click has failed; urls repeat, and some counts are missing."""
+    count = F.when(F.col("id") % 4 < 3, (F.col("id") % 4).cast("int"))
+    return items(spark, sf_dir).where("route <> 'click'").select(F.concat(F.lit("u"), (F.col("id") % 700).cast("string")).alias("url"), "id", F.col("id").alias("queued_at"), count.alias("refetch_count"))
 
 
 def retry_or_drop(spark, sf_dir):
@@ -84,21 +86,37 @@ def retry_or_drop(spark, sf_dir):
 
 
 def queue_upsert(spark, sf_dir):
-    new = items(spark, sf_dir).where("id % 7 = 0").select(F.concat(F.lit("u"), (F.col("id") % 700).cast("string")).alias("url"), "id", F.col("id").alias("queued_at"))
+    new = items(spark, sf_dir).select(F.concat(F.lit("u"), (F.col("id") % 900).cast("string")).alias("url"), "id", F.col("id").alias("queued_at"))
     return queues.work_order(_failed(spark, sf_dir).drop("refetch_count"), new).select("url", "id", "priority")
 
 
+def _entries(spark, sf_dir):
+    """All items as queue entries: two of a source share a url, and some have no state."""
+    return items(spark, sf_dir).select(F.concat_ws("/", F.col("source_key").cast("string"), F.floor(F.col("feed_pos") / 2).cast("string")).alias("url"), F.when(F.col("id") % 6 > 0, F.col("route")).alias("state"))
+
+
 def queue_promote(spark, sf_dir):
-    q = items(spark, sf_dir).where("id % 10 = 0").select(F.concat(F.lit("u"), F.col("id").cast("string")).alias("url"), "route")
-    target = q.where("route = 'view'")
-    stay, moved = queues.promote(q, target, F.col("route") != "click")
-    return stay.withColumn("queue", F.lit("stay")).unionByName(moved.withColumn("queue", F.lit("target")))
+    q = _entries(spark, sf_dir)
+    stay, moved = queues.promote(q, q.where("state = 'view'").select("url").distinct(), F.col("state") != "click")
+    return stay.select("url", F.lit("stay").alias("queue")).unionByName(moved.select("url", F.lit("target").alias("queue")))
 
 
 def queue_drain(spark, sf_dir):
-    q = items(spark, sf_dir).where("id % 10 = 0").select(F.concat(F.lit("u"), F.col("id").cast("string")).alias("url"))
-    done = q.select("url", (F.length("url") % 2 == 0).alias("ok"))
-    return queues.drain(q, done)
+    q = items(spark, sf_dir).select(F.concat(F.lit("u"), F.col("id").cast("string")).alias("url"))
+    return queues.drain(q, q.select("url", (F.length("url") % 2 == 0).alias("ok")))
+
+
+def paid_skip(spark, sf_dir):
+    flagged = items(spark, sf_dir).withColumn("paid", F.when(F.col("id") % 5 > 0, F.col("id") % 3 == 0))
+    kept, skipped = feeds.without_paid(flagged)
+    return kept.groupBy("source_key").agg(F.count("*").alias("kept")).join(skipped, "source_key", "full")
+
+
+def remember_repeats(spark, sf_dir):
+    """A batch that gives every item twice, at two places."""
+    new = items(spark, sf_dir)
+    twice = new.unionByName(new.withColumn("feed_pos", F.col("feed_pos") + 100))
+    return feeds.remember(seen(spark, sf_dir), twice, 4).select("source_key", "id", "seq")
 
 
 def index_range_select(spark, sf_dir):
@@ -112,16 +130,17 @@ def job_status(spark, sf_dir):
 
 
 def upsert_rows(spark, sf_dir):
-    old = items(spark, sf_dir).where("id % 2 = 0").select("id", F.lit("old").alias("v"))
-    new = items(spark, sf_dir).where("id % 3 = 0").select("id", F.lit("new").alias("v"))
-    return feeds.upsert(old, new, ["id"])
+    """Old and new rows by (source, route); a batch repeats its keys, and the row with the largest id stays."""
+    old = items(spark, sf_dir).groupBy("source_key").agg(F.max("id").alias("id")).select("source_key", F.lit("click").alias("route"), "id", F.lit("old").alias("v"))
+    new = items(spark, sf_dir).where("route <> 'view'").select("source_key", "route", "id", F.lit("new").alias("v"))
+    return feeds.upsert(old, new, ["source_key", "route"], "id")
 
 
-QUERIES = {f.__name__: f for f in (discover_topn, discover_marked, discover_caps_by_route, seen_anti_join, seen_keep_last_k, backfill_progress, source_health, subscription_enrich, freshness_label, effective_window, date_parts, route_counts, retry_or_drop, queue_upsert, queue_promote, queue_drain, index_range_select, job_status, upsert_rows)}
+QUERIES = {f.__name__: f for f in (discover_topn, discover_marked, discover_caps_by_route, seen_anti_join, seen_keep_last_k, backfill_progress, source_health, subscription_enrich, freshness_label, effective_window, date_parts, route_counts, retry_or_drop, queue_upsert, queue_promote, queue_drain, paid_skip, remember_repeats, index_range_select, job_status, upsert_rows)}
 
 _I = "(select user_id source_key, event_id id, event_type route, props title, ts publish_time, row_number() over (partition by user_id order by ts desc, event_id desc) - 1 feed_pos from events)"
 _IN = f"ts >= timestamp '{NOW}' - interval 10 days"
-_FAILED = f"(select 'u' || (id % 700) url, id, id queued_at, (id % 4)::int refetch_count from {_I} where id % 5 = 0)"
+_FAILED = f"(select 'u' || (id % 700) url, id, id queued_at, case when id % 4 < 3 then (id % 4)::int end refetch_count from {_I} where route <> 'click')"
 SQL = {
     "discover_topn": f"select user_id source_key, event_id id, event_type route, row_number() over (partition by user_id order by ts desc, event_id desc)::int as rank from events where {_IN} and event_id % 3 <> 0 qualify row_number() over (partition by user_id order by ts desc, event_id desc) <= 2",
     "discover_marked": f"select user_id source_key, count(*) n, min(event_id) lo, max(event_id) hi from events where {_IN} and event_id % 3 <> 0 group by 1",
@@ -139,11 +158,15 @@ SQL = {
     "effective_window": f"select user_id source_key, least(greatest(1, floor((epoch(timestamp '{NOW}') - floor(epoch(max(ts)))) / 86400) + 1), 30)::int as days from events group by 1",
     "date_parts": "select event_id id, case when event_id % 3 < 2 then strftime(ts, '%Y-%m-%d 00:00:00') end since, strftime(date_trunc('day', ts + interval 8 hours) - interval 8 hours, '%Y-%m-%d %H:%M:%S') day_start from events",
     "route_counts": "select case event_type when 'click' then 'article' when 'view' then 'video' when 'purchase' then 'dynamic' else 'ignored' end route, count(*) n from events group by 1",
-    "retry_or_drop": f"select id, refetch_count + 1 refetch_count, case when refetch_count + 1 >= 3 then 'drop' else 'requeue' end as action, case when refetch_count + 1 >= 3 then 'gave up after ' || (refetch_count + 1) else '' end reason from {_FAILED}",
-    "queue_upsert": f"select url, id, priority from (select url, id, queued_at, 0 priority from {_FAILED} union all select 'u' || (id % 700), id, id, 1 from {_I} where id % 7 = 0) qualify row_number() over (partition by url order by priority, queued_at) = 1",
-    "queue_promote": f"with q as (select 'u' || id url, route from {_I} where id % 10 = 0), t as (select * from q where route = 'view') select url, route, 'stay' queue from q where route = 'click' union all select url, route, 'target' from t union all select url, route, 'target' from q where route <> 'click' and url not in (select url from t)",
-    "queue_drain": "select 'u' || event_id url from events where event_id % 10 = 0 and length('u' || event_id) % 2 = 1",
+    "retry_or_drop": f"select id, coalesce(refetch_count, 0) + 1 refetch_count, case when coalesce(refetch_count, 0) + 1 >= 3 then 'drop' else 'requeue' end as action, case when coalesce(refetch_count, 0) + 1 >= 3 then 'gave up after ' || (refetch_count + 1) else '' end reason from {_FAILED}",
+    "queue_upsert": f"select url, id, priority from (select url, id, queued_at, 0 priority from {_FAILED} union all select 'u' || (id % 900), id, id, 1 from {_I}) qualify row_number() over (partition by url order by priority, queued_at) = 1",
+    "queue_promote": f"with q as (select source_key || '/' || (feed_pos // 2) url, case when id % 6 > 0 then route end state from {_I}), t as (select distinct url from q where state = 'view') select url, 'stay' queue from q where state = 'click' or state is null union all select url, 'target' from t union all select distinct url, 'target' from q where state <> 'click' and url not in (select url from t)",
+    "queue_drain": "select 'u' || event_id url from events where length('u' || event_id) % 2 = 1",
+    "paid_skip": "select user_id source_key, nullif(count_if(not (event_id % 5 > 0 and event_id % 3 = 0)), 0) kept, count_if(event_id % 5 > 0 and event_id % 3 = 0) skipped from events group by 1",
+    "remember_repeats": f"""with s as (select source_key, id, id seq from {_I} where id % 3 = 0), l as (select source_key, max(seq) last from s group by 1),
+        a as (select i.source_key, i.id, coalesce(l.last, -1) + row_number() over (partition by i.source_key order by feed_pos, id) seq from {_I} i left join l using (source_key) where i.id % 3 <> 0)
+        select source_key, id, seq from (select * from s union all select * from a) qualify row_number() over (partition by source_key order by seq desc) <= 4""",
     "index_range_select": f"select feed_pos::int feed_pos, count(*) n from {_I} where feed_pos in (0, 1, 2, 3, 4, 5, 6) group by 1",
     "job_status": "select user_id % 50 job, bool_and(event_id % 3 = 0) all_done, bool_or(event_id % 3 <> 0) any_pending, min(event_id) filter (event_id % 3 <> 0) first_pending from events group by 1",
-    "upsert_rows": "select event_id id, case when event_id % 3 = 0 then 'new' else 'old' end v from events where event_id % 2 = 0 or event_id % 3 = 0",
+    "upsert_rows": "with n as (select user_id source_key, event_type route, max(event_id) id, 'new' v from events where event_type <> 'view' group by 1, 2), o as (select user_id source_key, 'click' route, max(event_id) id, 'old' v from events group by 1) select * from n union all select * from o where not exists (select 1 from n where n.source_key = o.source_key and n.route = o.route)",
 }

@@ -87,7 +87,15 @@ def usage_totals(spark, sf_dir):
     return read(spark, sf_dir, "conversations").select("role", u.alias("u")).groupBy("role").agg(F.sum("u.prompt_tokens").alias("prompt"), F.sum("u.completion_tokens").alias("completion"), F.sum("u.total_tokens").alias("total"))
 
 
-QUERIES = {f.__name__: f for f in (segments_to_text, segments_windows, segments_chunk, segments_clean, segments_summary, vtt_cues, timed_text, short_posts, track_choice, frame_times, usage_totals)}
+def track_bodies(spark, sf_dir):
+    """A body of two entries for each conversation's turn; the second has no end."""
+    entry = lambda k, end: F.struct((F.col("turn") * 10 + k).cast("double").alias("from"), end.alias("to"), F.concat(F.lit(" "), "role").alias("content"))
+    body = F.to_json(F.struct(F.array(entry(0, F.col("turn") * 10 + 1.5), entry(2, F.lit(None).cast("double"))).alias("body")))
+    t = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(T.track_segments(body)).alias("k", "s"))
+    return t.select("conv_id", "turn", "k", "s.start", "s.duration", "s.text")
+
+
+QUERIES = {f.__name__: f for f in (track_bodies, segments_to_text, segments_windows, segments_chunk, segments_clean, segments_summary, vtt_cues, timed_text, short_posts, track_choice, frame_times, usage_totals)}
 
 _W = """(with recursive s as (select conv_id media_id, turn seq, turn * 60.0::double start, text, row_number() over (partition by conv_id order by turn) k from conversations),
     f as (select media_id, seq, k, start, start anchor, 0 grp, text from s where k = 1
@@ -95,6 +103,7 @@ _W = """(with recursive s as (select conv_id media_id, turn seq, turn * 60.0::do
     select media_id, grp as group, min(start) start, max(start) + 60 as end, coalesce(string_agg(trim(text), chr(10) order by seq) filter (trim(text) <> ''), '') text from f group by 1, 2)"""
 _W = _W.replace("grp as group", 'grp as "group"').replace("60 as end", '60 as "end"')
 SQL = {
+    "track_bodies": "select conv_id, turn, k::int k, (turn * 10 + 2 * k)::double start, case k when 0 then 1.5 else 3.0 end::double duration, role as text from conversations, (select unnest([0, 1]) k)",
     "segments_to_text": "select media_id, length(text) n, md5(text) h from (select conv_id media_id, coalesce(string_agg(trim(text), chr(10) order by turn) filter (trim(text) <> ''), '') text from conversations group by 1)",
     "segments_windows": f"""select media_id, "group", start, "end", md5(text) h, lpad((start // 60)::int::varchar, 2, '0') || ':' || lpad((start % 60)::int::varchar, 2, '0') clock from {_W}""",
     "vtt_cues": "select conv_id, (row_number() over (partition by conv_id order by turn) - 1)::int k, turn * 60 + 1.5::double start, 2.5::double duration, role || ' says' text from conversations",

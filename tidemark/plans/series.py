@@ -89,11 +89,42 @@ def store_audit(spark, sf_dir):
     return series.two_sided(left, right, "k")
 
 
-QUERIES = {f.__name__: f for f in (series_monotone_state, series_state_histogram, series_gap_pages, series_pending, series_totals, series_overview, series_fill, episode_names, queue_merge_series, playlist_expand, tree_flatten, folders_missing, store_audit)}
+def tree_deep(spark, sf_dir):
+    """A tree in which customer k stands below customer k / 2."""
+    key = F.col("c_custkey").cast("long")
+    nodes = read(spark, sf_dir, "customer").select(key.alias("node"), F.when(key > 1, F.floor(key / 2)).alias("parent"), (key % 10).cast("string").alias("title"))
+    return series.tree_paths(nodes)
+
+
+def child_lookup(spark, sf_dir):
+    """Customers are containers, their orders children titled by priority; two titles are looked for in each."""
+    children = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("parent"), F.col("o_orderpriority").alias("title"), F.col("o_orderkey").alias("node"))
+    wanted = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("parent"), F.explode(F.array(F.lit("1-URGENT"), F.lit("5-LOW"))).alias("title"))
+    return series.child_by_title(children, wanted)
+
+
+def summary_files(spark, sf_dir):
+    queue = read(spark, sf_dir, "orders").select(F.concat(F.lit("notes/_raw_"), F.col("o_orderkey").cast("string"), F.lit(".md")).alias("raw"))
+    files = read(spark, sf_dir, "lineitem").where("l_linestatus = 'F'").select(F.concat(F.lit("notes/"), F.col("l_orderkey").cast("string"), F.lit(".md")).alias("path"))
+    return series.summaries_of(queue, files)
+
+
+def series_drained(spark, sf_dir):
+    """Every line of an open order was saved; those of even suppliers are found at the target."""
+    lines = read(spark, sf_dir, "lineitem")
+    saved = lines.where("l_linestatus = 'O'").select(F.col("l_orderkey").alias("series"), F.col("l_linenumber").cast("int").alias("page"), F.lit(True).alias("ok"), (F.col("l_suppkey") % 2 == 0).alias("found"))
+    return series.drain(series.fold(evidence(spark, sf_dir)), saved)
+
+
+QUERIES = {f.__name__: f for f in (tree_deep, child_lookup, summary_files, series_drained, series_monotone_state, series_state_histogram, series_gap_pages, series_pending, series_totals, series_overview, series_fill, episode_names, queue_merge_series, playlist_expand, tree_flatten, folders_missing, store_audit)}
 
 _ORD = "case when l_linestatus = 'O' and l_returnflag = 'A' then 0 when l_linestatus = 'O' then 1 when l_returnflag = 'A' then 2 when l_returnflag = 'N' then 3 else 4 end"
 _M = f"(select *, ['pending', 'raw_ready', 'summarized', 'landed', 'verified'][ord + 1] state from (select l_orderkey series, l_linenumber::int page, max({_ORD}) ord, count(*) n_evidence from lineitem group by 1, 2))"
 SQL = {
+    "tree_deep": "with recursive t as (select c_custkey::bigint node, (c_custkey % 10)::varchar path, 0 depth from customer where c_custkey <= 1 union all select c.c_custkey, t.path || '/' || (c.c_custkey % 10), depth + 1 from t join customer c on c.c_custkey > 1 and c.c_custkey // 2 = t.node) select node, path, depth from t",
+    "child_lookup": "select c_custkey parent, t title, min(o_orderkey) node from (select c_custkey, unnest(['1-URGENT', '5-LOW']) t from customer) left join orders on o_custkey = c_custkey and o_orderpriority = t group by 1, 2",
+    "summary_files": "select 'notes/_raw_' || o_orderkey || '.md' raw, 'notes/' || o_orderkey || '.md' path, o_orderkey in (select l_orderkey from lineitem where l_linestatus = 'F') found from orders",
+    "series_drained": f"with s as (select l_orderkey series, l_linenumber::int page, bool_or(l_suppkey % 2 = 0) f from lineitem where l_linestatus = 'O' group by 1, 2), p as (select m.series, greatest(m.ord, case when s.f then 4 when s.f is not null then 3 else 0 end) ord from {_M} m left join s on s.series = m.series and s.page = m.page) select series, count(*) pages, count_if(ord >= 3) landed, count_if(ord >= 4) verified, bool_and(ord >= 4) clean_up from p group by 1",
     "series_monotone_state": f"select series, page, state, ord, n_evidence from {_M}",
     "series_state_histogram": f"select series, count(*)::int total, count_if(ord = 0)::int pending, count_if(ord = 1)::int raw_ready, count_if(ord = 2)::int summarized, count_if(ord = 3)::int landed, count_if(ord = 4)::int verified from {_M} group by 1",
     "series_gap_pages": f"select o_orderkey series, p::int page from (select o_orderkey, unnest(range(1, (o_orderkey % 8) + 1)) p from orders) where (o_orderkey, p) not in (select (series, page::bigint) from {_M} where ord >= 1)",

@@ -6,16 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config
-from ..config import DEFAULT as L
 from ..functions import text as T
 from ..operators import classify, filters, segments, series
+from .common import PROSE as L
 from .common import read, sql_any, sql_hits, sql_list, sql_occurrences
 
-_T = "substr(split_part(text, chr(10), 1), 1, 80)"
+_T = "split_part(text, chr(10), 1)"
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", F.substring(F.split("text", "\n")[0], 1, 80).alias("title"))
+    return read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", F.split("text", "\n")[0].alias("title"))
 
 
 def dedup_documents(spark, sf_dir):
@@ -38,32 +38,32 @@ def min_length_gate(spark, sf_dir):
 
 
 def wall_filter(spark, sf_dir):
-    return docs(spark, sf_dir).where(~filters.wall("text")).select("doc_id", "lang")
+    return docs(spark, sf_dir).where(~filters.wall("text", L)).select("doc_id", "lang")
 
 
 def ad_title_filter(spark, sf_dir):
-    return docs(spark, sf_dir).where(filters.ad_title("title")).select("doc_id", "title")
+    return docs(spark, sf_dir).where(filters.ad_title("title", L)).select("doc_id", "title")
 
 
 def ad_full_filter(spark, sf_dir):
-    return docs(spark, sf_dir).where(filters.ad_document("title", "text")).select("doc_id", F.length("text").alias("n"), T.distinct_hits("text", L.ad_phrases).alias("hits"))
+    return docs(spark, sf_dir).where(filters.ad_document("title", "text", L)).select("doc_id", F.length("text").alias("n"), T.distinct_hits("text", L.ad_phrases).alias("hits"))
 
 
 def ad_purify_lines(spark, sf_dir):
-    d = docs(spark, sf_dir).select("doc_id", filters.purify("text", separator="\n").alias("clean"))
+    d = docs(spark, sf_dir).select("doc_id", filters.purify("text", L, separator="\n").alias("clean"))
     return d.select("doc_id", F.length("clean").alias("n"), T.hash16("clean").alias("h"))
 
 
 def substantive_filter(spark, sf_dir):
-    return docs(spark, sf_dir).where(filters.substantive("title")).select("doc_id", "title")
+    return docs(spark, sf_dir).where(filters.substantive("text", L)).select("doc_id", F.length("text").alias("n"))
 
 
 def length_band_counts(spark, sf_dir):
-    return docs(spark, sf_dir).groupBy("lang", filters.length_band("title").alias("band")).agg(F.count("*").alias("n"))
+    return docs(spark, sf_dir).groupBy("lang", filters.length_band("text").alias("band")).agg(F.count("*").alias("n"))
 
 
 def classify_note_type(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", classify.note_type("title", "text").alias("note_type"))
+    return docs(spark, sf_dir).select("doc_id", classify.note_type("title", "text", L).alias("note_type"))
 
 
 def classify_counts_by_lang(spark, sf_dir):
@@ -71,7 +71,7 @@ def classify_counts_by_lang(spark, sf_dir):
 
 
 def classify_note_type_lang(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", "lang", classify.note_type("title", "text").alias("note_type"))
+    return docs(spark, sf_dir).select("doc_id", "lang", classify.note_type("title", "text", L).alias("note_type"))
 
 
 def template_lookup(spark, sf_dir):
@@ -84,11 +84,11 @@ def lexicon_occurrence_counts(spark, sf_dir):
 
 
 def interview_heuristic(spark, sf_dir):
-    return docs(spark, sf_dir).where(classify.interview_like("title", "text")).select("doc_id", "lang")
+    return docs(spark, sf_dir).where(classify.interview_like("title", "text", L)).select("doc_id", "lang")
 
 
 def default_tags(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", F.array_join(T.default_tags(F.lit("case"), "title", "text"), ",").alias("tags"))
+    return docs(spark, sf_dir).select("doc_id", F.array_join(T.default_tags(F.lit("case"), "title", "text", L), ",").alias("tags"))
 
 
 def category_from_tags(spark, sf_dir):
@@ -201,7 +201,7 @@ def audit_full_outer(spark, sf_dir):
 
 
 def fanout_health_counters(spark, sf_dir):
-    d = docs(spark, sf_dir).select("lang", filters.ad_document("title", "text").alias("ad"), filters.long_enough("text").alias("ok"), filters.wall("text").alias("wall"))
+    d = docs(spark, sf_dir).select("lang", filters.ad_document("title", "text", L).alias("ad"), filters.long_enough("text").alias("ok"), filters.wall("text", L).alias("wall"))
     return d.groupBy("lang").agg(F.count("*").alias("seen"), F.count_if("ad").alias("ads"), F.count_if(~F.col("ok")).alias("short"), F.count_if("wall").alias("walls"), F.count_if(F.col("ok") & ~F.col("ad") & ~F.col("wall")).alias("kept"))
 
 
@@ -216,7 +216,13 @@ def global_sequence(spark, sf_dir):
     return batches(read(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id", 15)
 
 
-_DOCS = (dedup_documents, dedup_content_groups, dedup_known, min_length_gate, wall_filter, ad_title_filter, ad_full_filter, ad_purify_lines, substantive_filter, length_band_counts, classify_note_type, classify_counts_by_lang, template_lookup, lexicon_occurrence_counts, interview_heuristic, default_tags, category_from_tags, filename_generate, filename_collisions, folder_sanitize, frontmatter_render, tag_line_normalize, note_header, titles_from_text, one_liners, sentence_lists, sentence_dedup, normal_texts, text_chunks, gate_parse, gate_retry, similarity_titles, two_stage_summary, audit_full_outer, fanout_health_counters, note_fill_rate, global_sequence)
+def tags_overlap(spark, sf_dir):
+    """[ST-4] Documents one of whose default tags is wanted."""
+    d = docs(spark, sf_dir).select("doc_id", T.default_tags(F.lit("case"), "title", "text", L).alias("tags"))
+    return d.select("doc_id", T.shares_any("tags", F.array(F.lit("que"), F.lit("lich"), F.lit(None).cast("string"))).alias("hit"))
+
+
+_DOCS = (tags_overlap, dedup_documents, dedup_content_groups, dedup_known, min_length_gate, wall_filter, ad_title_filter, ad_full_filter, ad_purify_lines, substantive_filter, length_band_counts, classify_note_type, classify_counts_by_lang, template_lookup, lexicon_occurrence_counts, interview_heuristic, default_tags, category_from_tags, filename_generate, filename_collisions, folder_sanitize, frontmatter_render, tag_line_normalize, note_header, titles_from_text, one_liners, sentence_lists, sentence_dedup, normal_texts, text_chunks, gate_parse, gate_retry, similarity_titles, two_stage_summary, audit_full_outer, fanout_health_counters, note_fill_rate, global_sequence)
 QUERIES = {f.__name__: f for f in _DOCS}
 
 _H = "substr(sha256(trim({})), 1, 16)"
@@ -246,13 +252,14 @@ SQL = {
     "ad_purify_lines": f"""select doc_id, length(clean) n, {_H.format('clean')} h from (select doc_id, trim(coalesce((
         select string_agg(b, chr(10) order by i) from (select unnest(string_split(text, chr(10))) b, generate_subscripts(string_split(text, chr(10)), 1) i)
         where trim(b) <> '' and not (({sql_hits(_PLAIN, L.ad_strong)} >= 1 and length({_PLAIN}) < 140) or {sql_hits(_PLAIN, L.ad_phrases)} >= 2)), '')) clean from documents)""",
-    "substantive_filter": f"select doc_id, title from {_D} where length(trim(title)) >= 15 and length(trim(regexp_replace(trim(title), 'https?://[^ \\n]+', '', 'g'))) >= 15 and not {sql_any('trim(title)', L.post_noise)}",
-    "length_band_counts": f"select lang, case when length(trim(title)) < 20 then 'drop' when length(trim(title)) <= 80 then 'light' else 'full' end band, count(*) n from {_D} group by 1, 2",
+    "substantive_filter": f"select doc_id, length(text) n from documents where length(trim(text)) >= 15 and length(trim(regexp_replace(trim(text), 'https?://[^ \\n]+', '', 'g'))) >= 15 and not {sql_any('trim(text)', L.post_noise)}",
+    "length_band_counts": f"select lang, case when length(trim(text)) < 20 then 'drop' when length(trim(text)) <= 80 then 'light' else 'full' end band, count(*) n from documents group by 1, 2",
     "classify_note_type": f"select doc_id, note_type from {_CLASS}",
     "classify_counts_by_lang": f"select lang, note_type, count(*) n from {_CLASS} group by 1, 2",
     "template_lookup": "select doc_id, case doc_id % 3 when 0 then 'interview' when 1 then 'unheard' else 'case' end note_type, case doc_id % 3 when 0 then 'Interview' when 1 then 'Notes' else 'Case' end as label from documents",
     "lexicon_occurrence_counts": f"select doc_id, {sql_occurrences('text', L.host_probes)}::int host, {sql_occurrences('text', L.audience_probes)}::int audience, {sql_hits('text', L.ad_phrases)} ad_hits from documents",
     "interview_heuristic": f"select doc_id, lang from (select doc_id, lang, {sql_occurrences('txt', L.host_probes)} host, {sql_occurrences('txt', L.audience_probes)} audience from (select doc_id, lang, {_INT} txt from documents)) where {_LIKE}",
+    "tags_overlap": "select doc_id, contains(text, 'que') or contains(text, 'lich') hit from documents",
     "default_tags": f"select doc_id, array_to_string(list_concat(['Case'], list_filter({sql_list(L.tag_terms)}, lambda t: contains(title || chr(10) || text, t))), ',') tags from {_D}",
     "category_from_tags": "select doc_id, 'Case,repost,' || lang || ',fresh' tags, lang category from documents",
     "filename_generate": f"""select doc_id, '[' || lang || ']' || case when length(substr({_SAFE.format('title')}, 1, 50)) < 2 then 'unnamed' else substr({_SAFE.format('title')}, 1, 50) end || '-' || strftime(date '2024-01-01' + (doc_id % 28)::int, '%Y%m%d') || '.md' filename,
