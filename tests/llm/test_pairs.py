@@ -163,3 +163,18 @@ def test_a_group_of_copies_larger_than_a_block(spark, monkeypatch):
     got = {r.vec_id: (r.n_links, r.component_id) for r in near_duplicates(df, report=report).collect()}
     assert all(got[i] == (100, 0) for i in (*range(100), 107)) and all(got[i] == (0, i) for i in range(100, 107))
     assert report["audited"] == 2  # the copies are one vector
+
+
+def test_substrings_of_many_null_ids_and_of_many_texts_under_one_id(docs, words):
+    texts = [words(40 + k % 9, k) for k in range(1500)]
+    texts[700:720] = [t + " " + LINE for t in texts[700:720]]
+    for one in (None, 5):
+        got = sorted((r.n_bytes, r.n_removed) for r in substrings.remove(docs([(one, t) for t in texts])).collect())
+        whole = sum(n for _, n in got)
+        assert len(got) == 1500 and 19 * len(LINE) <= whole <= 19 * (len(LINE) + 2)  # all but one keep the line
+
+
+def test_vectors_that_share_an_id_and_vectors_of_other_lengths(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (3, [1.0, 0.0]), (4, [1.0, 0.0, 0.0]), (5, [2.0, 0.0, 0.0]), (6, [1.0]), (3, [1.0, 0.0])]
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == [(1, 0, 1), (1, 1, 1), (3, 1, 1), (3, 1, 1), (4, 1, 4), (5, 1, 4), (6, 0, 6)]

@@ -153,3 +153,43 @@ def test_secret_candidates_are_all_runs_that_no_rule_covers():
 def test_texts_with_one_short_run_are_scanned():
     data = "a b c Xy9_kw7".encode()
     assert secrets.worth(np.array([0, len(data)]), np.frombuffer(data, np.uint8)).all()
+
+
+def test_bpe_ids_of_all_characters_between_letters(docs):
+    points = [c for c in range(1, 0x3000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"ab{chr(c)}cd Q{chr(c)} " for c in points[k : k + 200]) for k in range(0, len(points), 200)]
+    texts += [f"a{chr(c)}b" for c in range(0x180, 0x250)]
+    t = Tokenizer.from_file(WORD)
+    got = {r.doc_id: bytes(r.ids) for r in bpe.encode(docs(list(enumerate(texts))), WORD).collect()}
+    bad = [i for i, text in enumerate(texts) if got[i] != np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()]
+    assert not bad, texts[bad[0]][:50]
+
+
+def test_every_language_is_learnt(spark):
+    import random
+
+    rng = random.Random(4)
+    letters = [chr(c) for c in range(0x3B1, 0x3B1 + 24)] + [chr(c) for c in range(0x430, 0x450)] + [chr(c) for c in range(97, 123)]
+    rows = []
+    for k in range(70):  # more languages than a table of 64 would hold, one of them with long texts only
+        alphabet = rng.sample(letters, 5)
+        for j in range(6):
+            rows.append((100 * k + j, "".join(rng.choice(alphabet) for _ in range(25_000 if k == 3 else 300)), f"l{k:02d}"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language.identify(df).join(df.select("doc_id", "lang"), "doc_id").collect()
+    assert {r.lang_pred for r in got} == {f"l{k:02d}" for k in range(70)}
+    assert sum(r.lang == r.lang_pred for r in got) > 0.9 * len(got)
+
+
+def auc(scored, labels, label):
+    rows = [(r.score, r.y) for r in scored.where("held_out").join(labels.select("doc_id", F.col(label).alias("y")).where("y is not null"), "doc_id").collect()]
+    x, y = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    return (x[y == 1][:, None] > x[y == 0][None, :]).mean() + 0.5 * (x[y == 1][:, None] == x[y == 0][None, :]).mean()
+
+
+def test_scores_rank_held_out_rows(spark):
+    """A constant answer has an area of one half."""
+    sf = SF.replace("0.001", "0.1")
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    assert auc(toxicity.classify(docs, labels), labels, "toxic") > 0.65
+    assert auc(quality.classify(docs, labels), labels, "quality") > 0.95

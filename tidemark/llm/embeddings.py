@@ -22,14 +22,17 @@ AUDIT, SAMPLE, SAMPLE_MOST, RECALL, GROWTH = 100, 1024, 8192, 0.98, 0.001
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(id, v) of rows with an id and a vector of finite numbers that is not zero; equal ids are told apart by nothing, so the first by content stays."""
+    """(id, v, h) of rows with an id and a vector of finite numbers that is not zero, equal rows once; h is a hash of v."""
     # floats are kept as they are (half the bytes of each shuffle); all that is computed is computed in doubles
-    kind = vectors.select(vec_col).schema[0].dataType.elementType.simpleString()
-    v = F.transform(F.col(vec_col), lambda x: x.cast("float" if kind == "float" else "double"))
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where("id is not null and v is not null and size(v) > 0")
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), _numbers(vectors, vec_col).alias("v")).where("id is not null and v is not null and size(v) > 0")
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = rows.where(finite).where(F.exists("v", lambda x: x != 0))
-    return rows.groupBy("id").agg(F.min("v").alias("v"))
+    return rows.distinct().select("id", "v", F.xxhash64("v").alias("h"))
+
+
+def _numbers(vectors: DataFrame, vec_col: str) -> F.Column:
+    kind = vectors.select(vec_col).schema[0].dataType.elementType.simpleString()
+    return F.transform(F.col(vec_col), lambda x: x.cast("float" if kind == "float" else "double"))
 
 
 def _matrix(column):
@@ -248,30 +251,40 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
 
     Vectors that are null, empty, zero or hold null or non-finite numbers link with nothing; rows with a null id get a null
     component and are not kept. Links are the pairs found by NN-descent with a cosine of ``threshold`` or more, in double
-    precision; equal vectors are one vector with a count there, and link with each other. Vectors must have one dimension in
-    all. Ties don't matter; of rows that share an id the smallest vector counts.
+    precision; equal vectors are one vector with a count there, and link with each other. Vectors of different lengths link with
+    nothing of another length. Rows that share an id and the vector are one; rows that share an id and differ are different vectors,
+    each with links of its own. Ties don't matter. ``report`` gets the least audited recall of all lengths.
     """
     spark = vectors.sparkSession
     tables = Tables(spark, "vectors")
     rows = tables.save(usable(vectors, id_col, vec_col), "vectors")
-    groups = tables.save(rows.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "groups")
+    groups = rows.groupBy("v").agg(F.min("id").alias("first"), F.count("*").alias("copies"), F.min("h").alias("h"))
+    # a vector goes by its least id, or by its hash if that is the least id of other vectors too
+    crowded = groups.groupBy("first").agg(F.count("*").alias("several")).where("several > 1")
+    groups = groups.join(crowded, "first", "left").withColumn("id", F.when(F.col("several") > 1, F.col("h")).otherwise(F.col("first"))).drop("several")
+    groups = tables.save(groups, "groups")
     several = groups.where("copies > 1")
-    # the rows of vectors that stand more than once, with the id that stands for each
-    members = tables.save(rows.join(several.select("v", F.col("id").alias("first")), "v").select("id", "first"), "members")
+    copied = rows.join(several.select("v", F.col("id").alias("node")), "v").select("id", "h", "node")
+    members = tables.save(groups.where("copies = 1").select(F.col("first").alias("id"), "h", F.col("id").alias("node")).union(copied), "members")
     tables.drop("vectors")
-    lists = graph(groups.select("id", "v"), threshold, tables, report)
+    lists, reports = spark.createDataFrame([], _LISTS), []
+    for r in groups.select(F.size("v").alias("n")).distinct().orderBy("n").collect():  # commonly one length
+        reports.append({})
+        lists = lists.union(graph(groups.where(F.size("v") == r.n).select("id", "v"), threshold, Tables(spark, "vectors"), reports[-1]))
+    if report is not None and reports:
+        report.update(min(reports, key=lambda x: x["recall"]))
     near = lists.where("size(links) > 0").select("id", "links")
     edges = near.select("id", F.explode("links").alias("b")).where("id > b").select(F.col("id").alias("a"), "b")
     comp = connected_components(edges, tables, "links")
     # a link counts once for every copy at its other end
     more = near.join(several.select("id", "copies"), "id").select(F.explode("links").alias("id"), (F.col("copies") - 1).alias("more")).groupBy("id").agg(F.sum("more").alias("more"))
-    n = groups.select("id", "copies").join(near.select("id", F.size("links").alias("n")), "id", "left").join(more, "id", "left").join(comp.withColumnRenamed("node", "id"), "id", "left")
+    n = groups.select("id", "first", "copies").join(near.select("id", F.size("links").alias("n")), "id", "left").join(more, "id", "left").join(comp.withColumnRenamed("node", "id"), "id", "left")
     count = F.coalesce("n", F.lit(0)) + F.coalesce("more", F.lit(0)) + F.col("copies") - 1
-    known = tables.save(n.select("id", count.cast("long").alias("n"), F.coalesce("component", "id").alias("component")), "known")
-    alone = known.join(members.select("id"), "id", "left_anti")
-    copied = members.join(known.withColumnRenamed("id", "first"), "first").select("id", "n", "component")
-    ids = vectors.select(F.col(id_col).alias("vec_id"))
-    out = ids.join(alone.unionByName(copied).withColumnRenamed("id", "vec_id"), "vec_id", "left")
+    known = tables.save(n.select(F.col("id").alias("node"), "first", count.cast("long").alias("n"), F.coalesce("component", "id").alias("root")), "known")
+    known = known.join(known.groupBy("root").agg(F.min("first").alias("component")), "root").select("node", "n", "component")
+    found = members.join(known, "node").select(F.col("id").alias("vec_id"), "h", "n", "component")
+    ids = vectors.select(F.col(id_col).alias("vec_id"), F.xxhash64(_numbers(vectors, vec_col)).alias("h"))
+    out = ids.join(found, ["vec_id", "h"], "left")
     out = out.select("vec_id", F.coalesce("n", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 

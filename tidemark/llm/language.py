@@ -9,17 +9,17 @@ language is marked ``rejected``. Texts that are null or without letters get ``un
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .classify import below, byte_batches
+from .classify import byte_batches
 from .common import crc_fold, text_of
 
 BITS, CENTROIDS, ROUNDS = 12, 4, 8
-#: Bounds of the training sample: texts a language, languages, and characters a text.
-PER_LANGUAGE, LANGUAGES, MAX_CHARS = 400, 64, 20_000
+#: Bounds of the training sample: texts a language (of whatever number of languages), characters in all and in a text; of a longer
+#: text that is drawn, a stretch of MAX_CHARS is learnt from.
+PER_LANGUAGE, ALL_CHARS, MAX_CHARS = 400, 40_000_000, 20_000
 MODULUS, HELD_OUT = 4, 2
 #: The share of training texts that lie nearer than the distance from which texts are rejected.
 KEPT = 0.995
@@ -88,18 +88,25 @@ def fit(sample: list[tuple[str, str]]) -> dict | None:
 
 
 def training_sample(docs: DataFrame) -> list[tuple[str, str]]:
-    """Texts of the training fold with a language: those with the smallest hash of their id, PER_LANGUAGE of each of LANGUAGES."""
-    rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (crc_fold("doc_id", MODULUS) != HELD_OUT) & (F.length("text") <= MAX_CHARS) & F.col("text").rlike(r"\p{L}"))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    """Texts of the training fold of every language: those with the smallest hash of their id, at most PER_LANGUAGE of each, and
+    so many fewer (but not less than one) that ALL_CHARS characters suffice for all languages."""
+    rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (crc_fold("doc_id", MODULUS) != HELD_OUT) & F.col("text").rlike(r"\p{L}"))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.avg(F.least(F.length("text"), F.lit(MAX_CHARS))).alias("chars")).orderBy("lang").collect()
     h, out = F.xxhash64("doc_id"), []
     if not counts:
         return out
+    each = max(1, min(PER_LANGUAGE, int(ALL_CHARS / sum(r.chars for r in counts))))
     # a share of each language by the rank of a hash, so that the driver gets a bounded number whatever the number of tasks
-    wanted = reduce(lambda a, b: a | b, [(F.col("lang") == r["lang"]) & below(h, PER_LANGUAGE, r["count"]) for r in counts])
-    found = rows.where(wanted).select(h.alias("h"), "doc_id", "text", "lang").limit(3 * PER_LANGUAGE * len(counts)).collect()
-    for r in counts:
-        mine = sorted((x for x in found if x.lang == r["lang"]), key=lambda x: (x.h, x.doc_id is None, x.text))
-        out += [(x.text, x.lang) for x in mine[:PER_LANGUAGE]]
+    share = docs.sparkSession.createDataFrame([(r.lang, int(-(1 << 63) + min((1 << 64) - 1, (1 << 64) * (1.5 * each / r.n))) if r.n > 2 * each else (1 << 63) - 1) for r in counts], "lang string, most long")
+    at = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.lit(1), F.length("text") - MAX_CHARS + 1)).cast("int") + 1
+    found = rows.withColumn("lang", F.col("lang").cast("string")).join(F.broadcast(share), "lang").where(h <= F.col("most"))  # a row for each language
+    found = found.select(h.alias("h"), "doc_id", F.substring("text", at, F.lit(MAX_CHARS)).alias("text"), "lang").limit(3 * each * len(counts)).collect()
+    of: dict[str, list] = {}
+    for x in found:
+        of.setdefault(x.lang, []).append(x)
+    for lang in sorted(of):
+        mine = sorted(of[lang], key=lambda x: (x.h, x.doc_id is None, x.text))
+        out += [(x.text, lang) for x in mine[:each]]
     return out
 
 

@@ -12,8 +12,8 @@ runs agree, all but the earliest are repeats. Runs that differ somewhere are com
 where the runs of a key are few in one task, otherwise by a shuffle of window fingerprints. A byte is removed if a window over it
 also starts earlier: at a smaller id, or earlier in the same document. Everything is judged on the input.
 
-A null text is an empty one. A null id counts as larger than all others. Rows that share an id are told apart by a hash of their text and
-ordered by it; equal rows (same id, same text) don't count as copies of each other. Fingerprints have 64 bits and are
+A null text is an empty one. A null id counts as larger than all others. Rows that share an id (null ids too) are told apart by a 64-bit hash
+of their text and ordered by it; equal rows (same id, same text) don't count as copies of each other. Fingerprints have 64 bits and are
 compared only between suffixes that agree to DEPTH bytes. Other columns are passed through where asked for.
 """
 
@@ -37,8 +37,8 @@ SLICE = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _LAST = (1 << 63) - 1
-#: A place: 16 bits that tell apart texts with one id, 40 bits of start, 7 bits of run length.
-_TAG, _RUN = 47, 7
+#: A place: the start, and in the last 7 bits the run length.
+_RUN = 7
 
 
 def running(data):
@@ -101,31 +101,33 @@ def anchors(offsets, data, length: int = LENGTH, depth: int = DEPTH):
     return text, key.view(np.int64), run.view(np.int64), first - offsets[text], last - first
 
 
-def place(tag: str = "tag", start: str = "start", run: str = "run") -> F.Column:
-    return F.shiftleft(F.col(tag).cast("long"), _TAG) + F.shiftleft(F.col(start), _RUN) + F.col(run)
+def keyed(plain: DataFrame, shared: bool, *keep: str) -> DataFrame:
+    """doc, tag, text of (doc_id, text): ids with null as the largest; if rows share ids, ``tag`` is a hash of the text, else 0."""
+    tag = F.xxhash64("text") if shared else F.lit(0).cast("long")
+    return plain.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), tag.alias("tag"), "text", *keep)
 
 
-def keyed(plain: DataFrame, *keep: str) -> DataFrame:
-    """doc, tag, text of (doc_id, text): ids with null as the largest, and 16 bits of the text's hash."""
-    return plain.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.pmod(F.xxhash64("text"), F.lit(1 << 16)).cast("int").alias("tag"), "text", *keep)
+def ids_shared(plain: DataFrame) -> bool:
+    """Whether two rows have one id, null being an id like others."""
+    return not plain.groupBy("doc_id").count().where("count > 1").isEmpty()
 
 
 def suffix_array(plain: DataFrame) -> DataFrame:
-    """Anchors of a batch of (doc, tag, text): key, run (fingerprint), doc and place, in key order within partitions dealt by key."""
+    """Anchors of a batch of (doc, tag, text): key, run (fingerprint), doc, tag and place, in key order within partitions dealt by key."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            doc, tag = batch.column(0), batch.column(1).to_numpy().astype(np.int64)
+            doc, tag = batch.column(0), batch.column(1)
             for lo, offsets, data in byte_batches(batch, 2, SLICE):
                 for _, begin, o, d in parts(offsets, data):
                     text, key, fp, first, more = anchors(o, d)
-                    where = (tag[lo + text] << _TAG) + ((first + begin) << _RUN) + more
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp), doc.take(pa.array(lo + text)), pa.array(where)], ["key", "run", "doc", "place"])
+                    where, of = ((first + begin) << _RUN) + more, pa.array(lo + text)
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp), doc.take(of), tag.take(of), pa.array(where)], ["key", "run", "doc", "tag", "place"])
 
-    return plain.mapInArrow(run, "key long, run long, doc long, place long").repartition("key").sortWithinPartitions("key", "run")
+    return plain.mapInArrow(run, "key long, run long, doc long, tag long, place long").repartition("key").sortWithinPartitions("key", "run")
 
 
 class IndexFamily:
@@ -157,7 +159,7 @@ class IndexFamily:
         return self.matches[-1]
 
     def candidates(self) -> DataFrame:
-        """All suffixes whose key was matched: key, run, doc, place."""
+        """All suffixes whose key was matched: key, run, doc, tag, place."""
         rows, keys = self.levels[0][2], self.matches[0]
         for _, _, level in self.levels[1:]:
             rows = rows.union(level)
@@ -171,8 +173,7 @@ class IndexFamily:
 
 def _asked(plain: DataFrame, runs: DataFrame) -> DataFrame:
     """Texts with the runs (key, place) that are asked of them; a list is bounded by its text's length."""
-    asked = runs.select("key", "doc", F.shiftright("place", _TAG).cast("int").alias("tag"), "place")
-    asked = asked.groupBy("doc", "tag").agg(F.collect_list(F.struct("key", "place")).alias("asked"))
+    asked = runs.groupBy("doc", "tag").agg(F.collect_list(F.struct("key", "place")).alias("asked"))
     return plain.join(asked, ["doc", "tag"]).select("doc", "tag", "text", "asked")
 
 
@@ -183,13 +184,12 @@ def _slices(batch) -> Iterator[tuple]:
     lists = batch.column(3)
     pairs, cut = lists.flatten(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
     keys, places = pairs.field(0).to_numpy(), pairs.field(1).to_numpy()
-    tag = batch.column(1).to_numpy().astype(np.int64)
     for lo, offsets, data in byte_batches(batch, 2, SLICE):
         n = len(offsets) - 1
         rows = slice(cut[lo], cut[lo + n])
         text = np.repeat(np.arange(n), np.diff(cut[lo : lo + n + 1]))
-        start, windows = (places[rows] & ((1 << _TAG) - 1)) >> _RUN, (places[rows] & ((1 << _RUN) - 1)) + 1
-        yield data, offsets, batch.column(0).slice(lo, n), tag[lo : lo + n], text, keys[rows], start, windows
+        start, windows = places[rows] >> _RUN, (places[rows] & ((1 << _RUN) - 1)) + 1
+        yield data, offsets, batch.column(0).slice(lo, n), batch.column(1).slice(lo, n), text, keys[rows], start, windows
 
 
 def spread(counts):
@@ -201,7 +201,7 @@ def spread(counts):
 
 
 def window_hashes(plain: DataFrame, runs: DataFrame) -> DataFrame:
-    """One row for each window of ``runs`` (key, doc, place): key, window (fingerprint), doc, place (of the window, run length 0)."""
+    """One row for each window of ``runs`` (key, doc, tag, place): key, window (fingerprint), doc, tag, place (of the window, run length 0)."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -216,14 +216,14 @@ def window_hashes(plain: DataFrame, runs: DataFrame) -> DataFrame:
                     j = start[row] + k
                     at = offsets[text[row]] + j
                     h = mix((total[at + LENGTH] - total[at]) * inverse[at])
-                    where = (tag[text[row]] << _TAG) + (j << _RUN)
-                    yield pa.RecordBatch.from_arrays([pa.array(key[row]), pa.array(h.view(np.int64)), doc.take(pa.array(text[row])), pa.array(where)], ["key", "window", "doc", "place"])
+                    of = pa.array(text[row])
+                    yield pa.RecordBatch.from_arrays([pa.array(key[row]), pa.array(h.view(np.int64)), doc.take(of), tag.take(of), pa.array(j << _RUN)], ["key", "window", "doc", "tag", "place"])
 
-    return _asked(plain, runs).mapInArrow(run, "key long, window long, doc long, place long")
+    return _asked(plain, runs).mapInArrow(run, "key long, window long, doc long, tag long, place long")
 
 
 def contexts(plain: DataFrame, runs: DataFrame) -> DataFrame:
-    """The bytes of all windows of each run: key, doc, place, context."""
+    """The bytes of all windows of each run: key, doc, tag, place, context."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -233,16 +233,16 @@ def contexts(plain: DataFrame, runs: DataFrame) -> DataFrame:
             for data, offsets, doc, tag, text, key, start, windows in _slices(batch):
                 raw, at = data.tobytes(), offsets[text] + start
                 parts = [raw[a:b] for a, b in zip(at.tolist(), (at + windows - 1 + LENGTH).tolist())]
-                where = (tag[text] << _TAG) + (start << _RUN) + windows - 1
-                yield pa.RecordBatch.from_arrays([pa.array(key), doc.take(pa.array(text)), pa.array(where), pa.array(parts, pa.binary())], ["key", "doc", "place", "context"])
+                of = pa.array(text)
+                yield pa.RecordBatch.from_arrays([pa.array(key), doc.take(of), tag.take(of), pa.array((start << _RUN) + windows - 1), pa.array(parts, pa.binary())], ["key", "doc", "tag", "place", "context"])
 
-    return _asked(plain, runs).mapInArrow(run, "key long, doc long, place long, context binary")
+    return _asked(plain, runs).mapInArrow(run, "key long, doc long, tag long, place long, context binary")
 
 
 def settle(rows: DataFrame) -> DataFrame:
-    """Removed spans (doc, place of the first window with run length) among the runs of each key, compared window by window.
+    """Removed spans (doc, tag, place of the first window with run length) among the runs of each key, compared window by window.
 
-    Rows are dealt by key and sorted by key, doc and place; a task goes through them in order and holds the runs of a few
+    Rows are dealt by key and sorted by key, doc, tag and place; a task goes through them in order and holds the runs of a few
     thousand keys at a time. Keys with very many different runs don't come here.
     """
 
@@ -272,7 +272,8 @@ def settle(rows: DataFrame) -> DataFrame:
         first, last = g[new], g[np.append(new[1:], len(g)) - 1]
         place = t.column("place").to_numpy()[row[first]]
         where = (place & ~np.int64((1 << _RUN) - 1)) + (k[first] << _RUN) + (last - first)
-        yield pa.RecordBatch.from_arrays([t.column("doc").combine_chunks().take(pa.array(row[first])), pa.array(where)], ["doc", "place"])
+        of = pa.array(row[first])
+        yield pa.RecordBatch.from_arrays([t.column("doc").combine_chunks().take(of), t.column("tag").combine_chunks().take(of), pa.array(where)], ["doc", "tag", "place"])
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -294,13 +295,13 @@ def settle(rows: DataFrame) -> DataFrame:
         if size:
             yield from ready(pa.Table.from_batches(held).combine_chunks())
 
-    return rows.repartition("key").sortWithinPartitions("key", "doc", "place").mapInArrow(run, "doc long, place long")
+    return rows.repartition("key").sortWithinPartitions("key", "doc", "tag", "place").mapInArrow(run, "doc long, tag long, place long")
 
 
 def later(rows: DataFrame, by: list[str]) -> DataFrame:
-    """(doc, place) of all rows but the earliest of each group; rows equal in doc and place to the earliest count as the earliest."""
-    first = rows.groupBy(*by).agg(F.min(F.struct("doc", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return rows.join(first, by).where((F.col("doc") != F.col("first.doc")) | (F.col("place") != F.col("first.place"))).select("doc", "place")
+    """(doc, tag, place) of all rows but the earliest of each group; rows equal in all three to the earliest count as the earliest."""
+    first = rows.groupBy(*by).agg(F.min(F.struct("doc", "tag", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return rows.join(first, by).where(F.struct("doc", "tag", "place") != F.col("first")).select("doc", "tag", "place")
 
 
 def repeats(plain: DataFrame, tables: Tables, batches: int = BATCHES) -> DataFrame:
@@ -311,14 +312,14 @@ def repeats(plain: DataFrame, tables: Tables, batches: int = BATCHES) -> DataFra
     found = family.candidates()
     tables.release()
     whole = later(found, ["key", "run"])
-    classes = found.groupBy("key", "run").agg(F.min(F.struct("doc", "place")).alias("f")).select("key", "f.*")
+    classes = found.groupBy("key", "run").agg(F.min(F.struct("doc", "tag", "place")).alias("f")).select("key", "f.*")
     several = tables.save(classes.join(classes.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"), "several")
     texts = plain.select("doc", "tag", "text")
     few = settle(contexts(texts, several.where(F.col("n") <= MANY)))
     many = later(tables.save(window_hashes(texts, several.where(F.col("n") > MANY)), "windows"), ["key", "window"])
     gone = whole.union(few).union(many)
-    start = F.shiftright(F.col("place").bitwiseAND((1 << _TAG) - 1), _RUN)
-    gone = gone.select("doc", F.shiftright("place", _TAG).cast("int").alias("tag"), start.alias("start"), (start + F.col("place").bitwiseAND((1 << _RUN) - 1) + LENGTH).alias("end"))
+    start = F.shiftright("place", _RUN)
+    gone = gone.select("doc", "tag", start.alias("start"), (start + F.col("place").bitwiseAND((1 << _RUN) - 1) + LENGTH).alias("end"))
     spans = gone.groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "end")).alias("spans"))  # bounded by the text's length
     return tables.save(spans, "spans")
 
@@ -330,8 +331,10 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batc
     """
     tables = Tables(docs.sparkSession, "substrings")
     carried = ["row"] * carry
-    marked = keyed(with_row(docs, id_col, text_col) if carry else text_of(docs, id_col, text_col), "doc_id", *carried)
-    spans = repeats(keyed(text_of(docs, id_col, text_col)), tables, batches)
+    plain = text_of(docs, id_col, text_col)
+    shared = ids_shared(plain)
+    marked = keyed(with_row(docs, id_col, text_col) if carry else plain, shared, "doc_id", *carried)
+    spans = repeats(keyed(plain, shared), tables, batches)
     last = "kept_sha256" if digest else "kept"
 
     def run(frames: Iterator) -> Iterator:
