@@ -287,10 +287,10 @@ def components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_
     # A group is first compared with a few others, so that most components are found without looking at all pairs of a list.
     # A pass cuts each list into small parts by another hash; one group of a part is its head, and every group
     # meets the PARTNERS heads with which it shares most, where both are in different components. What is left out here comes later.
-    # Passes end when so few pairs of different components are left in the lists that all of them can be looked at.
+    # Passes end when no more pairs of different components are left in the lists than there were postings: all of these can be looked at.
     # Members of a group are compared with its head together with the first pass. A group goes by its head.
     within = classes.join(groups.select("grp", "head"), "grp").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
-    spread, enough = postings.withColumn("component", F.col("head")), PART * postings.count()
+    spread, enough = postings.withColumn("component", F.col("head")), postings.count()
     for k in range(PASSES):
         open_ = spread.withColumn("part", F.pmod(F.xxhash64("head", "token", F.lit(k)), F.ceil(F.col("n") / PART)))
         first = open_.groupBy("token", "part").agg(F.min(F.struct(F.xxhash64("head", F.lit(k)).alias("h"), "head", "size", "component")).alias("h")).select("token", "part", F.col("h.head").alias("head2"), F.col("h.size").alias("size2"), F.col("h.component").alias("component2"))
@@ -305,7 +305,7 @@ def components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_
         spread = tables.save(_open(postings, comp, percent), f"spread{k + 1}")
         tables.release()
         own = spread.groupBy("token", "component").agg(F.count("*").alias("m"), F.first("n").alias("n"))
-        left = own.agg(F.sum(F.expr("m * (n - m)")).alias("pairs")).first().pairs
+        left = own.agg(F.sum(F.expr("m * (n - m) / 2")).alias("pairs")).first().pairs
         if left is None or left <= enough or found.isEmpty():
             break
 
