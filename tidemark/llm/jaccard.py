@@ -33,7 +33,7 @@ WORDS = 5
 #: Shingles in fewer documents than this are not told apart by their number (those of one document come first).
 OVERALL = 2
 #: Most passes before all pairs are looked at, groups under one head, and heads that a group is compared with in a pass.
-PASSES, PART, PARTNERS = 6, 16, 4
+PASSES, PART, PARTNERS = 3, 16, 4
 #: Bytes of text that are hashed at a time, and about so many bytes of text a bucket of shingles.
 SLICE, BUCKET = 2 << 20, 4 << 20
 _BASE = 0x9E3779B97F4A7C15
@@ -287,17 +287,22 @@ def components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_
     # A group is first compared with a few others, so that most components are found without looking at all pairs of a list.
     # A pass cuts each list into small parts by another hash; one group of a part is its head, and every group
     # meets the PARTNERS heads with which it shares most, where both are in different components. What is left out here comes later.
+    # After the first pass few lists are open; then lists are cut in PARTNERS ways, and a group meets all heads of its parts.
     # Passes end when no more pairs of different components are left in the lists than there were postings: all of these can be looked at.
     # Members of a group are compared with its head together with the first pass. A group goes by its head.
     within = classes.join(groups.select("grp", "head"), "grp").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
     spread, enough = postings.withColumn("component", F.col("head")), postings.count()
     for k in range(PASSES):
-        open_ = spread.withColumn("part", F.pmod(F.xxhash64("head", "token", F.lit(k)), F.ceil(F.col("n") / PART)))
-        first = open_.groupBy("token", "part").agg(F.min(F.struct(F.xxhash64("head", F.lit(k)).alias("h"), "head", "size", "component")).alias("h")).select("token", "part", F.col("h.head").alias("head2"), F.col("h.size").alias("size2"), F.col("h.component").alias("component2"))
-        met = open_.join(first, ["token", "part"]).where((F.col("component") != F.col("component2")) & sized)
+        seed = F.explode(F.array(*[F.lit(PARTNERS * k + i) for i in range(PARTNERS if k else 1)]))
+        open_ = spread.withColumn("seed", seed).withColumn("part", F.pmod(F.xxhash64("head", "token", "seed"), F.ceil(F.col("n") / PART)))
+        first = open_.groupBy("token", "seed", "part").agg(F.min(F.struct(F.xxhash64("head", "seed").alias("h"), "head", "size", "component")).alias("h"))
+        first = first.select("token", "seed", "part", F.col("h.head").alias("head2"), F.col("h.size").alias("size2"), F.col("h.component").alias("component2"))
+        met = open_.join(first, ["token", "seed", "part"]).where((F.col("component") != F.col("component2")) & sized)
         met = met.groupBy("head", "head2").agg(F.count("*").alias("shared"))
-        best = met.groupBy("head").agg(F.slice(F.sort_array(F.collect_list(F.struct("shared", F.xxhash64("head2", F.lit(k)).alias("h"), "head2")), asc=False), 1, PARTNERS).alias("p"))  # at most as many heads as a prefix has shingles
-        pairs = best.select(F.col("head").alias("a"), F.explode("p.head2").alias("b"))
+        if k == 0:
+            best = met.groupBy("head").agg(F.slice(F.sort_array(F.collect_list(F.struct("shared", F.xxhash64("head2").alias("h"), "head2")), asc=False), 1, PARTNERS).alias("p"))  # at most as many heads as a prefix has shingles
+            met = best.select("head", F.explode("p.head2").alias("head2"))
+        pairs = met.select(F.col("head").alias("a"), F.col("head2").alias("b"))
         found = _verified(classes, pairs if k else pairs.union(within), percent, tables, f"pass{k}")
         links = links.union(found) if k else found
         comp = _components(classes, links, tables, f"comp{k}")
