@@ -92,27 +92,27 @@ def connected_components(edges: DataFrame, tables: Tables, name: str = "cc", rou
     Self-loops keep a node in the result; null ends and repeated edges are dropped.
     """
     e = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a is not null and b is not null")
-    nodes = e.select(F.col("a").alias("node")).union(e.select("b")).distinct()
-    e = e.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    e = tables.save(e, f"{name}-0")
+    e = tables.save(e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-0")
+    nodes = e.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    e = e.where("a <> b")
 
     def stars(df: DataFrame) -> bool:
         """Whether every edge leads to a root and every node has one: then nothing can change any more."""
-        ends = df.selectExpr("a as node", "1 as up", "0 as down").union(df.selectExpr("b", "0", "1"))
+        ends = df.selectExpr("stack(2, a, 1, 0, b, 0, 1) as (node, up, down)")
         return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up + down > 1").isEmpty()
 
     k = 0
     while not stars(e):
         if k == rounds:
             raise RuntimeError(f"components did not settle in {rounds} rounds")
-        both = e.union(e.select("b", "a"))
+        both = e.selectExpr("stack(2, a, b, b, a) as (a, b)")
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         least2 = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least2, "a")
-        small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+        small = large.join(least2, "a").selectExpr("stack(2, b, m, a, m) as (a, b)").where("a <> b").distinct()
         k += 1
         e = tables.save(small, f"{name}-{k}")
-        tables.drop(f"{name}-{k - 1}")
+        if k > 1:  # the first holds the nodes
+            tables.drop(f"{name}-{k - 1}")
     comp = e.groupBy("a").agg(F.min("b").alias("m"))
     return nodes.join(comp, nodes.node == comp.a, "left").select("node", F.coalesce("m", "node").alias("component"))

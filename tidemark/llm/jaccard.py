@@ -33,7 +33,7 @@ WORDS = 5
 #: Shingles in fewer documents than this are not told apart by their number (those of one document come first).
 OVERALL = 2
 #: Most passes before all pairs are looked at, groups under one head, and heads that a group is compared with in a pass.
-PASSES, PART, PARTNERS = 3, 16, 4
+PASSES, PART, PARTNERS = 2, 16, 4
 #: Bytes of text that are hashed at a time, and about so many bytes of text a bucket of shingles.
 SLICE, BUCKET = 2 << 20, 4 << 20
 _BASE = 0x9E3779B97F4A7C15
@@ -292,6 +292,7 @@ def components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_
     # Members of a group are compared with its head together with the first pass. A group goes by its head.
     within = classes.join(groups.select("grp", "head"), "grp").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
     spread, enough = postings.withColumn("component", F.col("head")), postings.count()
+    comp = classes.select("node", "grp", F.col("node").alias("component"))
     for k in range(PASSES):
         seed = F.explode(F.array(*[F.lit(PARTNERS * k + i) for i in range(PARTNERS if k else 1)]))
         open_ = spread.withColumn("seed", seed).withColumn("part", F.pmod(F.xxhash64("head", "token", "seed"), F.ceil(F.col("n") / PART)))
@@ -304,8 +305,7 @@ def components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_
             met = best.select("head", F.explode("p.head2").alias("head2"))
         pairs = met.select(F.col("head").alias("a"), F.col("head2").alias("b"))
         found = _verified(classes, pairs if k else pairs.union(within), percent, tables, f"pass{k}")
-        links = links.union(found) if k else found
-        comp = _components(classes, links, tables, f"comp{k}")
+        comp = _components(comp, found, tables, f"comp{k}")
         tables.drop(f"spread{k}")
         spread = tables.save(_open(postings, comp, percent), f"spread{k + 1}")
         tables.release()
@@ -326,8 +326,8 @@ def components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_
     left = met.join(a, ["grp", "component"]).join(b, ["grp2", "component2"]).select("a", "b")
     several = comp.groupBy("grp").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("grp")
     same = a.join(several, "grp").join(b.withColumnRenamed("grp2", "grp"), "grp").where("component < component2").select("a", "b")
-    links = links.union(_verified(classes, left.union(same), percent, tables, "left"))
-    comp = _components(classes, links, tables, "comp")
+    found = _verified(classes, left.union(same), percent, tables, "left")
+    comp = _components(comp, found, tables, "comp")
 
     # back to documents: the smallest id of each component; what shares no shingle with any other is alone
     least = comp.join(classes.select("node", "doc_id"), "node").groupBy("component").agg(F.min("doc_id").alias("component_id"))
@@ -344,11 +344,9 @@ def _open(postings: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
     it would only matter if it were the first shingle that two sets share.
     """
     spread = postings.select("token", "grp", "head", "size", "pos").join(comp.select("grp", "component").distinct(), "grp")
-    least = spread.groupBy("token").agg(F.min("size").alias("least"))
+    of = spread.groupBy("token").agg(F.min("size").alias("least"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"))
     reach = (100 + percent) * (F.col("size") - F.col("pos")) >= percent * (F.col("size") + F.greatest("least", F.expr(f"({percent} * size + 99) div 100")))
-    spread = spread.join(least, "token").where(reach).drop("least")
-    mixed = spread.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("token", "n")
-    return spread.join(mixed, "token")
+    return spread.join(of.where("lo <> hi"), "token").where(reach).drop("least", "lo", "hi")
 
 
 def _verified(classes: DataFrame, pairs: DataFrame, percent: int, tables: Tables, name: str) -> DataFrame:
@@ -357,10 +355,14 @@ def _verified(classes: DataFrame, pairs: DataFrame, percent: int, tables: Tables
     return tables.save(verify(pairs, classes, percent), f"links-{name}")
 
 
-def _components(classes: DataFrame, links: DataFrame, tables: Tables, name: str) -> DataFrame:
-    """node, grp, component of every class; a class without links is its own component."""
-    found = connected_components(links, tables, name)
-    joined = classes.select("node", "grp").join(found, "node", "left").select("node", "grp", F.coalesce("component", "node").alias("component"))
+def _components(comp: DataFrame, links: DataFrame, tables: Tables, name: str) -> DataFrame:
+    """node, grp, component of every class, after the components of ``comp`` that ``links`` connect have become one (the smallest)."""
+    if links.isEmpty():
+        return comp
+    a, b = (comp.select(F.col("node").alias(k), F.col("component").alias(f"of_{k}")) for k in ("a", "b"))
+    ends = links.join(a, "a").join(b, "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
+    found = connected_components(ends, tables, name).select(F.col("node").alias("component"), F.col("component").alias("root"))
+    joined = comp.join(found, "component", "left").select("node", "grp", F.coalesce("root", "component").alias("component"))
     return tables.save(joined, f"{name}-all")
 
 
