@@ -50,9 +50,9 @@ def pooled(table, offsets, data, where: bool = False):
         return (out, owner, place) if where else (out, owner)
     wide = data.astype(np.int32)
     pair = (wide[:-1] << 8) | wide[1:]
-    r = table[0][pair[:m]]
+    r = table[0].take(pair[:m], axis=0)
     for j in range(1, WIDTH // 2):
-        r += table[j][pair[2 * j : 2 * j + m]]
+        r += table[j].take(pair[2 * j : 2 * j + m], axis=0)
     stop = end - WIDTH + 1
     some = stop > start
     if where:
