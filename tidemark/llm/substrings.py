@@ -32,6 +32,8 @@ from .common import Tables, replaced, text_of, with_row
 LENGTH, DEPTH, BATCHES = 100, 24, 4
 #: Keys with more different runs are compared by a shuffle of their windows, so that no task gets them all.
 MANY = 20_000
+#: Groups with more than one in so many of all rows, of which there are fewer than this, are sent to the rows instead of being dealt.
+HEAVY = 1000
 #: Bytes of text that are hashed at a time; a longer text is taken in overlapping parts.
 SLICE = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
@@ -112,8 +114,23 @@ def ids_shared(plain: DataFrame) -> bool:
     return not plain.groupBy("doc_id").count().where("count > 1").isEmpty()
 
 
+def by_group(rows: DataFrame, groups: DataFrame, by: list[str], total: int) -> DataFrame:
+    """Inner join of rows with one row a group, which has the number of its rows in ``n``; all groups together have at most ``total`` rows.
+
+    A common passage is one group of very many rows. Groups of more than a ``HEAVY``-th of the rows are broadcast (they are fewer
+    than ``HEAVY``, whatever the input), the others meet their rows by a shuffle, so no task gets a hot group whole.
+    """
+    hot = F.col("n") > total // HEAVY
+    heavy = groups.where(hot)
+    rest = rows.join(F.broadcast(heavy.select(*by)), by, "left_anti").join(groups.where(~hot), by)
+    return rows.join(F.broadcast(heavy), by).unionByName(rest)
+
+
 def suffix_array(plain: DataFrame) -> DataFrame:
-    """Anchors of a batch of (doc, tag, text): key, run (fingerprint), doc, tag and place, in key order within partitions dealt by key."""
+    """Anchors of a batch of (doc, tag, text): key, run (fingerprint), doc, tag and place, in key order within partitions.
+
+    They are dealt by key and document, as one key may hold a good part of all anchors.
+    """
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -127,7 +144,7 @@ def suffix_array(plain: DataFrame) -> DataFrame:
                     where, of = ((first + begin) << _RUN) + more, pa.array(lo + text)
                     yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp), doc.take(of), tag.take(of), pa.array(where)], ["key", "run", "doc", "tag", "place"])
 
-    return plain.mapInArrow(run, "key long, run long, doc long, tag long, place long").repartition("key").sortWithinPartitions("key", "run")
+    return plain.mapInArrow(run, "key long, run long, doc long, tag long, place long").repartition("key", "doc").sortWithinPartitions("key", "run")
 
 
 class IndexFamily:
@@ -140,20 +157,20 @@ class IndexFamily:
         self.added = 0
 
     def add(self, plain: DataFrame, more: bool = True) -> DataFrame:
-        """Index a batch; returns the keys of its suffixes that occur twice in it or also in a level. ``more``: further batches follow."""
+        """Index a batch; returns the keys of its suffixes that occur twice in it or also in a level, with the number of times up to now. ``more``: further batches follow."""
         name = f"level0-{self.added}"
         new = self.tables.save(suffix_array(plain), name)
         scan = new.select("key", F.lit(1).alias("new"))
         for _, _, level in self.levels:
             scan = scan.union(level.select("key", F.lit(0)))
-        met = scan.groupBy("key").agg(F.count("*").alias("n"), F.max("new").alias("new")).where("n > 1 and new = 1").select("key")
+        met = scan.groupBy("key").agg(F.count("*").alias("n"), F.max("new").alias("new")).where("n > 1 and new = 1").select("key", "n")
         self.matches.append(self.tables.save(met, f"matches-{self.added}"))
         self.levels.append((0, name, new))
         self.added += 1
         while more and len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
             (rank, a, x), (_, b, y) = self.levels[-2:]
             name = f"level{rank + 1}-{self.added}"
-            self.levels[-2:] = [(rank + 1, name, self.tables.save(x.union(y).repartition("key").sortWithinPartitions("key", "run"), name))]
+            self.levels[-2:] = [(rank + 1, name, self.tables.save(x.union(y).repartition("key", "doc").sortWithinPartitions("key", "run"), name))]
             self.tables.drop(a, b)
         self.tables.release()
         return self.matches[-1]
@@ -165,7 +182,9 @@ class IndexFamily:
             rows = rows.union(level)
         for m in self.matches[1:]:
             keys = keys.union(m)
-        found = self.tables.save(rows.join(keys.distinct(), "key"), "candidates")
+        # the last batch that holds a key has counted it in all
+        keys, total = keys.groupBy("key").agg(F.max("n").alias("n")), sum(level.count() for _, _, level in self.levels)
+        found = self.tables.save(by_group(rows, keys, ["key"], total).drop("n"), "candidates")
         self.tables.drop(*[name for _, name, _ in self.levels], *[f"matches-{i}" for i in range(self.added)])
         self.levels, self.matches = [], []
         return found
@@ -298,10 +317,10 @@ def settle(rows: DataFrame) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key", "doc", "tag", "place").mapInArrow(run, "doc long, tag long, place long")
 
 
-def later(rows: DataFrame, by: list[str]) -> DataFrame:
+def later(rows: DataFrame, by: list[str], total: int) -> DataFrame:
     """(doc, tag, place) of all rows but the earliest of each group; rows equal in all three to the earliest count as the earliest."""
-    first = rows.groupBy(*by).agg(F.min(F.struct("doc", "tag", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return rows.join(first, by).where(F.struct("doc", "tag", "place") != F.col("first")).select("doc", "tag", "place")
+    first = rows.groupBy(*by).agg(F.min(F.struct("doc", "tag", "place")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    return by_group(rows, first, by, total).where(F.struct("doc", "tag", "place") != F.col("first")).select("doc", "tag", "place")
 
 
 def repeats(plain: DataFrame, tables: Tables, batches: int = BATCHES) -> DataFrame:
@@ -311,12 +330,14 @@ def repeats(plain: DataFrame, tables: Tables, batches: int = BATCHES) -> DataFra
         family.add(plain.where(F.pmod(F.xxhash64("doc"), F.lit(batches)) == i).select("doc", "tag", "text"), more=i + 1 < batches)
     found = family.candidates()
     tables.release()
-    whole = later(found, ["key", "run"])
+    total = found.count()
+    whole = later(found, ["key", "run"], total)
     classes = found.groupBy("key", "run").agg(F.min(F.struct("doc", "tag", "place")).alias("f")).select("key", "f.*")
-    several = tables.save(classes.join(classes.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"), "several")
+    several = tables.save(by_group(classes, classes.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), ["key"], total), "several")
     texts = plain.select("doc", "tag", "text")
     few = settle(contexts(texts, several.where(F.col("n") <= MANY)))
-    many = later(tables.save(window_hashes(texts, several.where(F.col("n") > MANY)), "windows"), ["key", "window"])
+    windows = tables.save(window_hashes(texts, several.where(F.col("n") > MANY)), "windows")
+    many = later(windows, ["key", "window"], windows.count())
     gone = whole.union(few).union(many)
     start = F.shiftright("place", _RUN)
     gone = gone.select("doc", "tag", start.alias("start"), (start + F.col("place").bitwiseAND((1 << _RUN) - 1) + LENGTH).alias("end"))
