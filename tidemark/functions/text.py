@@ -20,21 +20,10 @@ def first_filled(*cols, default: str = "") -> Column:
 
 
 def contains_any(c, terms) -> Column:
-    """[FLT-1, JN-11] Whether any term occurs; an empty list never matches."""
+    """[FLT-1, JN-11] Whether any term of a short list occurs; an empty list never matches. ``automaton.lexicon_hits`` takes long lists, and several at once."""
     return reduce(lambda a, b: a | b, [col(c).contains(t) for t in terms], F.lit(False))
 
 
-def distinct_hits(c, terms) -> Column:
-    """[AG-3] How many different terms occur."""
-    return reduce(lambda a, b: a + b, [col(c).contains(t).cast("int") for t in terms], F.lit(0))
-
-
-def occurrences(c, terms) -> Column:
-    """[AG-4] Non-overlapping occurrences of all terms together."""
-    c = col(c)
-    return reduce(lambda a, b: a + b, [((F.length(c) - F.length(F.replace(c, F.lit(t), F.lit("")))) / len(t)).cast("int") for t in terms], F.lit(0))
-
-
 def normalize_url(c) -> Column:
     """[STR-1, SO-2] Lower-case scheme and authority, no trailing slashes in the path, sorted query, no fragment."""
     c = F.trim(col(c))

@@ -7,20 +7,26 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..config import DEFAULT
-from ..functions.text import col, contains_any, occurrences
+from ..functions.automaton import lexicon_hits
+from ..functions.text import col
 
 
 def interview_like(title, content, lex=DEFAULT) -> Column:
     """[CLS-2] Two host probes and not many more of the audience, or four host probes."""
     text = F.substring(F.concat(col(title), F.lit("\n"), F.substring(col(content), 1, config.INTERVIEW_PREFIX)), 1, config.INTERVIEW_PREFIX)
-    host, audience = occurrences(text, lex.host_probes), occurrences(text, lex.audience_probes)
+    found = lexicon_hits(text, {"host": lex.host_probes, "audience": lex.audience_probes})
+    host, audience = found["host"]["total"], found["audience"]["total"]
     return ((host >= 2) & (audience <= host + 1)) | (host >= 4)
 
 
 def note_type(title, content, lex=DEFAULT) -> Column:
-    """[CLS-1] First match in order: tutorial, interview words, interview heuristics, key points, roundup, reading, opinion, case."""
+    """[CLS-1] First match in order: tutorial, interview words, interview heuristics, key points, roundup, reading, opinion, case.
+
+    The automaton reads the beginning of a note once for the words of all types."""
     text = F.lower(F.concat(col(title), F.lit("\n"), F.substring(col(content), 1, config.CLASSIFY_PREFIX)))
-    has = lambda name: contains_any(text, getattr(lex, name))
+    words = ("tutorial", "interview", "key_points", "roundup", "reading", "opinion", "case")
+    found = lexicon_hits(text, {name: getattr(lex, name) for name in words})
+    has = lambda name: found[name]["hits"] > 0
     quoted = col(title).contains("《") & col(title).contains("》")
     return (
         F.when(has("tutorial"), "structured").when(has("interview") | interview_like(title, content, lex), "interview").when(has("key_points"), "key_points")

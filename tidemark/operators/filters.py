@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..config import DEFAULT
-from ..functions.text import col, contains_any, distinct_hits, generic_title, hash16, normalize_url, strip_markdown
+from ..functions.automaton import lexicon_hits
+from ..functions.text import col, contains_any, generic_title, hash16, normalize_url, strip_markdown
 
 
 def ad_title(title, lex=DEFAULT) -> Column:
@@ -18,21 +19,32 @@ def ad_title(title, lex=DEFAULT) -> Column:
     return contains_any(title, lex.ad_titles)
 
 
-def ad_document(title, text, lex=DEFAULT) -> Column:
-    """[FLT-2] An advertising title, or a short text with two different phrases."""
-    return ad_title(title, lex) | ((F.length(col(text)) < config.AD_DOC_CHARS) & (distinct_hits(text, lex.ad_phrases) >= config.AD_HITS))
+def ad_phrases(text, lex=DEFAULT) -> Column:
+    """[AG-3] How many different phrases of advertisements occur; compute it once where several operators ask."""
+    return lexicon_hits(text, {"phrases": lex.ad_phrases})["phrases"]["hits"]
 
 
-def ad_block(block, lex=DEFAULT) -> Column:
-    """[FLT-3] A short block with a strong term, or any block with two different phrases."""
-    plain = strip_markdown(block)
-    return ((distinct_hits(plain, lex.ad_strong) >= 1) & (F.length(plain) < config.AD_BLOCK_CHARS)) | (distinct_hits(plain, lex.ad_phrases) >= config.AD_HITS)
+def ad_document(title, text, lex=DEFAULT, phrases=None) -> Column:
+    """[FLT-2] An advertising title, or a short text with two different phrases; only short texts are searched for them."""
+    short = F.length(col(text)) < config.AD_DOC_CHARS
+    hits = ad_phrases(F.when(short, col(text)), lex) if phrases is None else col(phrases)
+    return ad_title(title, lex) | (short & (hits >= config.AD_HITS))
+
+
+def ad_block(plain, found) -> Column:
+    """[FLT-3] A short block with a strong term, or any block with two different phrases; ``found`` is what the automaton says of it."""
+    return ((found["strong"]["hits"] >= 1) & (F.length(plain) < config.AD_BLOCK_CHARS)) | (found["phrases"]["hits"] >= config.AD_HITS)
 
 
 def purify(text, lex=DEFAULT, separator: str = "\n\n") -> Column:
     """[FLT-4] Images of codes out, advertising blocks out, the rest joined by the separator again."""
     clean = F.regexp_replace(col(text), r"!\[[^\]]*(?:QR|qr|code)[^\]]*\]\([^)]*\)", "")
-    return F.trim(F.array_join(F.filter(F.split(clean, separator), lambda b: (F.trim(b) != "") & ~ad_block(b, lex)), separator))
+    blocks = F.split(clean, separator)
+    plain = F.transform(blocks, lambda b: strip_markdown(b))
+    found = lexicon_hits(plain, {"strong": lex.ad_strong, "phrases": lex.ad_phrases}, each=True)
+    told = F.arrays_zip(blocks.alias("block"), plain.alias("plain"), found.alias("found"))
+    kept = F.filter(told, lambda x: (F.trim(x["block"]) != "") & ~ad_block(x["plain"], x["found"]))
+    return F.trim(F.array_join(F.transform(kept, lambda x: x["block"]), separator))
 
 
 def wall(text, lex=DEFAULT) -> Column:

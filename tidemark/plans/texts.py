@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions import text as T
+from ..functions.automaton import lexicon_hits
 from ..operators import classify, filters, segments, series
 from .common import PROSE as L
 from .common import read, sql_any, sql_hits, sql_list, sql_occurrences
@@ -46,7 +47,8 @@ def ad_title_filter(spark, sf_dir):
 
 
 def ad_full_filter(spark, sf_dir):
-    return docs(spark, sf_dir).where(filters.ad_document("title", "text", L)).select("doc_id", F.length("text").alias("n"), T.distinct_hits("text", L.ad_phrases).alias("hits"))
+    told = docs(spark, sf_dir).select("doc_id", "title", "text", filters.ad_phrases("text", L).alias("hits"))
+    return told.where(filters.ad_document("title", "text", L, "hits")).select("doc_id", F.length("text").alias("n"), "hits")
 
 
 def ad_purify_lines(spark, sf_dir):
@@ -80,7 +82,9 @@ def template_lookup(spark, sf_dir):
 
 
 def lexicon_occurrence_counts(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", T.occurrences("text", L.host_probes).alias("host"), T.occurrences("text", L.audience_probes).alias("audience"), T.distinct_hits("text", L.ad_phrases).alias("ad_hits"))
+    found = lexicon_hits("text", {"host": L.host_probes, "audience": L.audience_probes, "ads": L.ad_phrases})
+    d = docs(spark, sf_dir).select("doc_id", found.alias("f"))
+    return d.select("doc_id", F.col("f.host.total").alias("host"), F.col("f.audience.total").alias("audience"), F.col("f.ads.hits").alias("ad_hits"))
 
 
 def interview_heuristic(spark, sf_dir):
