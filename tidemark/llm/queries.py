@@ -81,7 +81,26 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), digest=True)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_quality, op3_jaccard, op4_secrets, op5_language, op6_substrings, op7_embeddings, op8_toxicity, op9_topk, op10_bpe)}
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import digest, scan
+
+    return digest(scan(table(spark, sf_dir, "documents")))
+
+
+def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .variants import group
+
+    return group(table(spark, sf_dir, "documents"))
+
+
+def op13_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .periods import find
+
+    return find(table(spark, sf_dir, "documents"), plant=True, digest=True)
+
+
+_ALL = (op1_packing, op2_quality, op3_jaccard, op4_secrets, op5_language, op6_substrings, op7_embeddings, op8_toxicity, op9_topk, op10_bpe, op11_pii, op12_variants, op13_periods)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 ORACLE_SQL: dict[str, str] = {
     "op3_jaccard": r"""
         with recursive w as (
