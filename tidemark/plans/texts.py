@@ -193,6 +193,14 @@ def similarity_titles(spark, sf_dir):
     return pairs.select("doc_id", "other_id", F.round(segments.similarity("title", "other"), 9).alias("ratio"), segments.redundant_title("title", "other").alias("redundant"))
 
 
+def similarity_benchmark(spark, sf_dir):
+    """[FLT-19] Documents that hold sentences of benchmark items, equal or nearly so."""
+    from ..operators.similarity import shared_sentences
+
+    got = shared_sentences(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), "doc_id", "item_id")
+    return got.withColumn("best", F.round("best", 9))
+
+
 def two_stage_summary(spark, sf_dir):
     from ..operators import summarize as S
 
@@ -226,7 +234,7 @@ def tags_overlap(spark, sf_dir):
     return d.select("doc_id", T.shares_any("tags", F.array(F.lit("que"), F.lit("lich"), F.lit(None).cast("string"))).alias("hit"))
 
 
-_DOCS = (tags_overlap, dedup_documents, dedup_content_groups, dedup_known, min_length_gate, wall_filter, ad_title_filter, ad_full_filter, ad_purify_lines, substantive_filter, length_band_counts, classify_note_type, classify_counts_by_lang, template_lookup, lexicon_occurrence_counts, interview_heuristic, default_tags, category_from_tags, filename_generate, filename_collisions, folder_sanitize, frontmatter_render, tag_line_normalize, note_header, titles_from_text, one_liners, sentence_lists, sentence_dedup, normal_texts, text_chunks, gate_parse, gate_retry, similarity_titles, two_stage_summary, audit_full_outer, fanout_health_counters, note_fill_rate, global_sequence)
+_DOCS = (tags_overlap, dedup_documents, dedup_content_groups, dedup_known, min_length_gate, wall_filter, ad_title_filter, ad_full_filter, ad_purify_lines, substantive_filter, length_band_counts, classify_note_type, classify_counts_by_lang, template_lookup, lexicon_occurrence_counts, interview_heuristic, default_tags, category_from_tags, filename_generate, filename_collisions, folder_sanitize, frontmatter_render, tag_line_normalize, note_header, titles_from_text, one_liners, sentence_lists, sentence_dedup, normal_texts, text_chunks, gate_parse, gate_retry, similarity_titles, similarity_benchmark, two_stage_summary, audit_full_outer, fanout_health_counters, note_fill_rate, global_sequence)
 QUERIES = {f.__name__: f for f in _DOCS}
 
 _H = "substr(sha256(trim({})), 1, 16)"
