@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import feeds, filters, queues
+from ..sources import history
 from .common import NOW, read
 
 
@@ -136,12 +137,19 @@ def upsert_rows(spark, sf_dir):
     return feeds.upsert(old, new, ["source_key", "route"], "id")
 
 
-QUERIES = {f.__name__: f for f in (discover_topn, discover_marked, discover_caps_by_route, seen_anti_join, seen_keep_last_k, backfill_progress, source_health, subscription_enrich, freshness_label, effective_window, date_parts, route_counts, retry_or_drop, queue_upsert, queue_promote, queue_drain, paid_skip, remember_repeats, index_range_select, job_status, upsert_rows)}
+def history_events(spark, sf_dir):
+    """[SRC-5, SRC-6] All events, read page by page from the paged source, up to the end of the history."""
+    got = history.reachable(history.history(spark, "event_id long, user_id long, event_type string", path=f"{sf_dir}/events.parquet"))
+    return got.select("page", "position", "item.*")
+
+
+QUERIES = {f.__name__: f for f in (history_events, discover_topn, discover_marked, discover_caps_by_route, seen_anti_join, seen_keep_last_k, backfill_progress, source_health, subscription_enrich, freshness_label, effective_window, date_parts, route_counts, retry_or_drop, queue_upsert, queue_promote, queue_drain, paid_skip, remember_repeats, index_range_select, job_status, upsert_rows)}
 
 _I = "(select user_id source_key, event_id id, event_type route, props title, ts publish_time, row_number() over (partition by user_id order by ts desc, event_id desc) - 1 feed_pos from events)"
 _IN = f"ts >= timestamp '{NOW}' - interval 10 days"
 _FAILED = f"(select 'u' || (id % 700) url, id, id queued_at, case when id % 4 < 3 then (id % 4)::int end refetch_count from {_I} where route <> 'click')"
 SQL = {
+    "history_events": "select ((row_number() over (order by event_id) - 1) // 20 + 1)::int page, ((row_number() over (order by event_id) - 1) % 20)::int as position, event_id, user_id, event_type from events",
     "discover_topn": f"select user_id source_key, event_id id, event_type route, row_number() over (partition by user_id order by ts desc, event_id desc)::int as rank from events where {_IN} and event_id % 3 <> 0 qualify row_number() over (partition by user_id order by ts desc, event_id desc) <= 2",
     "discover_marked": f"select user_id source_key, count(*) n, min(event_id) lo, max(event_id) hi from events where {_IN} and event_id % 3 <> 0 group by 1",
     "discover_caps_by_route": "select user_id source_key, event_type route, event_id id from events where event_id % 3 <> 0 qualify row_number() over (partition by user_id, event_type order by ts desc, event_id desc) = 1",

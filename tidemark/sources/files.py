@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.filters import listed_path
+from .history import reachable
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -36,19 +37,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def feed_pages(pages: DataFrame, size: int = 20, empty_limit: int = 2) -> DataFrame:
-    """[SRC-5, SRC-6] Items of landed history pages (source_key, page, items), up to the page where reading would have ended.
+    """[SRC-5, SRC-6] Items of landed history pages (source_key, page from 1, items), up to the page where reading would have ended.
 
-    Reading ends after a short page, or after ``empty_limit`` empty pages in a row.
+    Reading ends after a short page, or after ``empty_limit`` empty pages in a row; ``history.reachable`` finds the ends.
     """
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy("source_key").orderBy("page")
-    n = F.size("items")
-    short = F.max(((n < size) & (n > 0)).cast("int")).over(w.rowsBetween(W.unboundedPreceding, -1))
-    empty = F.sum((n == 0).cast("int")).over(w.rowsBetween(-empty_limit, -1))
-    open_ = pages.withColumn("_s", F.coalesce(short, F.lit(0))).withColumn("_e", F.coalesce(empty, F.lit(0)))
-    stop = F.max(((F.col("_s") == 1) | (F.col("_e") >= empty_limit)).cast("int")).over(w)
-    return open_.withColumn("_stop", stop).where("_stop = 0").select("source_key", "page", F.posexplode("items").alias("position", "item"))
+    n = F.size("items").alias("page_items")
+    items = pages.select(F.col("source_key").alias("source"), "page", n, F.posexplode("items").alias("position", "item"))
+    return reachable(items, size, empty_limit).select(F.col("source").alias("source_key"), "page", "position", "item")
 
 
 def resolve(urls: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:

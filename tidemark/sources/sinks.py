@@ -8,17 +8,16 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.feeds import upsert
-from .files import exists
+from .versions import BUCKETS, DELTAS, VersionedTable
 
 
 @dataclass
 class Sink:
-    """A named target. ``available`` is asked before every write; ``write`` gets (path, title, content) rows."""
+    """A named target. ``available`` is asked before every write; ``write`` gets the rows, and in streams the number of the batch."""
 
     name: str
     available: Callable[[], bool]
-    write: Callable[[DataFrame], None]
+    write: Callable[..., None]
 
 
 def resolve(sinks: dict[str, Sink], want_vault: bool = False, remote: bool = True) -> list[str]:
@@ -51,27 +50,67 @@ def folder_sink(path: str) -> Callable[[DataFrame], None]:
     return lambda df: df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("folder").parquet(path)
 
 
-def upsert_sink(spark: SparkSession, path: str, key: list[str]) -> Callable[[DataFrame], None]:
-    """[SNK-6, SNK-12] New rows replace old ones of the same key. The new version is complete before the pointer to it moves,
-    so a crash leaves the old version readable."""
+def vault_rows(notes: DataFrame, inbox: str = "inbox") -> DataFrame:
+    """[SNK-5] (folder, path, ...) of notes by their path: what stands before the last slash, or the inbox if there is none."""
+    folder = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
+    return notes.withColumn("folder", F.when(folder == "", inbox).otherwise(folder))
 
-    def write(df: DataFrame) -> None:
-        version = current(spark, path)
-        rows = upsert(spark.read.parquet(f"{path}/v{version}"), df, key) if version else df
-        rows.write.mode("overwrite").parquet(f"{path}/v{version + 1}")
-        spark.createDataFrame([(version + 1,)], "version int").coalesce(1).write.mode("append").parquet(f"{path}/versions")
 
-    return write
+def batch_folder_sink(path: str) -> Callable[[DataFrame, int], None]:
+    """[SNK-4] A folder for each batch of a stream; a batch that is written again replaces its own folder."""
+    return lambda df, batch: df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
 
+def upsert_sink(spark: SparkSession, path: str, key: list[str], order: str | None = None, buckets: int = BUCKETS, deltas: int = DELTAS) -> Callable[[DataFrame], None]:
+    """[SNK-6, SNK-12, STM-8] New rows replace old ones of the same key. Only the buckets that have new rows are written, and a version
+    counts once its file of the log is there, so a crash leaves the old version; buckets with many deltas are compacted."""
 
-def current(spark: SparkSession, path: str) -> int:
-    if not exists(spark, f"{path}/versions"):
-        return 0
-    return spark.read.schema("version int").parquet(f"{path}/versions").agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]
+    def write(df: DataFrame, batch: int = 0) -> None:
+        table = VersionedTable(spark, path, key, df.schema, buckets)
+        table.upsert(df, order)
+        table.compact(deltas)
+
+    return write
 
 
 def read_upserted(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/v{current(spark, path)}")
+    return VersionedTable(spark, path).read()
+
+
+def batch_fan_out(spark: SparkSession, sinks: dict[str, Sink], names: list[str], records: str) -> Callable[[DataFrame, int], None]:
+    """[SNK-2, SNK-3] For ``foreachBatch``: every sink writes every batch once, whatever fails in between.
+
+    A file <records>/<sink>/<batch> is made when a sink has written a batch. A sink that fails or is not available does not stop the others, but
+    the batch fails in the end, so the stream runs it again; sinks that have their record are left out then. A crash between a
+    write and its record repeats the write, so sinks replace what they wrote of a batch (``batch_folder_sink``) or upsert.
+    """
+    unknown = set(names) - set(sinks)
+    if unknown:
+        raise ValueError(f"unknown sinks: {sorted(unknown)}")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(records).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def run(df: DataFrame, batch: int) -> None:
+        todo = [n for n in names if not fs.exists(path(f"{records}/{n}/{batch}"))]
+        if not todo:
+            return
+        rows, failed = df.persist() if len(todo) > 1 else df, {}
+        try:
+            for name in todo:
+                try:
+                    if not sinks[name].available():
+                        raise ConnectionError("not available")
+                    sinks[name].write(rows, batch)
+                    fs.create(path(f"{records}/{name}/{batch}"), True).close()
+                except Exception as e:
+                    failed[name] = f"{type(e).__name__}: {e}"[:300]
+        finally:
+            if rows.is_cached:
+                rows.unpersist()
+        if failed:
+            raise RuntimeError(f"batch {batch} is not complete: {failed}")
+
+    return run
 
 
 def stage_raw(df: DataFrame, path: str) -> None:
