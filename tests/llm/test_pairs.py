@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import embeddings, jaccard, substrings
 from tidemark.llm.common import Tables, connected_components
@@ -114,6 +115,23 @@ def test_top_k_against_all(spark):
     assert (500, 1) not in got
 
 
+def test_top_k_by_all_components(spark):
+    """Codes of several words, of which vectors of another length are no neighbours; repeated rows count once."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(200, 150))
+    x[:, :64] = 1.0  # the first word tells nothing
+    x[20:60, 64:140] = x[0, 64:140]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] * 2 + [(400 + i, v[:140].tolist()) for i, v in enumerate(x[:30])] + [(500, []), (None, x[0].tolist())]
+    df = spark.createDataFrame(rows, "id long, v array<double>").withColumn("code", sign_code("v")).withColumn("rank", F.lit("x"))
+    got = {(r.query_id, r["rank"]): (r.id, r.distance) for r in top_k(df, df.where("id % 20 = 0").selectExpr("id as query_id", "code"), 4).collect()}
+    bits = x > 0
+    for q in range(0, 200, 20):
+        d = (bits != bits[q]).sum(1)
+        assert [got[q, k + 1] for k in range(4)] == [(i, n) for n, i in sorted((int(d[i]), i) for i in range(200) if i != q)[:4]]
+    assert {got[400, k][0] // 100 for k in range(1, 5)} == {4} and (500, 1) not in got
+    assert top_k(df.limit(0), df.limit(0).selectExpr("id as query_id", "code"), 4).count() == 0
+
+
 def isolated_pairs(n, pairs, dims=64):
     """n random vectors, of which the first ``pairs`` and the next ``pairs`` are partners at a cosine of 0.9 to 0.93."""
     rng = np.random.default_rng(5)
@@ -178,3 +196,20 @@ def test_vectors_that_share_an_id_and_vectors_of_other_lengths(spark):
     rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (3, [1.0, 0.0]), (4, [1.0, 0.0, 0.0]), (5, [2.0, 0.0, 0.0]), (6, [1.0]), (3, [1.0, 0.0])]
     got = sorted((r.vec_id, r.n_links, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
     assert got == [(1, 0, 1), (1, 1, 1), (3, 1, 1), (3, 1, 1), (4, 1, 4), (5, 1, 4), (6, 0, 6)]
+
+
+def test_substrings_of_null_beside_the_largest_id_and_of_many_equal_rows(docs, words, spark):
+    a, b, c = words(60, 1), words(90, 2), words(50, 3)
+    rows = [(None, f"{a} {c}"), (2**63 - 1, f"{b} {c} x"), (1, b)]
+    got = {(r.doc_id, r.n_bytes): r.n_removed for r in substrings.remove(docs(rows)).collect()}
+    want = substrings_of([(1, b), (2**63 - 1, f"{b} {c} x")])
+    assert got[1, len(b)] == 0 and len(got) == 3 and got[2**63 - 1, len(b) + len(c) + 3] >= want
+    # null and the largest id are one document id: which of its rows comes first is told by a hash of the text, and one keeps the passage
+    assert got[None, len(a) + len(c) + 1] + got[2**63 - 1, len(b) + len(c) + 3] >= want + len(c)
+    same = f"{a} " + "again and again " * 12
+    many = substrings.remove(docs([(None, same)] * 300 + [(5, a)])).collect()
+    assert len(many) == 301 and len({(r.n_removed, r.n_spans) for r in many if r.doc_id is None}) == 1
+
+
+def substrings_of(rows):
+    return brute.substrings(rows)[max(i for i, _ in rows)][1]

@@ -295,9 +295,13 @@ SEGMENTS, SEGMENT_BITS = 4, 16
 
 
 def sign_code(column: str) -> F.Column:
-    """64-bit code of a vector: bit i is set where component i is positive; null for vectors without 64 components."""
-    bits = F.aggregate(F.transform(F.slice(column, 1, 64), lambda x, i: F.when(x > 0, F.expr("1L")).otherwise(F.expr("0L"))), F.lit(0).cast("long"), lambda a, b: F.shiftleft(a, 1).bitwiseOR(b))
-    return F.when(F.size(column) >= 64, bits)
+    """Code of a vector: the number of its components, then words of 64 bits, one for each component, set where it is positive (the
+    last word is filled with zeros); null for null and empty vectors."""
+    v = F.transform(column, lambda x: F.when(x > 0, F.expr("1L")).otherwise(F.expr("0L")))
+    of = lambda w: F.concat(F.slice(v, w * 64 + 1, 64), F.array_repeat(F.expr("0L"), F.greatest((w + 1) * 64 - F.size(v), F.lit(0))))
+    word = lambda w: F.aggregate(of(w), F.lit(0).cast("long"), lambda a, b: F.shiftleft(a, 1).bitwiseOR(b))
+    words = F.transform(F.sequence(F.lit(0), F.ceil(F.size(column) / 64).cast("int") - 1), word)
+    return F.when(F.size(column) > 0, F.concat(F.array(F.size(column).cast("long")), words))
 
 
 def _masks(radius: int) -> list[int]:
@@ -310,18 +314,22 @@ def _masks(radius: int) -> list[int]:
 def top_k(codes: DataFrame, queries: DataFrame, k: int, tables: Tables | None = None) -> DataFrame:
     """The k nearest codes of every query by Hamming distance, ties by id: query_id, id, distance, rank.
 
-    ``codes`` (id, code) and ``queries`` (query_id, code); a query doesn't find the row of its own id. A code is cut into
-    SEGMENTS segments. A row at distance d differs from the query in d // SEGMENTS bits or fewer in some segment, so when
-    all segments have been searched to radius r, all rows nearer than SEGMENTS * (r + 1) have been seen. The radius grows until
-    the kth verified distance of a query is below that. Null codes are no rows and no queries. Equal codes are
-    one entry of the index with the k + 1 smallest ids, which is all that a top-k list can need.
+    ``codes`` (id, code) and ``queries`` (query_id, code), codes as ``sign_code`` makes them; those of another number of components are not
+    compared. A query doesn't find the row of its own id. A word is cut into SEGMENTS segments. A row at distance d differs from a query
+    of s segments in d // s bits or fewer in some segment, so when all segments have been searched to radius r, all rows nearer than
+    s * (r + 1) have been seen. The radius grows until the kth verified distance of a query is below that. Null codes are no rows and no
+    queries, repeated rows count once, and an empty table gives no rows. Equal codes are one entry of the index with the k + 1 smallest ids, which is all that a
+    top-k list can need.
     """
     import numpy as np
 
     spark = codes.sparkSession
     tables = tables or Tables(spark, "topk")
     segment = lambda c, s: F.shiftrightunsigned(c, s * SEGMENT_BITS).bitwiseAND((1 << SEGMENT_BITS) - 1)
-    parts = lambda c: F.array(*[F.struct(F.lit(s).alias("segment"), segment(c, s).alias("value")) for s in range(SEGMENTS)])
+    # segments are numbered over all words of a code, beside the number of components: only codes of one number meet
+    of_word = lambda x, w, n: F.array(*[F.struct((n * (1 << 24) + w * SEGMENTS + s).alias("segment"), segment(x, s).alias("value")) for s in range(SEGMENTS)])
+    parts = lambda c: F.flatten(F.transform(F.slice(c, F.lit(2), F.size(c)), lambda x, w: of_word(x, w, F.element_at(c, 1))))
+    apart = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
     rows = codes.where("code is not null and id is not null").select("id", "code").distinct()
     rows = rows.withColumn("r", F.row_number().over(_by("code", "id"))).where(F.col("r") <= k + 1)
     entries = tables.save(rows.groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids")), "entries")
@@ -333,13 +341,14 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int, tables: Tables | None =
         probe = open_.select("query_id", "query_code", F.explode(parts(F.col("query_code"))).alias("p")).select("query_id", "query_code", F.col("p.segment").alias("segment"), F.explode(F.transform(masks, lambda m: F.col("p.value").bitwiseXOR(m))).alias("value"))
         # probes are far more than the query rows they come from, which is all that the planner can see: no side is broadcast
         seen = probe.join(index.hint("merge"), ["segment", "value"]).select("query_id", "query_code", "code").distinct()
-        seen = seen.withColumn("distance", F.bit_count(F.col("query_code").bitwiseXOR(F.col("code")))).join(entries.hint("merge"), "code")
+        seen = seen.withColumn("distance", apart("query_code", "code")).join(entries.hint("merge"), "code")
         seen = seen.select("query_id", "distance", F.explode("ids").alias("id")).where("id <> query_id")
         if best is not None:
             seen = seen.union(best.select("query_id", "distance", "id")).distinct()
         best = seen.withColumn("rank", F.row_number().over(_by("query_id", "distance", "id"))).where(F.col("rank") <= k)
         best = tables.save(best, f"best-{radius}")
-        covered = best.where((F.col("rank") == k) & (F.col("distance") < SEGMENTS * (radius + 1))).select("query_id")
+        kth = best.where(F.col("rank") == k).select("query_id", "distance")
+        covered = open_.join(kth, "query_id").where(F.col("distance") < (F.size("query_code") - 1) * SEGMENTS * (radius + 1)).select("query_id").distinct()
         finished = best.join(covered, "query_id", "left_semi")
         done = finished if done is None else done.union(finished)
         open_ = tables.save(open_.join(covered, "query_id", "left_anti"), f"open-{radius}")

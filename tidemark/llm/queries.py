@@ -122,11 +122,11 @@ ORACLE_SQL: dict[str, str] = {
         select vec_id, (select count(*) from l where a = vec_id) n_links, component_id, vec_id = component_id kept from v join c on node = vec_id""",
     "op9_topk": """
         with bits as (
-            select vec_id, array_to_string(list_transform(embedding[1:64], lambda x: case when x > 0 then '1' else '0' end), '')::bit as code
-            from embeddings where vec_id is not null and len(embedding) >= 64),
+            select vec_id, len(embedding) n, array_to_string(list_transform(embedding, lambda x: case when x > 0 then '1' else '0' end), '')::bit as code
+            from embeddings where vec_id is not null and len(embedding) > 0),
         pairs as (
             select q.vec_id query_id, r.vec_id id, bit_count(xor(q.code, r.code))::int distance
-            from bits q join bits r on q.vec_id % 20 = 0 and q.vec_id <> r.vec_id)
+            from bits q join bits r on q.vec_id % 20 = 0 and q.vec_id <> r.vec_id and q.n = r.n)
         select query_id, id, distance, row_number() over (partition by query_id order by distance, id)::int as rank
         from pairs qualify row_number() over (partition by query_id order by distance, id) <= 10""",
 }

@@ -110,8 +110,9 @@ def keyed(plain: DataFrame, shared: bool, *keep: str) -> DataFrame:
 
 
 def ids_shared(plain: DataFrame) -> bool:
-    """Whether two rows have one id, null being an id like others."""
-    return not plain.groupBy("doc_id").count().where("count > 1").isEmpty()
+    """Whether two rows have one ``doc``; null counts as the largest id here, too."""
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc")
+    return not plain.groupBy(doc).count().where("count > 1").isEmpty()
 
 
 def by_group(rows: DataFrame, groups: DataFrame, by: list[str], total: int) -> DataFrame:
@@ -341,7 +342,7 @@ def repeats(plain: DataFrame, tables: Tables, batches: int = BATCHES) -> DataFra
     gone = whole.union(few).union(many)
     start = F.shiftright("place", _RUN)
     gone = gone.select("doc", "tag", start.alias("start"), (start + F.col("place").bitwiseAND((1 << _RUN) - 1) + LENGTH).alias("end"))
-    spans = gone.groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "end")).alias("spans"))  # bounded by the text's length
+    spans = gone.groupBy("doc", "tag").agg(F.collect_set(F.struct("start", "end")).alias("spans"))  # a set, as equal rows find the same spans: bounded by the text's length
     return tables.save(spans, "spans")
 
 
@@ -375,6 +376,8 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batc
                         s, top = s[order], np.maximum.accumulate(e[order])
                         new = np.flatnonzero(np.concatenate([[True], s[1:] > top[:-1]]))
                         s, e = s[new], top[np.append(new[1:], len(top)) - 1]
+                        if e[-1] > len(text):
+                            raise ValueError("a span reaches beyond its text")
                         edge = np.zeros(len(text) + 1, np.int8)
                         edge[s], edge[e] = 1, -1
                         text = text[np.cumsum(edge[:-1]) == 0]
