@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import segments as S
 from ..operators import summarize
-from .common import read
+from .common import read, sql_chunks, sql_summary
 
 
 def timed(spark, sf_dir):
@@ -102,7 +102,13 @@ _W = """(with recursive s as (select conv_id media_id, turn seq, turn * 60.0::do
         union all select s.media_id, s.seq, s.k, s.start, case when s.start - f.anchor > 120 then s.start else f.anchor end, case when s.start - f.anchor > 120 then f.grp + 1 else f.grp end, s.text from f join s on s.media_id = f.media_id and s.k = f.k + 1)
     select media_id, grp as group, min(start) start, max(start) + 60 as end, coalesce(string_agg(trim(text), chr(10) order by seq) filter (trim(text) <> ''), '') text from f group by 1, 2)"""
 _W = _W.replace("grp as group", 'grp as "group"').replace("60 as end", '60 as "end"')
+# groups of the windows, keyed as one column, and their chunks: long ones are cut
+_G = f"""(select row_number() over (order by media_id, "group") g, * from {_W})"""
+_C = f"""(select media_id, "group", 0 chunk, start, "end", text from {_W} where length(text) <= 900 union all
+    select media_id, "group", c.chunk, start, "end", c.text from {_G} w join {sql_chunks(f"(select g, text from {_G} where length(text) > 900)", "g", 900, 200)} c on w.g = c.g)"""
 SQL = {
+    "segments_chunk": f"""select media_id, "group", chunk, start, "end", length(text) n, md5(text) h from {_C}""",
+    "segments_summary": f"""select media_id, count(*)::int n_chunks, case when count({sql_summary(80)}) = count(*) then string_agg({sql_summary(80)}, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by "group", chunk) end summary from {_C} group by 1""",
     "track_bodies": "select conv_id, turn, k::int k, (turn * 10 + 2 * k)::double start, case k when 0 then 1.5 else 3.0 end::double duration, role as text from conversations, (select unnest([0, 1]) k)",
     "segments_to_text": "select media_id, length(text) n, md5(text) h from (select conv_id media_id, coalesce(string_agg(trim(text), chr(10) order by turn) filter (trim(text) <> ''), '') text from conversations group by 1)",
     "segments_windows": f"""select media_id, "group", start, "end", md5(text) h, lpad((start // 60)::int::varchar, 2, '0') || ':' || lpad((start % 60)::int::varchar, 2, '0') clock from {_W}""",

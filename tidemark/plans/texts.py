@@ -10,7 +10,7 @@ from ..functions import text as T
 from ..functions.automaton import lexicon_hits
 from ..operators import classify, filters, segments, series
 from .common import PROSE as L
-from .common import read, sql_any, sql_hits, sql_list, sql_occurrences
+from .common import read, sql_any, sql_chunks, sql_hits, sql_list, sql_occurrences, sql_summary
 
 _T = "split_part(text, chr(10), 1)"
 
@@ -297,5 +297,8 @@ SQL = {
     "audit_full_outer": "with a as (select distinct doc_id from documents), b as (select distinct doc_id + 3 doc_id from labels where quality = 1) select coalesce(a.doc_id, b.doc_id) doc_id, case when b.doc_id is null then 'missing' else 'orphan' end side from a full join b on a.doc_id = b.doc_id where a.doc_id is null or b.doc_id is null",
     "fanout_health_counters": f"select lang, count(*) seen, count_if(ad) ads, count_if(not ok) short, count_if(wall) walls, count_if(ok and not ad and not wall) kept from (select lang, {_AD} ad, length(trim(text)) >= 100 ok, {sql_any('lower(text)', L.wall_markers)} wall from {_D}) group by 1",
     "note_fill_rate": "select source, count_if(contains(text, 'Licensed')) with_license, sum(length(text) - length(replace(text, '|', '')))::bigint bars, (list(doc_id order by length(text) desc, doc_id desc))[1] longest from documents group by 1",
+    "text_chunks": f"select doc_id, chunk, length(text) n, md5(text) h from {sql_chunks('documents', 'doc_id', 1000, 50)}",
+    "two_stage_summary": f"""select doc_id media_id, count(*)::int n_chunks, case when count({sql_summary(60)}) = count(*) then string_agg({sql_summary(60)}, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by chunk) end summary
+        from {sql_chunks('documents', 'doc_id', 2000, 100)} group by 1""",
     "global_sequence": "select doc_id, lang, row_number() over (order by doc_id) - 1 as index, ((row_number() over (order by doc_id) - 1) // 15)::int batch from documents",
 }
