@@ -193,3 +193,42 @@ def test_scores_rank_held_out_rows(spark):
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     assert auc(toxicity.classify(docs, labels), labels, "toxic") > 0.65
     assert auc(quality.classify(docs, labels), labels, "quality") > 0.95
+
+
+def test_no_candidate_stands_in_two_parts():
+    texts = [f"password = abc{k % 7}defgh{k % 7} and some ordinary words around it, token=abc{k % 5}defgh{k % 5}x in copy {k}" for k in range(40)]
+    parts: dict = {}
+    for t, y, x in secrets.examples(texts):
+        assert x in t
+        parts.setdefault(secrets.part_of(x), set()).add(x)
+    assert len(parts) == 3 and not (parts["train"] & parts["calibrate"] or parts["train"] & parts["measure"] or parts["calibrate"] & parts["measure"])
+
+
+def test_secrets_are_measured_on_unseen_ones_and_prose_stays_clean(spark):
+    """Prose in capitals and long numbers give no findings of the network; unseen secrets do."""
+    sf = SF.replace("0.001", "0.1")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    net = secrets.fit(secrets.sample(docs))
+    assert net["recall"] > 0.9 and net["precision"] > 0.9
+    prose = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").where("length(text) < 3000").collect()]
+    plain = [re.sub("[0-9]{6,}|[0-9a-f]{24,}|AKIA[A-Z0-9]+|(?i:password|token|secret|passwd|api_?key)[^ ]*( *[:=] *[^ ]+)?", "", t) for t in prose]
+    texts = [t.upper() for t in plain] + [" ".join(f"{w} {4000000000000000 + 7919 * k * k}" for k, w in enumerate(t.split()[:30])) for t in plain]
+    table, asked = quality.tables(net["kernel"]), []
+    for t in texts:
+        asked += [secrets.window(t, a, b) for a, b in secrets.candidates(t, secrets.by_rules(t))]
+    p = secrets.sigmoid(net["slope"] * secrets.logits(net, asked, table) + net["shift"])
+    wrong = [a for a, x in zip(asked, p) if x >= net["threshold"]]
+    assert len(asked) > 5000 and len(wrong) < 0.005 * len(asked), (len(wrong), len(asked), wrong[:20], net["recall"], net["precision"])
+
+
+def test_many_findings_take_time_in_proportion():
+    import time
+
+    def took(n):
+        text = "password = abcdefgh1 and words between them " * n
+        began = time.process_time()
+        secrets.candidates(text, secrets.by_rules(text))
+        return time.process_time() - began
+
+    took(100)
+    assert took(8000) < 12 * max(took(2000), 0.02)

@@ -3,9 +3,9 @@
 Rules find assignments, access keys and long hexadecimal runs. Every other run of secret-like characters is a candidate; a
 small convolutional network (as in ``quality``) reads it with CONTEXT characters on both sides. It is trained on labelled findings: what the rules
 find in a bounded sample of documents is labelled 1, other candidates, failing matches and ordinary words are labelled 0. Findings are also
-shown without their keyword, so that the network learns the secrets and not only the rules. Its output is calibrated on
-examples kept apart, and the threshold is the largest that still finds RECALL of the labelled ones kept apart, whatever it is;
-the recall and precision it has there are kept with the network.
+shown without their keyword, so that the network learns the secrets and not only the rules. Examples are dealt by a hash of the
+candidate itself into three parts: one to learn from, one on which the output is calibrated and the threshold set (the largest that still
+finds RECALL of the labelled ones), and one on which recall and precision are measured; no candidate stands in two of them.
 Candidates above it are added to the rules' findings, which always stay. Positions count code points, ends are exclusive.
 
 Null texts count as empty and have no findings; ids are passed through, repeats included; whole texts are scanned.
@@ -15,7 +15,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +37,7 @@ RULES = {
 #: As short as the shortest secret that a rule takes.
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{6,}")
 CONTEXT, RECALL = 24, 0.98
-#: Bounds of the training sample: documents, characters a document, and examples of each label.
+#: Bounds of the training sample: documents, characters a document, and examples of each label (and half as many made-up ones).
 DOCS, MAX_CHARS, EXAMPLES = 1500, 20_000, 1500
 
 
@@ -43,9 +46,30 @@ def by_rules(text: str) -> list[tuple[int, int, str, int, int]]:
     return [(m.start(), m.end(), kind, m.start(g), m.end(g)) for kind, (rule, g, least) in RULES.items() for m in rule.finditer(text) if m.end(g) - m.start(g) >= least]
 
 
+class Spans:
+    """Sorted spans, with the greatest end up to each, so that a question costs one search."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        spans = sorted(spans)
+        self.starts, self.tops = [a for a, _ in spans], list(accumulate((b for _, b in spans), max))
+
+    def cover(self, a: int, b: int) -> bool:
+        """Whether one span holds all of a..b."""
+        k = bisect_right(self.starts, a)
+        return k > 0 and self.tops[k - 1] >= b
+
+    def touch(self, a: int, b: int) -> bool:
+        """Whether a span shares a place with a..b."""
+        k = bisect_left(self.starts, b)
+        return k > 0 and self.tops[k - 1] > a
+
+
 def candidates(text: str, found: list) -> list[tuple[int, int]]:
     """Runs of secret-like characters, of letters in one case too, that no rule's match covers as a whole."""
-    return [m.span() for m in CANDIDATE.finditer(text) if not any(f[0] <= m.start() and m.end() <= f[1] for f in found)]
+    if not found:
+        return [m.span() for m in CANDIDATE.finditer(text)]
+    ruled = Spans([f[:2] for f in found])
+    return [m.span() for m in CANDIDATE.finditer(text) if not ruled.cover(*m.span())]
 
 
 def window(text: str, a: int, b: int) -> str:
@@ -53,46 +77,63 @@ def window(text: str, a: int, b: int) -> str:
     return text[max(0, a - CONTEXT) : a] + "\x02" + text[a:b] + "\x03" + text[b : b + CONTEXT]
 
 
-def examples(texts: list[str]) -> list[tuple[str, int]]:
-    good, bad = [], []
+def examples(texts: list[str]) -> list[tuple[str, int, str]]:
+    """(window, label, candidate) of labelled findings, of other candidates as they occur, and of made-up runs that are no secrets."""
+    good, bad, made = [], [], []
     for text in texts:
         found = by_rules(text)
+        ruled = Spans([f[:2] for f in found])
         for k, (_, _, _, a, b) in enumerate(found):
-            good.append(window(text, a, b))
+            good.append((window(text, a, b), text[a:b]))
             # the same secret where ordinary words stand around it
             at = (7919 * (k + 1)) % max(1, len(text))
-            good.append(text[max(0, at - CONTEXT) : at] + " \x02" + text[a:b] + "\x03 " + text[at : at + CONTEXT])
-        bad += [window(text, a, b) for a, b in candidates(text, found) if not any(f[0] < b and a < f[1] for f in found)]
+            good.append((text[max(0, at - CONTEXT) : at] + " \x02" + text[a:b] + "\x03 " + text[at : at + CONTEXT], text[a:b]))
         failing = [m.span(g) for rule, g, least in RULES.values() for m in rule.finditer(text) if m.end(g) - m.start(g) < least]
         words = [m.span() for m in re.finditer(r"\S{7,}", text)][:: max(1, len(text) // 400)]
-        bad += [window(text, a, b) for a, b in [*failing, *words[:12]] if not any(f[0] < b and a < f[1] for f in found)]
-        # long runs of ordinary letters and of digits alone are no secrets
-        letters = re.sub(r"[^A-Za-z]", "", text[:400])
+        bad += [(window(text, a, b), text[a:b]) for a, b in [*candidates(text, found), *failing, *words[:12]] if not ruled.touch(a, b)]
+        # long runs of ordinary letters, in capitals too, and of figures alone are no secrets
+        letters, figures = re.sub(r"[^A-Za-z]", "", text[:400]), str(int(hashlib.md5(text.encode()).hexdigest(), 16))
         if len(letters) >= 80:
-            bad += [f"{text[:CONTEXT]}\x02{letters[:24]}\x03{text[24 : 24 + CONTEXT]}", f"{text[:CONTEXT]}\x02{letters[24:64]}\x03{text[24 : 24 + CONTEXT]}"]
-    pick = lambda rows: sorted(rows, key=lambda t: hashlib.md5(t.encode()).digest())[:EXAMPLES]
-    return [(t, 1) for t in pick(good)] + [(t, 0) for t in pick(bad)]
+            size = 6 + int(figures[-2:]) % 18
+            runs = (letters[:24], letters[24:64], letters[: size - 2].upper(), letters[40 : 40 + size], figures[:size], figures[:16])
+            made += [(f"{text[:CONTEXT]}\x02{x}\x03{text[24 : 24 + CONTEXT]}", x) for x in runs]
+            made.append((f"{text[: size // 2]} {figures[3:19]} {text[6:9]} \x02{figures[-16:]}\x03 {text[9:14]} {figures[5:21]}"[-2 * CONTEXT - 18 :], figures[-16:]))
+            made.append((f"{text[:CONTEXT].upper()}\x02{runs[2]}\x03{text[24 : 24 + CONTEXT].upper()}", runs[2]))
+    pick = lambda rows, n: sorted(rows, key=lambda t: hashlib.md5(t[0].encode()).digest())[:n]
+    return [(t, 1, x) for t, x in pick(good, EXAMPLES)] + [(t, 0, x) for t, x in pick(bad, EXAMPLES) + pick(made, EXAMPLES // 2)]
+
+
+def part_of(candidate: str) -> str:
+    """Which part of the examples a candidate belongs to, wherever and however often it occurs."""
+    return ("measure", "calibrate", "train", "train")[zlib.crc32(candidate.encode()) % 4]
 
 
 def fit(texts: list[str]) -> dict | None:
-    """Network, calibration (slope, shift) and threshold; None if the sample holds no findings or nothing else."""
+    """Network, calibration (slope, shift), threshold, and the recall and precision on candidates that neither has seen (None where
+    there are none); None if the sample holds no findings or nothing else."""
     import numpy as np
 
     from . import quality
 
-    rows = examples(texts)
-    held, train = rows[::4], [r for i, r in enumerate(rows) if i % 4]
-    if len({y for _, y in train}) < 2 or len({y for _, y in held}) < 2:
+    parts: dict[str, list] = {"train": [], "calibrate": [], "measure": []}
+    for t, y, x in examples(texts):
+        parts[part_of(x)].append((t, y))
+    if any(len({y for _, y in parts[k]}) < 2 for k in ("train", "calibrate")):
         return None
-    net = quality.fit(train)
-    z, y = logits(net, [t for t, _ in held], quality.tables(net["kernel"])), np.array([y for _, y in held], float)
+    net = quality.fit(parts["train"])
+    table = quality.tables(net["kernel"])
+    z, y = logits(net, [t for t, _ in parts["calibrate"]], table), np.array([y for _, y in parts["calibrate"]], float)
     a, b = 1.0, 0.0
     for _ in range(500):  # logistic regression of the label on the network's output
         err = sigmoid(a * z + b) - y
         a, b = a - 0.05 * float((err * z).mean()), b - 0.05 * float(err.mean())
-    p = sigmoid(a * z + b)
-    cut = threshold(p[y == 1])
-    return net | {"slope": a, "shift": b, "threshold": cut, "recall": float((p[y == 1] >= cut).mean()), "precision": float(y[p >= cut].mean())}
+    cut = threshold(sigmoid(a * z + b)[y == 1])
+    said, recall, precision = parts["measure"], None, None
+    if said:
+        p, y = sigmoid(a * logits(net, [t for t, _ in said], table) + b), np.array([y for _, y in said])
+        recall = float((p[y == 1] >= cut).mean()) if (y == 1).any() else None
+        precision = float(y[p >= cut].mean()) if (p >= cut).any() else None
+    return net | {"slope": a, "shift": b, "threshold": cut, "recall": recall, "precision": precision}
 
 
 def threshold(scores) -> float:
