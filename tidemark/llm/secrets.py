@@ -41,9 +41,14 @@ CONTEXT, RECALL = 24, 0.98
 DOCS, MAX_CHARS, EXAMPLES = 1500, 20_000, 1500
 
 
+#: What every match of a rule holds; texts without it are not searched for the rule.
+SIGNS = {"assign": (":", "="), "access": ("AKIA",), "hex": ("",)}
+
+
 def by_rules(text: str) -> list[tuple[int, int, str, int, int]]:
     """(start, end, kind, start and end of the secret itself) of every rule's matches, leftmost and non-overlapping per kind."""
-    return [(m.start(), m.end(), kind, m.start(g), m.end(g)) for kind, (rule, g, least) in RULES.items() for m in rule.finditer(text) if m.end(g) - m.start(g) >= least]
+    rules = [(kind, *RULES[kind]) for kind, signs in SIGNS.items() if any(s in text for s in signs)]
+    return [(m.start(), m.end(), kind, m.start(g), m.end(g)) for kind, rule, g, least in rules for m in rule.finditer(text) if m.end(g) - m.start(g) >= least]
 
 
 class Spans:
