@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config
+from .providers import Policy, called
 
 #: A provider makes a summary (or null) of each text of a batch. Providers that call services go behind this interface.
 Provider = Callable[[Column], Column]
@@ -19,24 +19,11 @@ def extractive(most: int = 200) -> Provider:
     return lambda text: F.nullif(F.trim(F.substring(F.regexp_extract(F.trim(text), r"(?s)^[^.!?]*[.!?]?", 0), 1, most)), F.lit(""))
 
 
-def hosted(function: Callable[[str], str | None], tries: int = 3) -> Provider:
-    """[UDF-3, UDF-5, FLT-21] A Python function for each text, tried again on errors whose message tells that they pass."""
-    words = config.DEFAULT.retryable
-
-    def call(text: str) -> str | None:
-        for k in range(tries):
-            try:
-                return function(text)
-            except Exception as e:
-                if k + 1 == tries or not any(w in str(e).lower() for w in words):
-                    return None
-        return None
-
-    @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: call(t) if t and t.strip() else None)
-
-    return run
+def hosted(function: Callable[[str], str | None], tries: int = 3, policy: Policy | None = None) -> Provider:
+    """[UDF-3, UDF-5, FLT-21] A Python function for each text, tried again with back-off on errors whose message tells that they pass; what
+    fails for good is null. ``providers.called`` gives the errors too, and one client a task."""
+    ask = called(lambda: function, policy or Policy(tries=tries))
+    return lambda text: ask(text)["value"]
 
 
 def two_stage(chunks: DataFrame, provider: Provider, key: str = "media_id", order: tuple[str, ...] = ("group", "chunk"), merge: Provider | None = None) -> DataFrame:

@@ -118,19 +118,26 @@ class VersionedTable:
         there = self.fs.listStatus(self._path(f"{self.path}/data/{folder}"))
         return folder, sorted(int(s.getPath().getName()[7:]) for s in there if s.getPath().getName().startswith("bucket="))
 
-    def upsert(self, new: DataFrame, order: str | None = None, gone=None) -> int:
+    def upsert(self, new: DataFrame, order: str | None = None, gone=None, after: int | None = None) -> int | None:
         """Rows that replace those of the same key; the version they make. Of several rows of a key the last by ``order`` stays, or the
-        greatest by its columns. ``gone`` is a condition: keys of rows that meet it are removed. Keys compare null-safely."""
+        greatest by its columns. ``gone`` is a condition: keys of rows that meet it are removed. Keys compare null-safely. With
+        ``after`` the version must be the next one to it; None if another writer was faster (nothing is changed then)."""
         names = self.schema.names
         by = F.struct(*([F.col(order).alias("_order")] if order else []), *[F.col(f"`{c}`") for c in names], F.coalesce(F.lit(False) if gone is None else gone, F.lit(False)).alias(GONE))
         last = new.groupBy(*[F.col(f"`{k}`") for k in self.key]).agg(F.max(by).alias("_row"))
         rows = last.select(*[F.col(f"_row.`{c}`").cast(self.schema[c].dataType).alias(c) for c in names], F.col(f"_row.{GONE}").alias(GONE)).withColumn("bucket", self._bucket())
-        return self.commit(*self._stage(rows))
+        folder, buckets = self._stage(rows)
+        if after is None:
+            return self.commit(folder, buckets)
+        return after + 1 if self._claim(after + 1, self._delta(after + 1, folder, buckets)) else None
+
+    def _delta(self, version: int, folder: str, buckets: list[int]) -> list[dict]:
+        return [{"version": version, "bucket": b, "folder": folder, "base": False, "upto": version} for b in buckets]
 
     def commit(self, folder: str, buckets: list[int]) -> int:
         """Claim the next free version for a staged delta."""
         version = self.version() + 1
-        while not self._claim(version, [{"version": version, "bucket": b, "folder": folder, "base": False, "upto": version} for b in buckets]):
+        while not self._claim(version, self._delta(version, folder, buckets)):
             version += 1
         return version
 
