@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import feeds, pages, segments, series, texts
+from . import feeds, flows, pages, segments, series, texts
 
-QUERIES = texts.QUERIES | pages.QUERIES | feeds.QUERIES | series.QUERIES | segments.QUERIES
-ORACLE_SQL = texts.SQL | pages.SQL | feeds.SQL | series.SQL | segments.SQL
+QUERIES = texts.QUERIES | pages.QUERIES | feeds.QUERIES | series.QUERIES | segments.QUERIES | flows.QUERIES
+ORACLE_SQL = texts.SQL | pages.SQL | feeds.SQL | series.SQL | segments.SQL | flows.SQL
