@@ -148,6 +148,15 @@ def grams(texts: Sequence[str], q: int = Q) -> tuple[np.ndarray, np.ndarray, np.
     return text, place, gram, lengths
 
 
+def gathered(text: np.ndarray, code: np.ndarray, place: np.ndarray, codes: int) -> tuple[np.ndarray, ...]:
+    """(text, code, count, first place, last place) of the different q-grams of each text."""
+    order = np.lexsort((place, text * codes + code))
+    key, place = (text * codes + code)[order], place[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    ends = np.append(first[1:], len(key))
+    return key[first] // codes, key[first] % codes, ends - first, place[first], place[ends - 1] if len(key) else place
+
+
 class Index:
     """Items by the rarest of their q-grams."""
 
@@ -166,11 +175,13 @@ class Index:
         self.need = need.astype(np.int64)
         self.asked = np.clip(self.need, 1, MORE)
         head = order[rank < np.repeat(many - self.need + self.asked, many)]
+        self.item, code_, self.count, self.low, self.high = gathered(text[head], code[head], place[head], len(self.known))
         # the entries of a q-gram stand by the length of their items, so that those of fitting lengths are one range
         self.wide = int(self.lengths.max(initial=0)) + 2
-        key = code[head] * self.wide + self.lengths[text[head]]
+        key = code_ * self.wide + self.lengths[self.item]
         order = np.argsort(key, kind="stable")
-        self.key, self.item, self.place = key[order], text[head][order], place[head][order]
+        self.key = key[order]
+        self.item, self.count, self.low, self.high = (x[order] for x in (self.item, self.count, self.low, self.high))
         self.own = np.cumsum(many) - many, many, code  # all q-grams of each item, for counting
 
     def number(self, gram: np.ndarray) -> np.ndarray:
@@ -185,14 +196,14 @@ class Index:
         text, place, gram, lengths = grams(texts)
         code = self.number(gram)
         on = code >= 0
-        text, place, code = text[on], place[on], code[on]
+        text, code, count, low, high = gathered(text[on], code[on], place[on], max(1, len(self.known)))
         n = lengths[text]
         shortest = np.ceil(n * self.t / (2 - self.t) - 1e-9).astype(np.int64)
         longest = np.floor(n * (2 - self.t) / self.t + 1e-9).astype(np.int64)
         begin = np.searchsorted(self.key, code * self.wide + np.minimum(shortest, self.wide - 1))
         many = np.searchsorted(self.key, code * self.wide + np.minimum(longest, self.wide - 2), "right") - begin
         many = np.maximum(many, 0)
-        found = []
+        found, hits = [], []
         # as many q-grams at a time as have PAIRS entries in the index
         cuts = np.searchsorted(np.cumsum(many), np.arange(0, many.sum() + PAIRS, PAIRS), "left")
         for lo, hi in zip(cuts[:-1].tolist(), [*cuts[1:-1].tolist(), len(code)]):
@@ -201,11 +212,14 @@ class Index:
             m = many[lo:hi]
             row = np.repeat(np.arange(lo, hi), m)
             entry = np.arange(m.sum()) + np.repeat(begin[lo:hi] - (np.cumsum(m) - m), m)
-            item = self.item[entry]
-            x, y = n[row], self.lengths[item]
-            ok = np.abs(place[row] - self.place[entry]) <= np.maximum(x, y) - least_matched(x + y, self.t)
-            found.append(text[row[ok]] * len(self.items) + item[ok])
-        pair, hits = np.unique(np.concatenate(found) if found else np.zeros(0, np.int64), return_counts=True)
+            x, y = n[row], self.lengths[self.item[entry]]
+            off = np.maximum(x, y) - least_matched(x + y, self.t)
+            ok = (low[row] - self.high[entry] <= off) & (self.low[entry] - high[row] <= off)
+            row, entry = row[ok], entry[ok]
+            found.append(text[row] * len(self.items) + self.item[entry])
+            hits.append(np.minimum(count[row], self.count[entry]))
+        pair, at = np.unique(np.concatenate(found) if found else np.zeros(0, np.int64), return_inverse=True)
+        hits = np.bincount(at, np.concatenate(hits) if hits else None, len(pair))
         left, item = pair // max(1, len(self.items)), pair % max(1, len(self.items))
         # texts longer than the shortest must share more q-grams, and all but need - asked of an item's are among its rarest here
         enough = hits >= shared(self.lengths[item], lengths[left], self.t) - self.need[item] + self.asked[item]
