@@ -213,7 +213,7 @@ def graph(rows: DataFrame, threshold: float, tables: Tables, report: dict | None
 
     Rounds of refinement, with further projections wherever the audited recall is short, go on until the recall is RECALL or
     more and links have stopped growing. If ROUNDS rounds don't reach the recall, that is an error. ``report`` gets the
-    audited recall.
+    audited recall, or None if none of the sampled vectors has a link.
     """
     n = rows.count()
     lists, count = None, projections(n, threshold)
@@ -240,7 +240,8 @@ def graph(rows: DataFrame, threshold: float, tables: Tables, report: dict | None
         if recall >= RECALL and growth <= GROWTH:
             break
     if report is not None:
-        report.update(recall=recall, audited=true.count(), rounds=number, projections=count)
+        audited = true.count()
+        report.update(recall=recall if audited else None, audited=audited, rounds=number, projections=count)
     if recall < RECALL:
         raise RuntimeError(f"audited recall of links is {recall:.4f} after {number} rounds and {count} projections, under {RECALL}")
     return lists
@@ -253,7 +254,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
     component and are not kept. Links are the pairs found by NN-descent with a cosine of ``threshold`` or more, in double
     precision; equal vectors are one vector with a count there, and link with each other. Vectors of different lengths link with
     nothing of another length. Rows that share an id and the vector are one; rows that share an id and differ are different vectors,
-    each with links of its own. Ties don't matter. ``report`` gets the least audited recall of all lengths.
+    each with links of its own. Ties don't matter. ``report`` gets the least audited recall of all lengths, or None if none was measured.
     """
     spark = vectors.sparkSession
     tables = Tables(spark, "vectors")
@@ -272,7 +273,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
         reports.append({})
         lists = lists.union(graph(groups.where(F.size("v") == r.n).select("id", "v"), threshold, Tables(spark, "vectors"), reports[-1]))
     if report is not None and reports:
-        report.update(min(reports, key=lambda x: x["recall"]))
+        report.update(min([x for x in reports if x["recall"] is not None] or reports, key=lambda x: x["recall"] or 0))
     near = lists.where("size(links) > 0").select("id", "links")
     edges = near.select("id", F.explode("links").alias("b")).where("id > b").select(F.col("id").alias("a"), "b")
     comp = connected_components(edges, tables, "links")
