@@ -174,3 +174,83 @@ def test_ids_are_forgotten_after_their_time(spark, tmp_path):
     landed.land([(1, 1, "view", "x", START)])
     landed.run(make, False)
     assert spark.read.parquet(f"{tmp_path}/out").count() == 2
+
+
+class Store:
+    """A state store that counts the messages to it."""
+
+    def __init__(self):
+        self.held, self.timers, self.calls = {}, set(), 0
+
+    def _count(self, value=None):
+        self.calls += 1
+        return value
+
+    def registerTimer(self, at):
+        self._count(self.timers.add(at))
+
+    def getValueState(self, name, schema, ttl=None):
+        return _State(self, name)
+
+    getListState = getMapState = getValueState
+
+
+class _State:
+    def __init__(self, store, name):
+        self.store, self.name = store, name
+
+    def get(self):
+        return self.store._count(iter(self.store.held.get(self.name, ())) if self.name == "seen" else self.store.held.get(self.name))
+
+    def exists(self):
+        return self.store._count(self.name in self.store.held)
+
+    def update(self, value):
+        self.store._count(self.store.held.update({self.name: value}))
+
+    put = update
+
+    def clear(self):
+        self.store._count(self.store.held.pop(self.name, None))
+
+    def iterator(self):
+        return self.store._count(iter(self.store.held.get(self.name, {}).items()))
+
+    def containsKey(self, key):
+        return self.store._count(key in self.store.held.get(self.name, {}))
+
+    def updateValue(self, key, value):
+        self.store._count(self.store.held.setdefault(self.name, {}).update({key: value}))
+
+    def removeKey(self, key):
+        self.store._count(self.store.held[self.name].pop(key))
+
+
+class _Times:
+    def __init__(self, watermark, expiry=None):
+        self.getCurrentWatermarkInMs, self.getExpiryTimeInMs = (lambda: watermark), (lambda: expiry)
+
+
+@pytest.mark.parametrize("items", [10, 1000])
+def test_messages_to_the_store_do_not_grow_with_items_or_polls(items):
+    store, day = Store(), feeds.DAY_MS
+    d = feeds.Discovery(2, 2, 1, 1000)
+    d.init(store)
+    rows = [{"id": k, "published": 19_723 * day + k * 20 * day // items, "route": "view", "title": None} for k in range(items)]
+    list(d.handleInputRows((1,), iter(rows), _Times(0)))
+    watermark, out = rows[-1]["published"] - 2 * day, []
+    while store.timers and min(store.timers) <= watermark:
+        at = min(store.timers)
+        store.timers.discard(at)
+        out += d.handleExpiredTimer((1,), _Times(watermark, at), _Times(watermark, at))
+    assert len(out) == sum(min(2, sum(r["published"] // day == k for r in rows)) for k in range(19_723, rows[-1]["published"] // day)) and store.calls <= 12
+
+
+def test_a_poll_at_the_time_of_the_newest_item(spark, tmp_path):
+    """Several polls are over at once, the last of them at the very time of the newest item."""
+    landed = Landed(spark, str(tmp_path))
+    make = lambda stream: feeds.discover(feeds.timed(stream, None), 2, 2)
+    rows = [(1, 10 * d + k, "view", "x", START + d * DAY + k * dt.timedelta(hours=5)) for d in range(4) for k in range(3)] + [(2, 99, "view", "x", START + 4 * DAY)]
+    landed.land(rows)
+    landed.run(make)
+    assert {(i, poll) for _, i, poll, _ in landed.out()} == {(10 * d + k, START + (d + 1) * DAY) for d in range(4) for k in (1, 2)}

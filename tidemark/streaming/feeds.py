@@ -44,8 +44,10 @@ class Discovery(StatefulProcessor):
     """Discovery of one source: polls at multiples of ``every`` in event time.
 
     State: ``waiting`` holds the items that each poll to come will look at (its newest ``keep``), ``seen`` the last ``keep`` ids that polls have
-    marked. Polls to come lie between the watermark and the newest item, so the state is bounded by the sources. A timer stands for each
-    of them; it fires when the watermark, ``days`` behind the newest item, tells that the time of the poll is over.
+    marked. Polls to come lie between the watermark and the newest item, so the state is bounded by the sources. A timer stands for the
+    next of them; it fires when the watermark, ``days`` behind the newest item, tells that the time of the poll is over, and holds
+    all polls that are over by then. Every call to the store is a message from Python to the executor and back, so ``waiting`` is one
+    value of arrays: a source costs a few messages a batch, however many items and polls it has.
     """
 
     def __init__(self, days: float, n: int, every: float, keep: int):
@@ -53,44 +55,59 @@ class Discovery(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "id long", "poll long, published long, route string, title string")
+        self.waiting = handle.getValueState("waiting", "polls array<long>, published array<long>, ids array<long>, routes array<string>, titles array<string>")
         self.seen = handle.getListState("seen", "id long, published long")
 
     def handleInitialState(self, key: tuple, initialState: Row, timerValues: TimerValues) -> None:
         self.seen.appendValue((initialState["id"], initialState["published"]))
 
+    def _load(self) -> list[tuple]:
+        """(poll, published, id, route, title) of the waiting items."""
+        held = self.waiting.get()
+        return list(zip(*held)) if held else []
+
+    def _store(self, waiting: list[tuple]) -> None:
+        """The waiting items and a timer for the next poll."""
+        if waiting:
+            self.waiting.update(tuple(list(c) for c in zip(*waiting)))
+            self.handle.registerTimer(min(x[0] for x in waiting) - self.reach)
+        else:
+            self.waiting.clear()
+
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
-        known = {i for i, _ in self.seen.get()} if self.seen.exists() else set()
+        known = {i for i, _ in self.seen.get()}
         over = timerValues.getCurrentWatermarkInMs() + self.reach  # polls up to here have been held
-        waiting = {k[0]: tuple(v) for k, v in self.waiting.iterator()} if self.waiting.exists() else {}
-        new = {}
-        for r in rows:
-            at, old = int(r["published"]), waiting.get(r["id"])
+        waiting, new = {x[2]: x for x in self._load()}, set()
+        for at, i, route, title in ((int(r["published"]), r["id"], r["route"], r["title"]) for r in rows):
+            old = waiting.get(i)
             # of several rows of an id the first published counts
-            if r["id"] not in known and (old is None or at < old[1]):
+            if i not in known and (old is None or at < old[1]):
                 poll = (max(at, over) // self.every + 1) * self.every
-                waiting[r["id"]] = new[r["id"]] = (poll, at, r["route"], r["title"])
-        for poll in {v[0] for v in new.values()}:
-            own = sorted((i for i, v in waiting.items() if v[0] == poll), key=lambda i: (waiting[i][1], i))
-            for i in own[: -self.keep]:
-                if new.pop(i, None) is None or self.waiting.containsKey((i,)):
-                    self.waiting.removeKey((i,))
-            self.handle.registerTimer(poll - self.reach)
-        for i, value in new.items():
-            self.waiting.updateValue((i,), value)
+                waiting[i] = (poll, at, i, route, title)
+                new.add(poll)
+        if new:
+            polls: dict[int, list[tuple]] = {}
+            for x in sorted(waiting.values(), key=lambda x: x[:3]):
+                polls.setdefault(x[0], []).append(x)
+            self._store([x for poll, own in polls.items() for x in (own[-self.keep :] if poll in new else own)])
         return iter(())
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
-        poll = expiredTimerInfo.getExpiryTimeInMs() + self.reach
-        due = sorted(((v[1], k[0], v[2], v[3]) for k, v in self.waiting.iterator() if v[0] <= poll), key=lambda x: x[:2]) if self.waiting.exists() else []
-        for _, i, _, _ in due:
-            self.waiting.removeKey((i,))
-        inside = [x for x in due if x[0] >= poll - self.reach]  # what is older by now is neither emitted nor marked
-        if inside:
-            before = list(self.seen.get()) if self.seen.exists() else []
-            self.seen.put([tuple(x) for x in (before + [(i, at) for at, i, _, _ in inside])[-self.keep :]])
-        for rank, (at, i, route, title) in enumerate(reversed(inside[-self.n :] if self.n else []), 1):
-            yield Row(source_key=key[0], id=i, route=route, title=title, published=at, poll=poll, rank=rank)
+        over = timerValues.getCurrentWatermarkInMs() + self.reach
+        polls: dict[int, list[tuple]] = {}
+        later = []
+        for x in sorted(self._load(), key=lambda x: x[:3]):
+            if x[0] > over:
+                later.append(x)
+            elif x[1] >= x[0] - self.reach:  # what is older by now is neither emitted nor marked
+                polls.setdefault(x[0], []).append(x)
+        self._store(later)
+        if polls:
+            marked = [(i, at) for own in polls.values() for _, at, i, _, _ in own]
+            self.seen.put([*map(tuple, self.seen.get()), *marked][-self.keep :])
+        for poll, own in polls.items():
+            for rank, (_, at, i, route, title) in enumerate(reversed(own[-self.n :] if self.n else []), 1):
+                yield Row(source_key=key[0], id=i, route=route, title=title, published=at, poll=poll, rank=rank)
 
     def close(self) -> None:
         pass
