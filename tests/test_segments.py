@@ -90,3 +90,17 @@ def test_similar_titles_of_a_table(spark):
     for r in got:
         a, b = titles[r.doc_id], titles[r.other_id]
         assert r.ratio == round(SequenceMatcher(None, a, b).ratio() if a and b else 0.0, 9)
+
+
+def test_chunks_are_cut_once_and_in_parts_of_bounded_size(spark):
+    import pyarrow as pa
+
+    from tidemark.functions.automaton import parts
+
+    texts = pa.array(["ab" * 40, None, "é" * 30, "", "x" * 500, "y"])
+    got = [p.to_pylist() for p in parts(texts.slice(1), 90)]
+    assert [t for p in got for t in p] == texts.to_pylist()[1:] and [len(p) for p in got] == [3, 1, 1]
+    rows = [(0, "a word " * 400), (1, None), (2, "  "), (3, "short"), (4, "other words " * 300)]
+    df = S.chunk_text(spark.createDataFrame(rows, "k int, text string"), most=1000, overlap=50)
+    assert df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert [(r.k, r.chunk, r.text) for r in df.orderBy("k", "chunk").collect()] == [(k, i, c) for k, t in rows for i, c in enumerate(S.chunk_one(t or "", 1000, 50))]

@@ -160,6 +160,18 @@ def slices(texts, most: int = SLICE):
         lo = hi
 
 
+def parts(texts, most: int = SLICE):
+    """Parts of an Arrow array of strings, each of up to ``most`` bytes or one text."""
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, "right")))
+        yield texts.slice(lo, hi - lo)
+        lo = hi
+
+
 def code_points(data: np.ndarray) -> np.ndarray:
     """How many code points begin before each byte."""
     return np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
