@@ -82,3 +82,23 @@ def test_advertising_by_real_words(spark):
     text = "good\n\nsponsored by us\n\n" + "long " * 40 + "sponsored by us\n\nsign up now, limited offer " + "y " * 90 + "\n\n"
     got = spark.createDataFrame([(text,), (None,), ("",)], "t string").select(filters.purify("t").alias("p")).collect()
     assert [r.p for r in got] == ["good\n\n" + "long " * 40 + "sponsored by us", None, ""]
+
+
+def test_memory_of_a_search_does_not_follow_the_batch():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from tidemark.functions import automaton as A
+
+    a, most = A.automaton(("the", "ing of")), []
+    for n in (2000, 8000):
+        texts = pa.array(["nothing of the kind is the thing of the day " * 50] * n)
+        tracemalloc.start()
+        found = 0
+        for _, offsets, data in A.slices(texts):
+            found += len(a.search(offsets, data)[0]) + int(A.code_points(data)[-1] > 0)
+        most.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert found > 5 * 50 * n
+    assert most[1] < 1.2 * most[0] and most[1] < 40 << 20

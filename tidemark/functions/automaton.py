@@ -130,8 +130,8 @@ def automaton(terms: tuple[str, ...]) -> Automaton:
 
 #: A table of more bytes than this is sent to each executor once, as a broadcast; smaller ones travel with the tasks.
 TRAVELS = 1 << 20
-#: Bytes of text that are searched at once.
-SLICE = 4 << 20
+#: Bytes of text that are searched at once; the arrays of a search are many times as large, and every task has its own.
+SLICE = 1 << 20
 
 
 def shared(terms: tuple[str, ...]):
@@ -174,7 +174,9 @@ def parts(texts, most: int = SLICE):
 
 def code_points(data: np.ndarray) -> np.ndarray:
     """How many code points begin before each byte."""
-    return np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    out = np.zeros(len(data) + 1, np.int32)
+    np.cumsum((data & 0xC0) != 0x80, out=out[1:])
+    return out
 
 
 def lexicon_hits(c, groups: Mapping[str, Sequence[str]], each: bool = False):
