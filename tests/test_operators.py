@@ -231,3 +231,14 @@ def test_chunks_cover_the_text_and_prefer_lines():
 def test_paid_items_are_skipped_and_counted(spark):
     kept, skipped = feeds.without_paid(spark.createDataFrame([("s", 1, True), ("s", 2, None), ("t", 3, False)], "source_key string, id int, paid boolean"))
     assert sorted(r.id for r in kept.collect()) == [2, 3] and {(r.source_key, r.skipped) for r in skipped.collect()} == {("s", 1), ("t", 0)}
+
+
+def test_drained_series_are_one_grouping_by_page(spark):
+    """Evidence may repeat a page, pages without evidence and unknown pages count for nothing, and no join holds both sides."""
+    from tidemark.operators import series
+
+    have = spark.createDataFrame([(1, 1, 0), (1, 1, 2), (1, 2, 1), (2, 1, 4), (3, 1, None), (3, None, 3)], "series long, page int, ord int")
+    proof = spark.createDataFrame([(1, 1, True, None), (1, 1, None, True), (1, 2, True, False), (1, 3, True, True), (3, 1, False, True), (3, None, True, True), (9, 1, True, True)], "series long, page int, ok boolean, found boolean")
+    got = series.drain(have, proof)
+    assert {r.series: (r.pages, r.landed, r.verified, r.clean_up) for r in got.collect()} == {1: (2, 2, 1, False), 2: (1, 1, 1, True), 3: (2, 1, 0, False)}
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()

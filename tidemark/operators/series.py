@@ -112,10 +112,19 @@ def summaries_of(queue: DataFrame, files: DataFrame, mark: str = "_raw_") -> Dat
 
 def drain(manifest: DataFrame, saved: DataFrame, least: str = "verified") -> DataFrame:
     """[STM-14] Series with a state after a batch of saved pages: pages saved become landed, landed ones that are also found at the
-    target become verified, and the raw files of a series may be cleaned up only when all its pages are verified."""
-    proof = saved.groupBy("series", "page").agg(F.bool_or("ok").alias("ok"), F.bool_or("found").alias("found"))
-    ord_ = F.when(F.col("ok") & F.col("found"), STATES.index("verified")).when(F.col("ok"), STATES.index("landed")).otherwise(0)
-    pages = manifest.select("series", "page", "ord").join(proof, ["series", "page"], "left").withColumn("ord", F.greatest("ord", F.coalesce(ord_, F.lit(0))))
+    target become verified, and the raw files of a series may be cleaned up only when all its pages are verified.
+
+    ``manifest`` (series, page, ord) may hold a page several times; its highest state counts. Both tables go into one grouping by page, so no
+    task holds sorted sides of a join. Pages hardly repeat, so rows are dealt before they are grouped, into as many parts as the session
+    shuffles into: a hash table of what one task reads, or of parts that were joined for their small bytes, would be far larger."""
+    none = F.lit(None).cast("boolean")
+    rows = manifest.select("series", "page", F.coalesce("ord", F.lit(0)).alias("ord"), none.alias("ok"), none.alias("found"))
+    proof = saved.where("series is not null and page is not null")  # an unknown page proves nothing
+    rows = rows.unionByName(proof.select("series", "page", F.lit(None).cast("int").alias("ord"), "ok", "found"))
+    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "series", "page")
+    pages = rows.groupBy("series", "page").agg(F.max("ord").alias("old"), F.bool_or("ok").alias("ok"), F.bool_or("found").alias("found")).where("old is not null")
+    new = F.when(F.col("ok") & F.col("found"), STATES.index("verified")).when(F.col("ok"), STATES.index("landed")).otherwise(0)
+    pages = pages.select("series", F.greatest("old", new).alias("ord"))
     return pages.groupBy("series").agg(F.count("*").alias("pages"), F.count_if(F.col("ord") >= STATES.index("landed")).alias("landed"), F.count_if(F.col("ord") >= STATES.index(least)).alias("verified"), F.bool_and(F.col("ord") >= STATES.index(least)).alias("clean_up"))
 
 

@@ -113,7 +113,8 @@ def series_drained(spark, sf_dir):
     """Every line of an open order was saved; those of even suppliers are found at the target."""
     lines = read(spark, sf_dir, "lineitem")
     saved = lines.where("l_linestatus = 'O'").select(F.col("l_orderkey").alias("series"), F.col("l_linenumber").cast("int").alias("page"), F.lit(True).alias("ok"), (F.col("l_suppkey") % 2 == 0).alias("found"))
-    return series.drain(series.fold(evidence(spark, sf_dir)), saved)
+    proved = evidence(spark, sf_dir).select("series", "page", series.state_number(F.col("state")).alias("ord"))
+    return series.drain(proved, saved)
 
 
 QUERIES = {f.__name__: f for f in (tree_deep, child_lookup, summary_files, series_drained, series_monotone_state, series_state_histogram, series_gap_pages, series_pending, series_totals, series_overview, series_fill, episode_names, queue_merge_series, playlist_expand, tree_flatten, folders_missing, store_audit)}
