@@ -104,3 +104,22 @@ def test_chunks_are_cut_once_and_in_parts_of_bounded_size(spark):
     df = S.chunk_text(spark.createDataFrame(rows, "k int, text string"), most=1000, overlap=50)
     assert df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
     assert [(r.k, r.chunk, r.text) for r in df.orderBy("k", "chunk").collect()] == [(k, i, c) for k, t in rows for i, c in enumerate(S.chunk_one(t or "", 1000, 50))]
+
+
+def test_settled_pairs_are_not_compared(monkeypatch):
+    alphabet = "abcdef ghi"
+    for n in (1, 3, 150, 250, 900):
+        for seed in range(20):
+            t = "".join(alphabet[(k * k * (seed + 3) + k // 7 + seed) % (seed % 9 + 1)] for k in range(n))
+            assert SequenceMatcher(None, t, t).ratio() == 1.0 == S.ratio(t, t)
+    monkeypatch.setattr(S, "SequenceMatcher", None)
+    assert S.ratio("x" * 5000, "x" * 5000) == 1.0 and S.ratio("", "") == 0.0
+    assert not S.near("abc" * 50, "xyz" * 50) and not S.near("ab", "ab" * 9)
+
+
+def test_near_is_what_the_ratio_says():
+    for n in range(1, 400):  # bounds and ratio are rounded alike
+        for cut in {n // 10, n // 5, n // 10 + 1}:
+            a, b = "a" * n, "a" * (n - cut) + "b" * cut
+            assert S.near(a, b) == (S.ratio(a, b) >= S.config.NEAR_RATIO)
+            assert S.near(a, a[cut:]) == (S.ratio(a, a[cut:]) >= S.config.NEAR_RATIO)

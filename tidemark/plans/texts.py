@@ -190,6 +190,8 @@ def title_pairs(documents: DataFrame) -> DataFrame:
 def similarity_titles(spark, sf_dir):
     """How alike the titles (whole first lines) of neighbours by id and of documents with one normalised title are."""
     pairs = title_pairs(read(spark, sf_dir, "documents"))
+    # pairs are few bytes and much work: parts joined for their small bytes would be long tasks
+    pairs = pairs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id", "other_id")
     return pairs.select("doc_id", "other_id", F.round(segments.similarity("title", "other"), 9).alias("ratio"), segments.redundant_title("title", "other").alias("redundant"))
 
 
