@@ -77,6 +77,17 @@ def test_added_personal_data(docs, text, want):
     assert [s for s in r.spans.split(",") if s and s.split(":")[0] not in PATTERNS] == want
 
 
+def test_places_of_personal_data_are_long_in_every_batch(spark, docs):
+    rows = docs([(1, "é bob@x.org"), (2, "plain"), (3, "€€ 1.2.3.4")]).coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1)  # a batch without findings between two with some
+    try:
+        found = pii.scan(rows).selectExpr("doc_id", "inline(findings)")
+        assert dict(found.dtypes)["start"] == dict(found.dtypes)["end"] == "bigint"
+        assert sorted(found.collect()) == [(1, "email", 2, 11), (3, "ip", 3, 10)]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_redacted_personal_data(docs):
     rows = [(1, "é bob@x.org, +1 (017) 555-7713"), (2, None), (3, "plain"), (None, "ftp://bob@x.org 1.2.3.4")]
     got = {r.doc_id: r for r in pii.redact(docs(rows, extra=True)).collect()}

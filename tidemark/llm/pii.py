@@ -197,7 +197,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 points = code_points(data) if len(found) else np.zeros(1, np.int64)
                 base = points[offsets[found[:, 0]]] if len(found) else np.zeros(0, np.int64)
                 kinds = pa.array(KINDS).take(pa.array(found[:, 1]))
-                items = pa.StructArray.from_arrays([kinds, *(pa.array(points[found[:, c]] - base) for c in (2, 3))], ["kind", "start", "end"])
+                items = pa.StructArray.from_arrays([kinds, *(pa.array((points[found[:, c]] - base).astype(np.int64)) for c in (2, 3))], ["kind", "start", "end"])
                 spans = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(offsets) - 1), spans], ["doc_id", "findings"])
 
