@@ -73,6 +73,13 @@ def with_row(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
 
 
+def with_text(batch, text_col: str = "text"):
+    """(doc_id, text, row) of an Arrow batch of (doc_id, row): the text is that of the row, so it need not be sent twice. Null texts have no bytes."""
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).field(text_col), batch.column(1)], ["doc_id", "text", "row"])
+
+
 def replaced(docs: DataFrame, rows: DataFrame, text: str) -> DataFrame:
     """The columns of ``docs`` from ``rows.row``, with another text and, if there is one, n_chars of it."""
     out = [F.col(text).alias("text") if c == "text" else F.length(text).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"row.`{c}`").alias(c) for c in docs.columns]

@@ -34,8 +34,9 @@ WORDS = 5
 OVERALL = 2
 #: Most passes before all pairs are looked at, groups under one head, and heads that a group is compared with in a pass.
 PASSES, PART, PARTNERS = 2, 16, 4
-#: Bytes of text that are hashed at a time, and about so many bytes of text a bucket of shingles.
-SLICE, BUCKET = 2 << 20, 4 << 20
+#: Bytes of text whose shingles are sent together, those of them that are hashed at a time (in arrays of some fifty times the
+#: size), and about so many bytes of text a bucket of shingles.
+SLICE, HASHED, BUCKET = 2 << 20, 1 << 18, 4 << 20
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _PLACE = [(0xBF58476D1CE4E5B9 * (2 * j + 3) + 2 * j) % (1 << 64) | 1 for j in range(WORDS)]
@@ -81,6 +82,18 @@ def shingle_sets(offsets, data, words: int = WORDS):
     return out
 
 
+def hashed_sets(offsets, data):
+    """``shingle_sets`` of a slice, of up to ``HASHED`` bytes or one text at a time."""
+    import numpy as np
+
+    sets, k = [], 0
+    while k < len(offsets) - 1:
+        upto = max(k + 1, int(np.searchsorted(offsets, offsets[k] + HASHED, "right")) - 1)
+        sets += shingle_sets(offsets[k : upto + 1] - offsets[k], data[offsets[k] : offsets[upto]])
+        k = upto
+    return sets
+
+
 def prefix_length(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
@@ -110,7 +123,7 @@ def dealt_shingles(plain: DataFrame, bits: int) -> DataFrame:
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
             for lo, o, d in byte_batches(batch, 1, SLICE):
-                sets = shingle_sets(o, d)
+                sets = hashed_sets(o, d)
                 size = np.array([len(x) for x in sets], np.int64)
                 flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.uint32), size)
                 spread = np.concatenate([[np.uint64(0)], np.cumsum(mix(flat * np.uint64(0x9FB21C651E98DF25)))])

@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .classify import byte_batches, sigmoid, training_sample
-from .common import crc_fold, text_of, with_row
+from .common import crc_fold, text_of, with_row, with_text
 
 WIDTH, FILTERS, CHUNK, STRIDE = 6, 16, 256, 192
+#: Bytes whose responses are held at once; they take 64 times as much memory, twice over while they are summed.
+BLOCK = 1 << 17
 #: Bounds of the training sample: texts a class, and characters a text.
 PER_CLASS, MAX_CHARS = 1200, 12_000
 EPOCHS, BATCH, RATE = 6, 32, 0.01
@@ -45,30 +47,28 @@ def pooled(table, offsets, data, where: bool = False):
     start, end, owner = chunks(offsets)
     out = np.zeros((len(start), FILTERS), np.float32)
     place = np.full((len(start), FILTERS), -1, np.int64)
-    m = len(data) - WIDTH + 1
-    if m <= 0:
-        return (out, owner, place) if where else (out, owner)
-    wide = data.astype(np.int32)
-    pair = (wide[:-1] << 8) | wide[1:]
-    r = table[0].take(pair[:m], axis=0)
-    for j in range(1, WIDTH // 2):
-        r += table[j].take(pair[2 * j : 2 * j + m], axis=0)
     stop = end - WIDTH + 1
-    some = stop > start
-    if where:
-        for c in np.flatnonzero(some):
-            part = r[start[c] : stop[c]]
-            a = part.argmax(0)
-            place[c], out[c] = start[c] + a, part[a, np.arange(FILTERS)]
-    else:
-        # chunks overlap, so even and odd ones are pooled in turn; reduceat takes [start, stop) pairs
-        for turn in (0, 1):
-            c = np.flatnonzero(some)[turn::2]
-            if len(c):
-                at = np.stack([start[c], np.minimum(stop[c], len(r) - 1)], 1).ravel()
-                big = np.maximum.reduceat(r, at, axis=0)[::2]
-                last = stop[c] - 1
-                out[c] = np.maximum(big, r[last])
+    some = np.flatnonzero(stop > start)
+    for block in np.split(some, np.flatnonzero(np.diff(start[some] // BLOCK)) + 1) if len(some) else ():
+        first = start[block[0]]
+        wide = data[first : end[block].max()].astype(np.int32)
+        m = len(wide) - WIDTH + 1
+        pair = (wide[:-1] << 8) | wide[1:]
+        r = table[0].take(pair[:m], axis=0)
+        for j in range(1, WIDTH // 2):
+            r += table[j].take(pair[2 * j : 2 * j + m], axis=0)
+        if where:
+            for c in block:
+                part = r[start[c] - first : stop[c] - first]
+                a = part.argmax(0)
+                place[c], out[c] = start[c] + a, part[a, np.arange(FILTERS)]
+        else:
+            # chunks overlap, so even and odd ones are pooled in turn; reduceat takes [start, stop) pairs
+            for c in (block[::2], block[1::2]):
+                if len(c):
+                    at = np.stack([start[c] - first, np.minimum(stop[c] - first, m - 1)], 1).ravel()
+                    big = np.maximum.reduceat(r, at, axis=0)[::2]
+                    out[c] = np.maximum(big, r[stop[c] - 1 - first])
     np.maximum(out, 0, out=out)
     return (out, owner, place) if where else (out, owner)
 
@@ -165,6 +165,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         net = shared.value
         lookup = tables(net["kernel"])
         for batch in batches:
+            batch = with_text(batch, text_col) if carry else batch
             got = []
             for _, offsets, data in byte_batches(batch, 1, 1 << 20):
                 p, owner = pooled(lookup, offsets, data)
@@ -173,7 +174,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
                 yield pa.RecordBatch.from_arrays([batch.column(0), *[batch.column(i) for i in range(2, batch.num_columns)], pa.array(np.concatenate(got))], ["doc_id", *carried, "score"])
 
     carried = ["row"] * carry
-    wide = with_row(docs, id_col, text_col) if carry else plain
+    wide = with_row(docs, id_col, text_col).drop("text") if carry else plain
     kind = T.StructType([f for f in wide.schema.fields if f.name != "text"]).add("score", T.DoubleType())
     out = wide.mapInArrow(run, kind)
     return out.select("doc_id", *carried, (crc_fold("doc_id", MODULUS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

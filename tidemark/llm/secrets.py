@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .classify import byte_batches, few_rows, sigmoid
-from .common import replaced, text_of, with_row
+from .common import replaced, text_of, with_row, with_text
 
 KINDS = ("assign", "access", "hex", "net")
 #: The rules (fixed values): pattern, group whose length counts, least length.
@@ -215,8 +215,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry:
         order = {k: i for i, k in enumerate(KINDS)}
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
+            batch = with_text(batch, text_col) if carry else batch
             texts, out, asked = batch.column(1), [[] for _ in range(len(batch))], []
-            for lo, offsets, data in byte_batches(batch, 1):
+            for lo, offsets, data in byte_batches(batch, 1, 1 << 20):
                 for i in (np.flatnonzero(worth(offsets, data)) + lo).tolist():
                     text = texts[i].as_py()
                     found = by_rules(text)
@@ -232,7 +233,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry:
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in (0, *range(2, batch.num_columns))] + [pa.array(rows, kind)], ["doc_id", *carried, "findings"])
 
     carried = ["row"] * carry
-    wide = with_row(docs, id_col, text_col) if carry else plain
+    wide = with_row(docs, id_col, text_col).drop("text") if carry else plain
     finding = T.StructType().add("kind", T.StringType()).add("start", T.LongType()).add("end", T.LongType())
     return wide.mapInArrow(run, T.StructType([f for f in wide.schema.fields if f.name != "text"]).add("findings", T.ArrayType(finding)))
 

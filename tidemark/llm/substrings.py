@@ -356,6 +356,7 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batc
     plain = text_of(docs, id_col, text_col)
     shared = ids_shared(plain)
     marked = keyed(with_row(docs, id_col, text_col) if carry else plain, shared, "doc_id", *carried)
+    text = "row" if carry else "text"  # the row holds the text, which is dealt once
     spans = repeats(keyed(plain, shared), tables, batches)
     last = "kept_sha256" if digest else "kept"
 
@@ -365,10 +366,11 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batc
 
         for batch in frames:
             n, removed, runs, rest = [], [], [], []
+            texts = pa.RecordBatch.from_arrays([batch.column(1).field(text_col) if carry else batch.column(1)], ["text"])
             lists = batch.column(2)
             pairs, cut = lists.flatten(), np.concatenate([[0], np.cumsum(np.nan_to_num(lists.value_lengths().fill_null(0).to_numpy()))]).astype(np.int64)
             starts, ends = pairs.field(0).to_numpy(), pairs.field(1).to_numpy()
-            for lo, offsets, data in byte_batches(batch, 1):
+            for lo, offsets, data in byte_batches(texts, 0):
                 for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist()), lo):
                     text, s, e = data[a:b], starts[cut[i] : cut[i + 1]], ends[cut[i] : cut[i + 1]]
                     if len(s):
@@ -387,11 +389,11 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batc
                     rest.append(hashlib.sha256(text.tobytes()).hexdigest() if digest else text.tobytes().decode("utf-8", "ignore"))
             kept = pa.array(rest, pa.string())
             cols = [pa.array(x, pa.int64()) for x in (n, removed, runs)]
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(3, batch.num_columns)] + cols + [kept], names)
+            yield pa.RecordBatch.from_arrays([batch.column(3), *[batch.column(1)] * carry] + cols + [kept], names)
 
     names = ["doc_id", *carried, "n_bytes", "n_removed", "n_spans", last]
-    joined = marked.join(spans, ["doc", "tag"], "left").select("doc", "text", "spans", "doc_id", *carried)
-    kind = T.StructType([f for f in joined.schema.fields if f.name in ("doc_id", "row")])
+    joined = marked.join(spans, ["doc", "tag"], "left").select("doc", text, "spans", "doc_id")
+    kind = T.StructType([joined.schema[c] for c in ("doc_id", *carried)])
     for name in names[-4:-1]:
         kind = kind.add(name, T.LongType())
     return joined.mapInArrow(run, kind.add(last, T.StringType()))
