@@ -1,6 +1,8 @@
 """Near-duplicate operators against brute force, with hot groups, nulls, empty and repeated rows."""
 
 import random
+import time
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -213,3 +215,33 @@ def test_substrings_of_null_beside_the_largest_id_and_of_many_equal_rows(docs, w
 
 def substrings_of(rows):
     return brute.substrings(rows)[max(i for i, _ in rows)][1]
+
+
+def test_substrings_keep_no_disk_of_steps_that_are_done(docs, words, spark, monkeypatch):
+    """Shuffle files of one step are gone when the next begins, tables when nothing reads them any more, and no text is dealt for keys that are not there."""
+
+    def shuffled(below: int | None = None) -> int:
+        for _ in range(50):  # files are deleted by another thread
+            n = sum(f.stat().st_size for d in spark._jsc.sc().env().blockManager().diskBlockManager().localDirs() for f in Path(d.getPath()).rglob("shuffle_*"))
+            if below is None or n <= below:
+                break
+            time.sleep(0.1)
+        return n
+
+    rows = corpus(words)
+    df = docs(rows)
+    Tables(spark, "t").release()
+    before, saved, tables, save = shuffled(), {}, [], Tables.save
+
+    def watched(self, part, name):
+        saved[name] = shuffled(before) if name in ("level1-2", "candidates-1", "candidates-2", "few", "spans") else 0
+        tables.append(self)
+        return save(self, part, name)
+
+    monkeypatch.setattr(Tables, "save", watched)
+    got = substrings.remove(df, digest=True)
+    assert max(saved.values()) <= before and shuffled(before) <= before and "candidates-2" in saved
+    assert "windows" not in saved  # no key has more than MANY runs
+    left = [p.name for p in Path(tables[0].root.removeprefix("file://")).iterdir() if p.is_dir()]
+    assert left == ["spans"]
+    assert {r.doc_id: r.n_removed for r in got.collect()} == {i: g for i, (_, g, _, _) in brute.substrings(rows).items()}

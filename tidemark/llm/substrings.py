@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -155,6 +156,7 @@ class IndexFamily:
         self.spark, self.tables = spark, tables
         self.levels: list[tuple[int, str, DataFrame]] = []  # rank, table, rows
         self.matches: list[DataFrame] = []
+        self.found: list[str] = []  # tables of candidates
         self.added = 0
 
     def add(self, plain: DataFrame, more: bool = True) -> DataFrame:
@@ -170,6 +172,7 @@ class IndexFamily:
         self.added += 1
         while more and len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
             (rank, a, x), (_, b, y) = self.levels[-2:]
+            self.tables.release()  # what the batch has shuffled is not kept beside the merge
             name = f"level{rank + 1}-{self.added}"
             self.levels[-2:] = [(rank + 1, name, self.tables.save(x.union(y).repartition("key", "doc").sortWithinPartitions("key", "run"), name))]
             self.tables.drop(a, b)
@@ -177,18 +180,26 @@ class IndexFamily:
         return self.matches[-1]
 
     def candidates(self) -> DataFrame:
-        """All suffixes whose key was matched: key, run, doc, tag, place."""
-        rows, keys = self.levels[0][2], self.matches[0]
-        for _, _, level in self.levels[1:]:
-            rows = rows.union(level)
+        """All suffixes whose key was matched: key, run, doc, tag, place.
+
+        Levels are looked through one at a time, the smallest first, and each goes when it is done, as all levels beside the
+        shuffle of all levels would be twice the disk.
+        """
+        keys, total = self.matches[0], sum(level.count() for _, _, level in self.levels)
         for m in self.matches[1:]:
             keys = keys.union(m)
         # the last batch that holds a key has counted it in all
-        keys, total = keys.groupBy("key").agg(F.max("n").alias("n")), sum(level.count() for _, _, level in self.levels)
-        found = self.tables.save(by_group(rows, keys, ["key"], total).drop("n"), "candidates")
-        self.tables.drop(*[name for _, name, _ in self.levels], *[f"matches-{i}" for i in range(self.added)])
+        keys = self.tables.save(keys.groupBy("key").agg(F.max("n").alias("n")), "keys")
+        self.tables.drop(*[f"matches-{i}" for i in range(self.added)])
+        rows = []
+        for _, name, level in reversed(self.levels):
+            self.found.append(f"candidates-{len(rows)}")
+            rows.append(self.tables.save(by_group(level, keys, ["key"], total).drop("n"), self.found[-1]))
+            self.tables.drop(name)
+            self.tables.release()
+        self.tables.drop("keys")
         self.levels, self.matches = [], []
-        return found
+        return reduce(DataFrame.union, rows)
 
 
 def _asked(plain: DataFrame, runs: DataFrame) -> DataFrame:
@@ -330,20 +341,27 @@ def repeats(plain: DataFrame, tables: Tables, batches: int = BATCHES) -> DataFra
     for i in range(batches):
         family.add(plain.where(F.pmod(F.xxhash64("doc"), F.lit(batches)) == i).select("doc", "tag", "text"), more=i + 1 < batches)
     found = family.candidates()
-    tables.release()
     total = found.count()
     whole = later(found, ["key", "run"], total)
     classes = found.groupBy("key", "run").agg(F.min(F.struct("doc", "tag", "place")).alias("f")).select("key", "f.*")
     several = tables.save(by_group(classes, classes.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), ["key"], total), "several")
+    tables.release()
     texts = plain.select("doc", "tag", "text")
-    few = settle(contexts(texts, several.where(F.col("n") <= MANY)))
-    windows = tables.save(window_hashes(texts, several.where(F.col("n") > MANY)), "windows")
-    many = later(windows, ["key", "window"], windows.count())
-    gone = whole.union(few).union(many)
+    few = tables.save(settle(contexts(texts, several.where(F.col("n") <= MANY))), "few")  # on its own, as it deals all texts
+    tables.release()
+    gone = whole.union(few)
+    many = several.where(F.col("n") > MANY)
+    if not many.isEmpty():  # else all texts would be dealt for nothing
+        windows = tables.save(window_hashes(texts, many), "windows")
+        tables.release()
+        gone = gone.union(later(windows, ["key", "window"], windows.count()))
     start = F.shiftright("place", _RUN)
     gone = gone.select("doc", "tag", start.alias("start"), (start + F.col("place").bitwiseAND((1 << _RUN) - 1) + LENGTH).alias("end"))
     spans = gone.groupBy("doc", "tag").agg(F.collect_set(F.struct("start", "end")).alias("spans"))  # a set, as equal rows find the same spans: bounded by the text's length
-    return tables.save(spans, "spans")
+    spans = tables.save(spans, "spans")
+    tables.drop("several", "few", "windows", *family.found)
+    tables.release()  # the texts are dealt next
+    return spans
 
 
 def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES, carry: bool = False, digest: bool = False) -> DataFrame:
