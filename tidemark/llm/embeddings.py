@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import hamming
 from .common import Tables, connected_components
 
 #: Neighbours a vector begins with, least number of random projections, vectors compared in one block, rounds after which a recall under RECALL is an error.
@@ -292,7 +294,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
 
 # Exact top-k search -------------------------------------------------------------------------------------------------
 
-SEGMENTS, SEGMENT_BITS = 4, 16
+#: Words of the codes of a part of the table, at most, and those that are worth a part; pairs up to which all are compared at once, and queries that tell how far to search.
+PART, LEAST, FEW, ASKED = 1 << 20, 1 << 12, 1 << 33, 256
+#: In pairs that could be compared instead: one row found, one round.
+FOUND, ROUND = 3000, 1 << 34
 
 
 def sign_code(column: str) -> F.Column:
@@ -305,60 +310,89 @@ def sign_code(column: str) -> F.Column:
     return F.when(F.size(column) > 0, F.concat(F.array(F.size(column).cast("long")), words))
 
 
-def _masks(radius: int) -> list[int]:
-    """All values of a segment with exactly ``radius`` bits set."""
-    from itertools import combinations
-
-    return [sum(1 << b for b in c) for c in combinations(range(SEGMENT_BITS), radius)]
-
-
 def top_k(codes: DataFrame, queries: DataFrame, k: int, tables: Tables | None = None) -> DataFrame:
     """The k nearest codes of every query by Hamming distance, ties by id: query_id, id, distance, rank.
 
-    ``codes`` (id, code) and ``queries`` (query_id, code), codes as ``sign_code`` makes them; those of another number of components are not
-    compared. A query doesn't find the row of its own id. A word is cut into SEGMENTS segments. A row at distance d differs from a query
-    of s segments in d // s bits or fewer in some segment, so when all segments have been searched to radius r, all rows nearer than
-    s * (r + 1) have been seen. The radius grows until the kth verified distance of a query is below that. Null codes are no rows and no
-    queries, repeated rows count once, and an empty table gives no rows. Equal codes are one entry of the index with the k + 1 smallest ids, which is all that a
-    top-k list can need.
+    ``codes`` (id, code) and ``queries`` (query_id, code), codes as ``sign_code`` makes them, ids whole numbers; codes of another number of
+    components are not compared. A query doesn't find the row of its own id. Codes are dealt by their hash into parts of bounded size,
+    and every query goes to every part, which finds all codes up to a distance (``hamming.Part``: a multi-index over segments of
+    16 bits with radii that together cover that distance). The distance grows until the kth neighbour of a query is within it; where it begins
+    is taken from a few queries that are compared with all codes, and results don't depend on it. Null codes are no rows and no queries,
+    repeated rows count once, and an empty table gives no rows. Equal codes are one entry with the k + 1 smallest ids, which is all
+    that a top-k list can need.
     """
-    import numpy as np
-
     spark = codes.sparkSession
     tables = tables or Tables(spark, "topk")
-    segment = lambda c, s: F.shiftrightunsigned(c, s * SEGMENT_BITS).bitwiseAND((1 << SEGMENT_BITS) - 1)
-    # segments are numbered over all words of a code, beside the number of components: only codes of one number meet
-    of_word = lambda x, w, n: F.array(*[F.struct((n * (1 << 24) + w * SEGMENTS + s).alias("segment"), segment(x, s).alias("value")) for s in range(SEGMENTS)])
-    parts = lambda c: F.flatten(F.transform(F.slice(c, F.lit(2), F.size(c)), lambda x, w: of_word(x, w, F.element_at(c, 1))))
-    apart = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    rows = codes.where("code is not null and id is not null").select("id", "code").distinct()
+    kinds = [codes.schema["id"].dataType, queries.schema["query_id"].dataType]
+    rows = codes.where("code is not null and id is not null").select(F.col("id").cast("long").alias("id"), "code").distinct()
     rows = rows.withColumn("r", F.row_number().over(_by("code", "id"))).where(F.col("r") <= k + 1)
     entries = tables.save(rows.groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids")), "entries")
-    index = tables.save(entries.select("code", F.explode(parts(F.col("code"))).alias("p")).select("code", "p.*").repartition("segment", "value"), "index")
-    asked = tables.save(queries.where("code is not null and query_id is not null").select("query_id", F.col("code").alias("query_code")).distinct(), "asked")
-    open_, done, best = asked, None, None
-    for radius in range(SEGMENT_BITS + 1):
-        masks = F.lit(np.array(_masks(radius), np.int64))
-        probe = open_.select("query_id", "query_code", F.explode(parts(F.col("query_code"))).alias("p")).select("query_id", "query_code", F.col("p.segment").alias("segment"), F.explode(F.transform(masks, lambda m: F.col("p.value").bitwiseXOR(m))).alias("value"))
-        # probes are far more than the query rows they come from, which is all that the planner can see: no side is broadcast
-        seen = probe.join(index.hint("merge"), ["segment", "value"]).select("query_id", "query_code", "code").distinct()
-        seen = seen.withColumn("distance", apart("query_code", "code")).join(entries.hint("merge"), "code")
-        seen = seen.select("query_id", "distance", F.explode("ids").alias("id")).where("id <> query_id")
-        if best is not None:
-            seen = seen.union(best.select("query_id", "distance", "id")).distinct()
-        best = seen.withColumn("rank", F.row_number().over(_by("query_id", "distance", "id"))).where(F.col("rank") <= k)
-        best = tables.save(best, f"best-{radius}")
+    asked = queries.where("code is not null and query_id is not null").select(F.col("query_id").cast("long").alias("query_id"), "code").distinct()
+    open_ = tables.save(asked, "asked")
+    lengths = {r.n: (r.rows, r.words) for r in entries.groupBy(F.element_at("code", 1).alias("n")).agg(F.count("*").alias("rows"), F.sum(F.size("code") - 1).alias("words")).collect()}
+    sizes = {r.n: r.queries for r in open_.groupBy(F.element_at("code", 1).alias("n")).agg(F.count("*").alias("queries")).collect()}
+    words, cores = sum(w for _, w in lengths.values()), spark.sparkContext.defaultParallelism
+    parts = cores * math.ceil(words / (PART * cores)) if words > PART * cores else max(1, min(cores, math.ceil(words / LEAST)))
+    reaches = {}
+    if sum(lengths[n][1] * sizes.get(n, 0) for n in lengths) > FEW:
+        some = tables.save(open_.orderBy(F.xxhash64("query_id", "code"), "query_id").limit(ASKED), "some")
+        of = _nearest(_search(entries, some.withColumn("reach", _whole()), k, parts), k).groupBy("query_id").agg(F.count("*").alias("found"), F.max("distance").alias("kth"))
+        far = {}
+        for r in some.join(of, "query_id", "left").select(F.element_at("code", 1).alias("n"), "found", "kth").collect():
+            far.setdefault(r.n, []).append(r.kth if r.found == k else r.n)
+        reaches = {n: _reaches(kths, n, lengths.get(n, (0, 0))[0], sizes[n], k, parts) for n, kths in far.items()}
+        tables.drop("some")
+    done, number = [], 0
+    while True:
+        to = [F.lit(x).cast("int") for n, r in reaches.items() for x in (n, r[min(number, len(r) - 1)])]  # by length
+        reached = open_.withColumn("reach", F.coalesce(F.create_map(*to)[_whole()], _whole()) if to else _whole())
+        best = tables.save(_nearest(_search(entries, reached, k, parts), k), f"best-{number}")
+        number += 1
+        if number >= max(map(len, reaches.values()), default=1):
+            return _united([*done, best]).select(F.col("query_id").cast(kinds[1]).alias("query_id"), F.col("id").cast(kinds[0]).alias("id"), "distance", "rank")
+        # a query is done if its kth row is within the distance to which all of its codes have been searched
         kth = best.where(F.col("rank") == k).select("query_id", "distance")
-        covered = open_.join(kth, "query_id").where(F.col("distance") < (F.size("query_code") - 1) * SEGMENTS * (radius + 1)).select("query_id").distinct()
-        finished = best.join(covered, "query_id", "left_semi")
-        done = finished if done is None else done.union(finished)
-        open_ = tables.save(open_.join(covered, "query_id", "left_anti"), f"open-{radius}")
+        covered = tables.save(reached.groupBy("query_id").agg(F.min("reach").alias("reach")).join(kth, "query_id").where("distance <= reach").select("query_id"), f"covered-{number}")
+        done.append(best.join(covered, "query_id", "left_semi"))
+        open_ = tables.save(open_.join(covered, "query_id", "left_anti"), f"open-{number}")
         if open_.isEmpty():
-            break
-        best = best.join(covered, "query_id", "left_anti")
-    else:
-        done = done.union(best)
-    return done.select("query_id", "id", F.col("distance").cast("int").alias("distance"), "rank")
+            return _united(done).select(F.col("query_id").cast(kinds[1]).alias("query_id"), F.col("id").cast(kinds[0]).alias("id"), "distance", "rank")
+
+
+def _whole() -> F.Column:
+    """The distance that all codes of a length are within."""
+    return F.element_at("code", 1).cast("int")
+
+
+def _search(entries: DataFrame, asked: DataFrame, k: int, parts: int) -> DataFrame:
+    """(query_id, distance, id): of each part, the k nearest rows of a query (query_id, code, reach) among those within its reach."""
+    part = F.pmod(F.xxhash64("code"), F.lit(parts)).cast("int")
+    rows = entries.select(part.alias("part"), F.lit(False).alias("asks"), F.lit(0).cast("long").alias("id"), F.lit(0).alias("reach"), "code", "ids")
+    every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    asked = asked.select(every.alias("part"), F.lit(True).alias("asks"), F.col("query_id").alias("id"), "reach", "code", F.array().cast("array<long>").alias("ids"))
+    dealt = rows.union(asked).repartitionById(parts, F.col("part")).sortWithinPartitions("part", "asks")
+    return dealt.mapInArrow(lambda batches: hamming.search(batches, k), "query_id long, distance int, id long")
+
+
+def _nearest(found: DataFrame, k: int) -> DataFrame:
+    return found.withColumn("rank", F.row_number().over(_by("query_id", "distance", "id"))).where(F.col("rank") <= k)
+
+
+def _united(found: list[DataFrame]) -> DataFrame:
+    return functools.reduce(DataFrame.union, found)
+
+
+def _reaches(kths: list[int], n: int, rows: int, queries: int, k: int, parts: int) -> list[int]:
+    """Distances to search to, one after the other, that cost the least for queries whose kth rows are as far as those of ``kths``; the last is
+    that of all rows. What is left when the farthest of ``kths`` has been searched counts as one more query."""
+    values, segments = sorted(set(kths)), 4 * math.ceil(n / 64)
+    cost = [(1 / (len(kths) + 1) + ROUND / max(1, rows * queries), [n])]  # of what is left from a value on, and the distances
+    for i in range(len(values) - 1, -1, -1):
+        left = [t for t in kths if t >= values[i]]
+        found = [sum(min(k * parts, k * 3 ** min(max(0, v - t), 9)) for t in left) * FOUND / max(1, rows) for v in values[i:]]
+        costs = [((len(left) * hamming.share(v, segments) + f) / len(kths) + ROUND / max(1, rows * queries) + rest[0], [v, *rest[1]]) for v, f, rest in zip(values[i:], found, cost)]
+        cost.insert(0, min(costs))
+    return [v for v in cost[0][1][:-1] if v < n] + [n]
 
 
 def _by(group: str, *order: str):
