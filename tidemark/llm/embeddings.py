@@ -324,11 +324,12 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int, tables: Tables | None =
     spark = codes.sparkSession
     tables = tables or Tables(spark, "topk")
     kinds = [codes.schema["id"].dataType, queries.schema["query_id"].dataType]
-    rows = codes.where("code is not null and id is not null").select(F.col("id").cast("long").alias("id"), "code").distinct()
+    # null codes go when tables are reread: a condition on a code, put before it is kept, has every code made twice
+    rows = codes.where("id is not null").select(F.col("id").cast("long").alias("id"), "code").distinct()
     rows = rows.withColumn("r", F.row_number().over(_by("code", "id"))).where(F.col("r") <= k + 1)
-    entries = tables.save(rows.groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids")), "entries")
-    asked = queries.where("code is not null and query_id is not null").select(F.col("query_id").cast("long").alias("query_id"), "code").distinct()
-    open_ = tables.save(asked, "asked")
+    entries = tables.save(rows.groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids")), "entries").where("code is not null")
+    asked = queries.where("query_id is not null").select(F.col("query_id").cast("long").alias("query_id"), "code").distinct()
+    open_ = tables.save(asked, "asked").where("code is not null")
     lengths = {r.n: (r.rows, r.words) for r in entries.groupBy(F.element_at("code", 1).alias("n")).agg(F.count("*").alias("rows"), F.sum(F.size("code") - 1).alias("words")).collect()}
     sizes = {r.n: r.queries for r in open_.groupBy(F.element_at("code", 1).alias("n")).agg(F.count("*").alias("queries")).collect()}
     words, cores = sum(w for _, w in lengths.values()), spark.sparkContext.defaultParallelism
@@ -385,12 +386,13 @@ def _united(found: list[DataFrame]) -> DataFrame:
 def _reaches(kths: list[int], n: int, rows: int, queries: int, k: int, parts: int) -> list[int]:
     """Distances to search to, one after the other, that cost the least for queries whose kth rows are as far as those of ``kths``; the last is
     that of all rows. What is left when the farthest of ``kths`` has been searched counts as one more query."""
-    values, segments = sorted(set(kths)), 4 * math.ceil(n / 64)
-    cost = [(1 / (len(kths) + 1) + ROUND / max(1, rows * queries), [n])]  # of what is left from a value on, and the distances
+    values, segments, pairs = sorted(set(kths)), min(4 * math.ceil(n / 64), hamming.MOST), max(1, rows * queries)
+    cost = [(1 / (len(kths) + 1) + ROUND / pairs, [n])]  # of what is left from a value on, and the distances
     for i in range(len(values) - 1, -1, -1):
         left = [t for t in kths if t >= values[i]]
         found = [sum(min(k * parts, k * 3 ** min(max(0, v - t), 9)) for t in left) * FOUND / max(1, rows) for v in values[i:]]
-        costs = [((len(left) * hamming.share(v, segments) + f) / len(kths) + ROUND / max(1, rows * queries) + rest[0], [v, *rest[1]]) for v, f, rest in zip(values[i:], found, cost)]
+        groups = parts * segments * min(queries * len(left) / len(kths), 1 << hamming.BITS) * hamming.GROUP
+        costs = [((len(left) * hamming.share(v, segments) + f) / len(kths) + (groups + ROUND) / pairs + rest[0], [v, *rest[1]]) for v, f, rest in zip(values[i:], found, cost)]
         cost.insert(0, min(costs))
     return [v for v in cost[0][1][:-1] if v < n] + [n]
 

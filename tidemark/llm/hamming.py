@@ -8,9 +8,9 @@ from itertools import combinations
 #: Bits of a segment, segments of a code that are indexed at most, and the largest radius of a search of one.
 BITS, MOST, RADIUS = 16, 32, 5
 #: Pairs compared at once, hits held before they are cut to the nearest, words of queries searched together.
-BLOCK, HELD, BATCH = 1 << 17, 1 << 20, 1 << 21
+BLOCK, HELD, BATCH = 1 << 17, 1 << 20, 3 << 19
 #: In pairs that could be compared instead: looking up one entry, one neighbourhood of a segment's value, making an index.
-LOOKUP, GROUP, INDEX = 2, 40_000, 1 << 28
+LOOKUP, GROUP, INDEX = 1, 40_000, 1 << 28
 
 
 def masks() -> list:
