@@ -284,13 +284,13 @@ def search(batches: Iterator, k: int) -> Iterator:
         if index is None:
             index = {n: Part(codes, ids, starts) for n, codes, _, _, ids, starts in entries.by_length()}
             entries = Rows()
-        for n, codes, asker, reach, _, _ in asked.by_length():
+        lengths, asked = list(asked.by_length()), Rows()  # batches are let go before the search
+        for n, codes, asker, reach, _, _ in lengths:
             if n in index:
                 q, d, ids = index[n].nearest(asker, codes, reach, k)
                 for lo in range(0, len(q), 1 << 16):
                     s = slice(lo, lo + (1 << 16))
                     yield pa.RecordBatch.from_arrays([pa.array(asker[q[s]], pa.int64()), pa.array(d[s], pa.int32()), pa.array(ids[s], pa.int64())], ["query_id", "distance", "id"])
-        asked = Rows()
 
     for batch in batches:
         if not len(batch):
